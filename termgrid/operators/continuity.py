@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termgrid.spec import STABLE_KEY, TrajectorySpec, require_columns
@@ -122,18 +122,16 @@ def course_continuity(metrics: DataFrame, years: TrajectorySpec | None = None) -
 
 
 def distribution(continuity: DataFrame, column: str) -> DataFrame:
-    """Courses per value of a column, their share, and median observed periods."""
-    rows = continuity.dropna(subset=[column])
-    total = continuity.agg(F.count(F.lit(1)).alias("_total"))
-    groups = rows.groupBy(column).agg(
+    """Courses per value of a low-cardinality column, their share, median observed periods."""
+    groups = continuity.groupBy(column).agg(
         F.count(F.lit(1)).alias("course_count"),
         F.median("observed_period_count").alias("median_observed_periods"),
     )
-    # ``total`` is one row.
-    joined = groups.join(F.broadcast(total), F.col("course_count") <= F.col("_total"))
-    return joined.select(
-        column, "course_count", (F.col("course_count") / F.col("_total")).alias("share"),
-        "median_observed_periods",
+    # The window sees one row per class or period count, a number fixed by the spec.
+    total = F.sum("course_count").over(Window.partitionBy(F.lit(1)))
+    shares = groups.withColumn("share", F.col("course_count") / total)
+    return shares.where(F.col(column).isNotNull()).select(
+        column, "course_count", "share", "median_observed_periods"
     )
 
 

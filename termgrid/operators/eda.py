@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termgrid.functions.numbers import add, numeric
-from termgrid.operators.normalize import duplicate_rows
 from termgrid.operators.ordering import quantile_from_counts, value_counts
 from termgrid.operators.quality import duplicate_keys
 from termgrid.spec import MEASURES, STABLE_TERM_KEY
@@ -112,7 +111,3 @@ def join_audit(source: DataFrame, metrics: DataFrame, key=STABLE_TERM_KEY) -> Da
         "source_rows", "target_rows", "target_key_duplicates", "source_groups_with_multiple_rows",
         (F.col("target_key_duplicates") == 0).alias("join_cardinality_valid"),
     )
-
-
-def source_duplicates(source: DataFrame, keys) -> DataFrame:
-    return duplicate_rows(source, keys)
