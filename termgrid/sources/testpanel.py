@@ -89,6 +89,7 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("crn"),
         F.col("event_id").cast("int").alias("meeting_index"),
         F.col("event_type").alias("meeting_type"),
+        F.lit("").alias("days_raw"),
         F.when(F.col("event_id") % 4 == 0, two_days).otherwise(F.array(F.get(days, day - 1))).alias("weekdays"),
         _clock(start).alias("start_time"),
         F.when(end < 24 * 60, _clock(end)).alias("end_time"),
