@@ -53,10 +53,9 @@ def subject_references(spark: SparkSession, path: str) -> DataFrame:
 
 def subject_references_of(docs: DataFrame) -> DataFrame:
     """The same for index documents held in a column ``xml``."""
-    schema = "courses:struct<course:array<struct<_id:string,_href:string,name:string>>>"
-    options = {**XML_OPTIONS, "rowTag": "subject"}
-    parsed = docs.select(F.from_xml("xml", schema.replace(":struct", " struct", 1), options).alias("doc"))
-    return _references(parsed.select(F.explode("doc.courses.course").alias("c")).select("c.*"))
+    schema = "courses struct<course:array<struct<_id:string,_href:string,name:string>>>"
+    index = F.from_xml("xml", schema, {**XML_OPTIONS, "rowTag": "subject"})
+    return _references(docs.select(F.inline(index["courses"]["course"])))
 
 
 def _references(rows: DataFrame) -> DataFrame:
@@ -88,8 +87,7 @@ def parse_documents(docs: DataFrame) -> DataFrame:
     ``docs`` has ``term``, ``doc_order`` (sortable, later wins) and ``xml``.
     Unreadable documents are left to ``unreadable_documents``.
     """
-    parsed = docs.select("term", "doc_order", F.from_xml("xml", _ddl(), XML_OPTIONS).alias("d"))
-    rows = parsed.where("d is not null and d._corrupt_record is null").select("term", "doc_order", "d.*")
+    rows = _parsed(docs).where("_corrupt_record is null")
     subject, number = subject_number(_first("_id", "name"))
     rows = rows.select(
         "term", "doc_order",
@@ -115,9 +113,15 @@ def _ddl() -> str:
     return "".join(out)
 
 
+def _parsed(docs: DataFrame) -> DataFrame:
+    """Document fields as columns.  ``inline`` keeps later filters from parsing again."""
+    document = F.from_xml("xml", _ddl(), XML_OPTIONS)
+    return docs.where("xml is not null").select("term", "doc_order", F.inline(F.array(document)))
+
+
 def unreadable_documents(docs: DataFrame) -> DataFrame:
-    parsed = docs.select("term", "doc_order", F.from_xml("xml", _ddl(), XML_OPTIONS).alias("d"))
-    return parsed.where("d is null or d._corrupt_record is not null").select("term", "doc_order")
+    broken = _parsed(docs).where("_corrupt_record is not null").select("term", "doc_order")
+    return broken.unionByName(docs.where("xml is null").select("term", "doc_order"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
