@@ -72,7 +72,8 @@ def score_metrics(
     tied_positive = F.lit(0)
     if tie_order:
         # One cut-off per group; only the rows tied at it are ordered.
-        cuts = totals.where(F.col("_cut").isNotNull()).select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_cut", "_need")
+        shown = ~withheld if withheld is not None else F.lit(True)
+        cuts = totals.where(F.col("_cut").isNotNull() & shown).select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_cut", "_need")
         on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col("_order") == F.col("_cut")]
         tied = rows.join(cuts, on).select(*groups, *tie_order, F.col(label), "_need")
         in_order = running_totals(

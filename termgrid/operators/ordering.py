@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termgrid.sources.scratch import materialize
+
 BUCKETS = 256
 SAMPLE_ROWS = 4096
 # A value with at least 1/HOT_SHARE of all rows counts as hot; at most
@@ -57,7 +59,11 @@ def running_totals(
     ``group_by`` is for a few report groups (model, split, scope), not for keys.
     """
     order, group_by = list(order), list(group_by)
-    values = df.groupBy(*group_by, *order).agg(*[w.alias(n) for n, w in weights.items()])
+    # Written once: it is far smaller than the rows, and the sample and every later
+    # read would otherwise run the rows' whole plan again.
+    values = materialize(
+        df.groupBy(*group_by, *order).agg(*[w.alias(n) for n, w in weights.items()]), "values"
+    )
     key = F.struct(*order)
     sample = (
         values.select(*order).distinct()

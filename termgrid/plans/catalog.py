@@ -19,7 +19,7 @@ from termgrid.operators import (
     normalize, profiles, quality, schedule, stable,
 )
 from termgrid.sources import documents, manifest, tables
-from termgrid.sources.scratch import materialize, scratch_path
+from termgrid.sources.scratch import materialize, scratch_path, spread
 from termgrid.sources.testpanel import PANEL, TRAJECTORY, grade_rows, meetings, sections, table
 from termgrid.spec import BANDS, COURSE_KEY, COURSE_TERM_KEY, SHARES, STABLE_KEY, STABLE_TERM_KEY
 
@@ -199,7 +199,7 @@ def _course_documents(spark, sf):
         F.when(F.col("value") > 50, tag("prerequisites", F.concat(F.lit("After "), F.col("event_type")))).otherwise(""),
         tag("sections", section), F.when(event % 97 == 5, "").otherwise("</course>"),
     )
-    events = table(spark, sf, "events")
+    events = spread(table(spark, sf, "events"))
     return events.select(F.concat(F.lit("w"), week).alias("term"), event.alias("doc_order"), course.alias("xml"))
 
 
@@ -334,7 +334,7 @@ def special_filter(spark, sf):
 @query
 def title_norm(spark, sf):
     norm = txt.title_norm(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(norm).alias("digest"), F.length(norm).alias("chars"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(norm).alias("digest"), F.length(norm).alias("chars"))
 
 
 @query
