@@ -25,7 +25,7 @@ def verify_logs(
     The link to the previous event is an equi-join on (log, sequence), so a log
     that holds a large part of all events is still spread over all tasks.
     """
-    names = F.create_map(*[F.lit(x) for pair in states.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for pair in states.items() for x in pair]).cast("map<string,string>")
     previous = events.select(
         F.col(log).alias("_log"), (F.col(sequence) + 1).alias("_sequence"), F.col("event_hash").alias("_expected"),
     ).groupBy("_log", "_sequence").agg(F.min("_expected").alias("_expected"))

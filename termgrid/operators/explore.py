@@ -65,7 +65,7 @@ def filter_rows(course_terms: DataFrame, years: Iterable[int], terms: Iterable[s
 
 def restrict_summary(summary: DataFrame, course_terms: DataFrame) -> DataFrame:
     """Summary rows whose course occurs in the filtered rows."""
-    return null_safe_join(summary, course_terms.select(*COURSE_KEY), COURSE_KEY, "left_semi")
+    return null_safe_join(summary, course_terms.select(*COURSE_KEY).distinct(), COURSE_KEY, "left_semi")
 
 
 def kpis(rows: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from termgrid.operators.ordering import running_totals
 from termgrid.spec import RECALL_FRACTION
 
+# Why recall@k of a tied baseline is not reported.
 TIE_REASONS = {
     "constant_baseline": "constant probabilities create arbitrary row ties; metric is intentionally not reported",
     "persistence_baseline": "discrete persistence scores create arbitrary row ties; metric is intentionally not reported",

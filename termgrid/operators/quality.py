@@ -131,13 +131,12 @@ def validate_tables(filtered: DataFrame, metrics: DataFrame, spec: PanelSpec | N
         unique = spark.range(1).select(F.lit(False).alias("metrics_group_keys_unique"))
     parts.append(long(unique, ["metrics_group_keys_unique"]))
 
-    shared = [c for c in MEASURES if all(c in df.columns for df in tables.values())]
-    sums = []
-    for sign, df in ((1.0, filtered), (-1.0, metrics)):
-        row = df.agg(*[F.coalesce(F.sum(numeric(df, c)), F.lit(0.0)).alias(c) for c in shared])
-        sums.append(row.unpivot([], [F.col(c) for c in shared], "column", "total")
-                    .withColumn("total", F.col("total") * sign))
-    if len(shared) == len(MEASURES):
+    if all(c in df.columns for c in MEASURES for df in tables.values()):
+        sums = []
+        for sign, df in ((1.0, filtered), (-1.0, metrics)):
+            row = df.agg(*[F.coalesce(F.sum(numeric(df, c)), F.lit(0.0)).alias(c) for c in MEASURES])
+            side = row.unpivot([], [F.col(c) for c in MEASURES], "column", "total")
+            sums.append(side.withColumn("total", F.col("total") * sign))
         gaps = sums[0].unionByName(sums[1]).groupBy("column").agg(F.sum("total").alias("gap"))
         match = gaps.agg((F.max(F.abs("gap")) <= TOLERANCE).alias("column_sums_match"))
     else:

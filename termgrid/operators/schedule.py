@@ -15,6 +15,10 @@ CRITICAL_SECTION_FIELDS = (
 )
 # Fetch results, best first.
 STATUS_ORDER = ("ok", "cache", "blocked", "http_error", "network_error")
+# Why timetable results are not shown.
+NO_REPORT = "No quality report exists."
+NOT_VERIFIED = "No target term has verified acquisition and normalized data."
+NO_EDGES = "Verified data exist, but no reproducible conflict edges are present."
 
 
 def _blank(name: str):
@@ -98,9 +102,9 @@ def schedule_gate(quality: DataFrame, edges: DataFrame) -> DataFrame:
     ).withColumn("_k", F.lit(1))
     some_edge = edges.limit(1).agg(F.count(F.lit(1)).alias("edges")).withColumn("_k", F.lit(1))
     reason = (
-        F.when(F.col("rows") == 0, "No quality report exists.")
-        .when(F.col("verified_rows") == 0, "No target term has verified acquisition and normalized data.")
-        .when(F.col("edges") == 0, "Verified data exist, but no reproducible conflict edges are present.")
+        F.when(F.col("rows") == 0, NO_REPORT)
+        .when(F.col("verified_rows") == 0, NOT_VERIFIED)
+        .when(F.col("edges") == 0, NO_EDGES)
         .otherwise("")
     )
     return seen.join(some_edge, "_k").select((reason == "").alias("verified"), reason.alias("reason"))

@@ -13,6 +13,9 @@ from termgrid.operators.normalize import year_number
 from termgrid.spec import PanelSpec
 
 HEAD_BYTES = 512
+# Texts of the failure records.
+CHALLENGED = "WAF challenge or 202 accepted; no XML returned"
+EMPTY, HTML, INVALID = "empty body", "HTML body instead of XML", "invalid XML"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +63,11 @@ def probe_errors(responses: DataFrame) -> DataFrame:
     """
     status, body = F.col("status"), F.col("body")
     error = (
-        F.when((status == 202) | (F.col("header_action") == "challenge"), "WAF challenge or 202 accepted; no XML returned")
+        F.when((status == 202) | (F.col("header_action") == "challenge"), CHALLENGED)
         .when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string")))
-        .when(F.coalesce(F.octet_length(body), F.lit(0)) == 0, "empty body")
-        .when(looks_like_html(body, F.col("content_type")), "HTML body instead of XML")
-        .when(~is_readable_xml(body), "invalid XML")
+        .when(F.coalesce(F.octet_length(body), F.lit(0)) == 0, EMPTY)
+        .when(looks_like_html(body, F.col("content_type")), HTML)
+        .when(~is_readable_xml(body), INVALID)
         .otherwise("")
     )
     return responses.select("url", "status", error.alias("error"))
