@@ -132,7 +132,7 @@ def logistic(rows: int, max_iter: int = 1000) -> LogisticRegression:
 def forest(trees: int, max_depth: int = 12, seed: int = RANDOM_STATE) -> RandomForestClassifier:
     return RandomForestClassifier(
         labelCol="label", weightCol="weight", numTrees=trees, maxDepth=max_depth,
-        minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed,
+        minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
     )
 
 
