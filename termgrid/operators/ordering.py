@@ -27,6 +27,8 @@ from termgrid.sources.scratch import materialize
 
 BUCKETS = 256
 SAMPLE_ROWS = 4096
+# A table of at most this many values (some 10 MB) is broadcast, after counting it.
+BROADCAST_ROWS = 500_000
 # A value with at least 1/HOT_SHARE of all rows counts as hot; at most
 # HOT_SHARE values can be, so their table is always small enough to broadcast.
 HOT_SHARE = 1000
@@ -38,11 +40,11 @@ class RunningTotals:
 
     ``table`` holds the group columns, the order columns, each weight, and
     ``<weight>_through`` (running total) and ``<weight>_total`` (group total).
-    ``row_bound`` is the number of distinct values when it is known to be small.
+    ``rows`` is the counted number of its rows.
     """
 
     table: DataFrame
-    row_bound: int | None
+    rows: int
 
 
 def running_totals(
@@ -64,7 +66,10 @@ def running_totals(
     values = materialize(
         df.groupBy(*group_by, *order).agg(*[w.alias(n) for n, w in weights.items()]), "values"
     )
-    key = F.struct(*order)
+    types = {f.name: f.dataType.simpleString() for f in values.schema.fields}
+    single = len(order) == 1
+    key = F.col(order[0]) if single else F.struct(*order)
+    key_type = types[order[0]] if single else f"struct<{','.join(f'{c}:{types[c]}' for c in order)}>"
     sample = (
         values.select(*order).distinct()
         .orderBy(F.xxhash64(*order)).limit(sample_rows + 1)
@@ -75,11 +80,8 @@ def running_totals(
         bucket = F.lit(0)
     else:
         step = max(1, len(sample) // buckets)
-        types = {f.name: f.dataType for f in values.schema.fields}
-        bounds = F.array(*[
-            F.struct(*[F.lit(row[c]).cast(types[c]).alias(c) for c in order])
-            for row in sample[step::step]
-        ])
+        literals = [[F.lit(row[c]) for c in order] for row in sample[step::step]]
+        bounds = F.array(*[one[0] if single else F.struct(*one) for one in literals]).cast(f"array<{key_type}>")
         bucket = F.size(F.filter(bounds, lambda bound: bound < key))
     values = values.withColumn("_bucket", bucket.cast("int"))
 
@@ -116,7 +118,7 @@ def running_totals(
         *[(before[n] + F.sum(n).over(in_bucket)).alias(f"{n}_through") for n in weights],
         *[total[n].alias(f"{n}_total") for n in weights],
     )
-    return RunningTotals(table, len(sample) if small else None)
+    return RunningTotals(table, values.count())
 
 
 def value_counts(df: DataFrame, value: str, group_by: Sequence[str] = (), **sizes) -> RunningTotals:
@@ -138,14 +140,20 @@ def exact_quantile(counts: RunningTotals, value: str, q: float) -> float | None:
     return counts.table.agg(quantile_from_counts(value, q).alias("q")).first()["q"]
 
 
-def with_rank(df: DataFrame, value: str, rank: str, counts: RunningTotals | None = None) -> DataFrame:
-    """Descending min-rank of ``value`` (ties share the best rank); null stays unranked."""
+def with_rank(
+    df: DataFrame, value: str, rank: str, counts: RunningTotals | None = None, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Descending min-rank of ``value`` (ties share the best rank); null stays unranked.
+
+    Beyond ``broadcast_rows`` distinct values only the hot ones are broadcast; the
+    other rows, none of whose values is frequent, join by shuffle.
+    """
     counts = counts or value_counts(df, value)
     ranked = counts.table.select(
         F.col(value).alias("_value"), F.col("n").alias("_n"), F.col("n_total").alias("_total"),
         (F.col("n_total") - F.col("n_through") + 1).cast("long").alias(rank),
     )
-    if counts.row_bound is not None:
+    if counts.rows <= broadcast_rows:
         table = F.broadcast(ranked.select("_value", rank))
         return df.join(table, F.col(value) == F.col("_value"), "left").drop("_value")
     hot = ranked.where(F.col("_n") * HOT_SHARE >= F.col("_total")).select("_value", rank)
