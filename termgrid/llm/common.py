@@ -73,14 +73,14 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str):
-    """(first row, end row, bytes, offsets) of consecutive rows that hold about BLOCK_BYTES of text."""
+def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES):
+    """(first row, end row, bytes, offsets) of consecutive rows that hold about size bytes of text."""
     if batch.num_rows == 0:
         return
     data, offsets = utf8(batch.column(column))
     first = 0
     while first < batch.num_rows:
-        end = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         end = min(max(end, first + 1), batch.num_rows)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
@@ -131,8 +131,22 @@ def hash_words(data: np.ndarray, words: Words) -> np.ndarray:
     return mix((sums[words.ends] - sums[words.starts]) * inverse[words.starts] + (words.ends - words.starts).astype(np.uint64))
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(3) + mix(b))
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every run of n words, given the words' hashes."""
+    out = words[n - 1 :]
+    for i in range(n - 2, -1, -1):
+        out = words[i : i + len(out)] * np.uint64(3) + mix(out)
+    return mix(out)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers with their bytes sorted by significance, so that high zero bytes compress away."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def smallest_reachable(nodes_links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

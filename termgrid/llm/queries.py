@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgrid.llm import ann, bpe, language, licenses, mips, mixing, surrogates, urls
+from termgrid.llm import ann, bpe, jaccard, language, licenses, mips, mixing, substrings, surrogates, urls
 
 VOCABULARY = "byte_bpe_50k.json"  # the vocabulary of byte_bpe_50k.tiktoken in the tokenizers library's form
 ALLOW_URLS = ("example.net/en/", "org/fr/")
@@ -23,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substrings.dedup_substrings(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).drop("text", "detections")
@@ -64,7 +75,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_licenses, op4_ann, op5_top_products, op6_bpe, op7_urls, op8_mixing, op9_language, op10_surrogates)}
+    return {f.__name__: f for f in (op1_jaccard, op2_substrings, op3_licenses, op4_ann, op5_top_products, op6_bpe, op7_urls, op8_mixing, op9_language, op10_surrogates)}
 
 
 OP7_SQL = r"""

@@ -179,6 +179,9 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     s = _stream(F.lit(key), kind, canon, attempt.cast("string"))
     phone_keep = F.when(F.length(canon) > 10, F.length(canon) - 10).otherwise(0)  # the country's digits stay
     out = _scramble(canon, s, F.when(kind == "iban", 2).when(kind == "phone", phone_keep).otherwise(0))
+    # a hexadecimal secret stays one
+    hexes = F.substring(F.concat(s, s), F.lit(1), F.length(canon))
+    out = F.when((kind == "secret") & canon.rlike("^[0-9a-f]{8,128}$"), hexes).otherwise(out)
     for name, made in (
         ("email", _mail(canon, s)), ("card", _card(canon, s)), ("ip", _octets(canon, s)), ("family", _surname(canon, s, attempt)),
         ("given-f", _given(canon, "f", s, attempt)), ("given-m", _given(canon, "m", s, attempt)), ("given-n", _given(canon, "n", s, attempt)),
