@@ -60,23 +60,30 @@ _TITLES = "|".join(t.replace("-", r"\-") for t in (*FEMALE_TITLES, *MALE_TITLES,
 _NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}\p{L}+)?"
 # Kinds in order of precedence; at one place the first that fits is taken.
 PATTERNS = (
-    ("email", r"[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.)+\p{L}{2,24}"),
-    ("secret", r"(?:(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,}|xox[baprs]-[A-Za-z0-9\-]{10,}"
+    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.)+\p{L}{2,24}"),
+    ("secret", r"(?:(?<![A-Za-z0-9])(?=[Aegsx])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,}|xox[baprs]-[A-Za-z0-9\-]{10,}"
                r"|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,})(?![A-Za-z0-9])"
-               r"|(?<=(?:token|secret|passw|pikey|pi_key|s_key|s-key|tekey|te_key)\w{0,12}[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9+/_\-]{8,}={0,2})"),
+               r"|(?<=[=:\"'\s])(?<=(?:token|secret|passw|apikey|[_\-]key)\w{0,12}[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9+/_\-]{8,}={0,2})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("card", r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d]|\-\d)"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)"
               r"|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w+.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"),
-    ("name", r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.? " + _NAME + r"(?: " + _NAME + r"){0,2}"),
+    ("name", r"(?<![\p{L}\p{N}])(?=[A-Zг])(?:" + _TITLES + r")\.? " + _NAME + r"(?: " + _NAME + r"){0,2}"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-HINT = r"[@0-9]|(?:" + _TITLES + r")\.? \p{Lu}|(?:token|secret|passw|key)"
+# Texts without this hold no entity; a first character class keeps the look at each place short.
+HINT = (
+    r"[@0-9]|(?=[A-Zг])(?:" + _TITLES + r"|AKIA)|(?=[tsp_\-x])(?:token|secret|passw|[_\-]key|sk-|xox[baprs]-)|apikey|eyJ"
+)
 DIGIT_KINDS = ("ip", "ssn", "card", "phone", "iban")
 
 
+def may_hold_entities(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+
+
 def _kind(mention: Column) -> Column:
     """The first kind whose pattern covers the mention; what only context shows is a secret."""
     out = F.lit("secret")
@@ -229,7 +236,7 @@ def _render(kind: Column, mention: Column, pieces: Column) -> Column:
 
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
     """(text_key, place, mention, kind) of every distinct text's entities, in order."""
-    found = docs.where(F.col(text).rlike(HINT)).select(
+    found = docs.where(may_hold_entities(text)).select(
         text_key(text).alias("text_key"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")
     ).where("size(found) > 0")
     rows = found.select("text_key", F.posexplode("found").alias("place", "mention")).distinct()
@@ -276,7 +283,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     rebuilt = F.array_join(F.flatten(F.zip_with(
         between, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit("")))
     )), "")
-    has_hint = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    has_hint = may_hold_entities(text)
     changed = base.where(has_hint).withColumn("text_key", text_key(text)).join(by_text, "text_key", "left").select(
         *[(F.coalesce(F.when(F.col("_new").isNotNull(), rebuilt), F.col(c)).alias(c) if c == text else F.col(f"`{c}`")) for c in base.columns],
         F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_entities"),
