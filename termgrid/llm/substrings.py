@@ -239,7 +239,8 @@ def subtrees(size: int):
 def repeated_windows(docs: DataFrame, size: int, text: str, group: int = GROUP) -> DataFrame:
     """(text_key, hits): for each text with repeated windows, structs of a start word and a bit mask of windows from there."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = ask(docs, size, parts, text).repartition(parts, "part")
+    ranges = max(4, parts // 4)  # anchors are few against words, and each question carries its block's text keys
+    asked = ask(docs, size, ranges, text).repartition(ranges, "part")
     repeated = asked.mapInPandas(answer, "text_key binary, anchor long")
     by_text = repeated.groupBy("text_key").agg(F.collect_list("anchor").alias("repeated"))
     texts = docs.select(F.unhex(text_key(text)).alias("text_key"), F.col(text).alias("text")).where("text is not null")
