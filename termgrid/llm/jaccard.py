@@ -49,19 +49,19 @@ from termgrid.sources.scratch import materialize
 
 PACKED_BYTES = 4 << 20  # text in a block
 SEVERAL = 1 << 31  # owner numbers from here on are counts of owners
-TOKEN_BITS = 56
+TOKEN_BITS = 48  # of a token's hash; sizes are counted on 64
 RANGES = 64  # hash ranges of the count bound
 ORDERS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 _PACKED = "part int, block long, kind int, a binary, b binary, c binary"
 _SETS = (
-    "doc_id long, n_shingles long, class string, shared long, counts binary, order1 array<long>, order2 array<long>, "
-    "order3 array<long>, tokens binary"
+    "doc_id long, n_shingles long, class string, shared long, counts binary, order1 array<long>, order2 array<int>, "
+    "order3 array<int>, tokens binary"
 )
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
-    """The sorted distinct tokens of each text."""
+    """The sorted distinct token hashes of each text."""
     lowered = LOWER[data]
     words = find_words(lowered, offsets, BLANK_SEPARATED)
     hashes = hash_words(lowered, words)
@@ -72,7 +72,7 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]
             own = gram_hashes(own, n)
         elif len(own):
             own = gram_hashes(own, len(own))
-        out.append(np.unique(own >> np.uint64(64 - TOKEN_BITS)))
+        out.append(np.unique(own))
     return out
 
 
@@ -101,7 +101,7 @@ def pack_block(ids: list, sets: list[np.ndarray], number: int, parts: int) -> li
     lead: dict[tuple[int, int], int] = {}  # the first document with each set stands for it
     for i, name in enumerate(names):
         lead.setdefault(name, i)
-    own = [sets[i] for i in lead.values()]
+    own = [np.unique(sets[i] >> np.uint64(64 - TOKEN_BITS)) for i in lead.values()]
     tokens = np.concatenate([*own, np.zeros(0, np.uint64)])
     owner = np.repeat(np.arange(len(own), dtype=np.uint32), [len(s) for s in own])
     order = np.argsort(tokens, kind="stable")
@@ -113,7 +113,9 @@ def pack_block(ids: list, sets: list[np.ndarray], number: int, parts: int) -> li
     sent[several] = SEVERAL + count[several]
     inside = np.repeat(several, count)
     table = (ids, [len(s) for s in sets], names, list(lead.values()))
-    lists = (distinct[several], count[several], owner[inside])
+    lists = (
+        planes(np.diff(distinct[several], prepend=np.uint64(0))), planes(count[several].astype(np.uint32)), planes(owner[inside]),
+    )
     rows = [{"part": number % parts, "block": number, "kind": 1, "a": pickle.dumps(table), "b": pickle.dumps(lists), "c": b""}]
     named = np.array([names[i][0] for i in lead.values()], dtype=np.uint64).tobytes()
     edges = np.searchsorted(distinct, [(p << TOKEN_BITS) // parts for p in range(parts)] + [1 << TOKEN_BITS])
@@ -176,6 +178,8 @@ def rebuild(batches, percent: int):
         for kind, a, b, c in rows:
             if kind == 1:
                 (ids, sizes, names, lead), (listed, count, docs) = pickle.loads(a), pickle.loads(b)
+                listed = np.cumsum(unplanes(listed, np.uint64), dtype=np.uint64)
+                count, docs = unplanes(count, np.uint32), unplanes(docs, np.uint32)
             else:
                 tokens.append(np.cumsum(unplanes(a, np.uint64), dtype=np.uint64))
                 owners.append(unplanes(b, np.uint32).astype(np.int64))
@@ -201,7 +205,9 @@ def rebuild(batches, percent: int):
                     row[4] = np.minimum(np.bincount((mix(t) >> np.uint64(58)).astype(np.int64), minlength=RANGES), 65535).astype("<u2").tobytes()
                     for k, salt in enumerate(ORDERS):
                         row[5 + k] = t[np.lexsort((mix(t ^ salt), w))[:prefix]].astype(np.int64)
-                    row[8] = t.tobytes()
+                        if k:  # what only filters may be shorter: equal tokens stay equal
+                            row[5 + k] = row[5 + k].astype(np.int32)
+                    row[8] = planes(np.diff(t, prepend=np.uint64(0)))
             out.append(row)
         for start in range(0, len(out), 1000):
             yield pd.DataFrame(out[start : start + 1000], columns=[
@@ -229,7 +235,7 @@ def verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for n_a, n_b, x, y in zip(batch["n_a"], batch["n_b"], batch["x"], batch["y"]):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                both = len(np.intersect1d(*(np.cumsum(unplanes(raw, np.uint64)) for raw in (x, y)), assume_unique=True))
                 keep.append(_similar(both, n_a, n_b, percent))
             yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
@@ -241,14 +247,15 @@ def verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def candidates(classes: DataFrame, percent: int, components: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, that pass the filters of all orders; with components, only pairs of different ones."""
-    rows = classes.select("class", "n_shingles", "shared", "counts", "order1", "order2", "order3", F.explode("order1").alias("token"))
+    thin = classes.select("class", F.explode("order1").alias("token"))
     if components is None:
-        rows = rows.withColumn("root", F.col("class"))
+        thin = thin.withColumn("root", F.col("class"))
     else:
-        rows = rows.join(components.withColumnRenamed("node", "class"), "class", "left")
-        rows = rows.withColumn("root", F.coalesce("root", "class"))
-    mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
+        thin = thin.join(components.withColumnRenamed("node", "class"), "class", "left")
+        thin = thin.withColumn("root", F.coalesce("root", "class"))
+    mixed = thin.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+    open_rows = thin.join(mixed, "token", "left_semi")
+    rows = open_rows.join(classes.drop("tokens"), "class")
     a = rows.select([F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.select([F.col(c).alias(f"b_{c}") for c in rows.columns])
     least = F.least("a_shared", "b_shared")
