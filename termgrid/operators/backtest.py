@@ -129,7 +129,10 @@ def logistic(rows: int, max_iter: int = 1000) -> LogisticRegression:
     )
 
 
-def forest(trees: int, max_depth: int = 12, seed: int = RANDOM_STATE) -> RandomForestClassifier:
+MAX_DEPTH = 30  # the most Spark grows; trees end earlier where nothing is left to split
+
+
+def forest(trees: int, max_depth: int = MAX_DEPTH, seed: int = RANDOM_STATE) -> RandomForestClassifier:
     return RandomForestClassifier(
         labelCol="label", weightCol="weight", numTrees=trees, maxDepth=max_depth,
         minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
@@ -273,13 +276,17 @@ def _fit_models(train, features, label, prep_args, estimators):
     ready = ready.select("features", "label", "weight")
     rows = ready.count()
     for name, make in estimators.items():
-        models[name] = make(rows).fit(ready)
-        status[name] = "fit"
+        try:
+            models[name] = make(rows).fit(ready)
+            status[name] = "fit"
+        except Exception as error:  # one model that can't be fitted leaves the others standing
+            status[name] = f"skipped_fit_error: {type(error).__name__}"
     return prep, status, models
 
 
 def trajectory_backtest(
     lagged: DataFrame, models=("logistic_regression", "random_forest"), trees: int = 300, seed: int = RANDOM_STATE,
+    max_depth: int = MAX_DEPTH,
 ) -> Backtest:
     """Baselines and models on the eligible targets; inputs are prior years plus level, subject, term."""
     targets = materialize(trajectory_targets(lagged), "targets")
@@ -287,7 +294,7 @@ def trajectory_backtest(
     train = targets.where(F.col("split") == "train")
     makers = {
         "logistic_regression": lambda rows: logistic(rows),
-        "random_forest": lambda rows: forest(trees, seed=seed),
+        "random_forest": lambda rows: forest(trees, max_depth, seed),
     }
     prep, status, fitted = _fit_models(
         train, TRAJECTORY_NUMERIC, "w_flag", {"drop_reference": True}, {m: makers[m] for m in models}
@@ -314,7 +321,7 @@ def trajectory_backtest(
 
 def risk_backtest(
     table: FeatureTable, models=("logistic_regression", "random_forest"), trees: int = 250,
-    fraction: float = RECALL_FRACTION, seed: int = RANDOM_STATE,
+    fraction: float = RECALL_FRACTION, seed: int = RANDOM_STATE, max_depth: int = MAX_DEPTH,
 ) -> Backtest:
     """Majority baseline and models for the high-share label, train and holdout metrics."""
     rows = materialize(table.rows.where(F.col("high_w_risk").isNotNull()), "labelled")
@@ -327,7 +334,7 @@ def risk_backtest(
     numeric_names, categorical = model_features(train)
     makers = {
         "logistic_regression": lambda n: logistic(n, 2000),
-        "random_forest": lambda n: forest(trees, seed=seed),
+        "random_forest": lambda n: forest(trees, max_depth, seed),
     }
     prep, status, fitted = _fit_models(
         train, numeric_names, "high_w_risk", {"categorical": categorical}, {m: makers[m] for m in models}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import KMeans
@@ -22,6 +23,9 @@ PROFILE_COLUMNS = (
     "historical_term_count", "w_proxy",
 )
 
+MAX_ITERATIONS = 300
+FITS_AT_ONCE = 4
+
 
 @dataclass
 class Profiles:
@@ -76,10 +80,11 @@ def course_profiles(
         for k in range(2, upper + 1):
             if distinct <= k:
                 continue
-            fits = [
-                KMeans(k=k, seed=seed + attempt, predictionCol="cluster").fit(points)
-                for attempt in range(restarts)
-            ]
+            def fit(attempt: int, k: int = k):
+                return KMeans(k=k, maxIter=MAX_ITERATIONS, seed=seed + attempt, predictionCol="cluster").fit(points)
+
+            with ThreadPoolExecutor(FITS_AT_ONCE) as pool:  # small jobs over the same persisted points
+                fits = list(pool.map(fit, range(restarts)))
             model = min(fits, key=lambda fit: fit.summary.trainingCost)
             if model.summary.k < 2 or sum(size > 0 for size in model.summary.clusterSizes) < 2:
                 continue

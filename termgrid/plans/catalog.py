@@ -25,6 +25,7 @@ from termgrid.spec import BANDS, COURSE_KEY, COURSE_TERM_KEY, SHARES, STABLE_KEY
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 9
+QUERY_DEPTH = 12  # of the forests in the registered queries; the operators' own default is the most Spark grows
 _QUERIES: dict[str, Query] = {}
 
 SUBJECTS = ("Brand#1", "Brand#7", "Brand#12")
@@ -685,20 +686,21 @@ def coef_table(spark, sf):
 
 @query
 def model_rf(spark, sf):
-    return backtest.trajectory_backtest(_lagged(spark, sf), ("random_forest",)).metrics
+    return backtest.trajectory_backtest(_lagged(spark, sf), ("random_forest",), max_depth=QUERY_DEPTH).metrics
 
 
 @query
 def risk_backtest(spark, sf):
-    return backtest.risk_backtest(_features(spark, sf), ("logistic_regression",)).metrics
+    return backtest.risk_backtest(_features(spark, sf), max_depth=QUERY_DEPTH).metrics
 
 
 @query
 def course_profiles(spark, sf):
-    found = profiles.course_profiles(_features(spark, sf).rows, restarts=3)
-    return profiles.cluster_sizes(found.rows) if found.rows is not None else spark.createDataFrame(
-        [(found.status, found.reason)], "status string, reason string"
-    )
+    found = profiles.course_profiles(_features(spark, sf).rows)
+    outcome = spark.createDataFrame([(found.status, found.reason)], "status string, reason string")
+    if found.rows is None:
+        return outcome.select("*", F.lit(None).cast("long").alias("cluster"), F.lit(None).cast("long").alias("course_count"))
+    return outcome.join(profiles.cluster_sizes(found.rows), F.lit(True), "left")
 
 
 # Timetable -------------------------------------------------------------------

@@ -12,14 +12,13 @@ from termgrid.functions.text import term_name
 from termgrid.operators.normalize import year_number
 from termgrid.spec import PanelSpec
 
-HEAD_BYTES = 512
 # Texts of the failure records.
 CHALLENGED = "WAF challenge or 202 accepted; no XML returned"
 EMPTY, HTML, INVALID = "empty body", "HTML body instead of XML", "invalid XML"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw files as (path, content); a file must fit one row (2 GB)."""
+    """Raw files as (path, content); a file must fit one row, so reading one beyond 2 GB raises an error."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
@@ -46,7 +45,7 @@ def source_coverage(raw: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
 
 
 def looks_like_html(body: Column, content_type: Column) -> Column:
-    head = F.lower(F.ltrim(F.substring(body.cast("string"), 1, HEAD_BYTES)))
+    head = F.lower(F.substring(F.regexp_replace(body.cast("string"), r"^\s+", ""), 1, len("<!doctype html")))
     typed = F.coalesce(F.lower(content_type).contains("html"), F.lit(False))
     return typed | F.coalesce(head.startswith("<!doctype html") | head.startswith("<html"), F.lit(False))
 

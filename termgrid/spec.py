@@ -120,6 +120,8 @@ class TrajectorySpec:
         years = self.source_years
         if not years or list(years) != list(range(years[0], years[0] + len(years))):
             raise ValueError("source years must be consecutive")
+        if len(years) > 64:
+            raise ValueError("at most 64 source years; title changes keep a year as one bit")
         if tuple(self.terms) != TERMS:
             raise ValueError("the trajectory uses the spring and fall terms")
         targets = set(self.target_years)

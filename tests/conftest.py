@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,7 @@ def spark():
         SparkSession.builder.master("local[8]").appName("termgrid-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.codegen.wholeStage", "false").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="termgrid-tests-")).config("spark.sql.codegen.wholeStage", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
