@@ -172,10 +172,10 @@ def _surname(word: Column, stream: Column, attempt: Column) -> Column:
 
 
 def _given(word: Column, gender: str, stream: Column, attempt: Column) -> Column:
-    """A listed name; after a few collisions, listed names are joined, as in double names."""
+    """A listed name; after a collision, listed names are joined, as in double names."""
 
     def made(script: str) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor(attempt / 4).cast("int")), lambda i: _pick(
+        parts = F.transform(F.sequence(F.lit(0), attempt), lambda i: _pick(
             GIVEN[script, gender], _number(stream, i + 1)))
         return F.array_join(parts, "-")
 
