@@ -397,7 +397,7 @@ responses AS (
 ), judged AS (
   SELECT *, CASE WHEN code IS NULL THEN NULL WHEN code = 202 OR challenge THEN 'WAF challenge or 202 accepted; no XML returned'
     WHEN code >= 400 THEN 'HTTP ' || code WHEN body = '' THEN 'empty body'
-    WHEN typed OR lower(regexp_replace(body, '^\s+', '')) LIKE '<!doctype html%' OR lower(regexp_replace(body, '^\s+', '')) LIKE '<html%' THEN 'HTML body instead of XML'
+    WHEN typed OR lower(regexp_replace(body, '^\\s+', '')) LIKE '<!doctype html%' OR lower(regexp_replace(body, '^\\s+', '')) LIKE '<html%' THEN 'HTML body instead of XML'
     WHEN page_id % 9 = 8 THEN 'invalid XML' ELSE '' END AS error FROM responses
 )"""
 
