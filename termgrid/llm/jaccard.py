@@ -18,8 +18,8 @@ under all three; what passes the intersection is verified on the whole sets.
    components.
 4. *The rest.*  Only buckets that still hold several components are joined with
    themselves, and only pairs of different components that share a prefix token
-   in every order, meet at their first common one, and whose token counts by hash
-   range allow t, are verified.  No pair inside a component is ever made, and no
+   in every order, meet at their first common one, and whose parity bitmaps differ
+   in no more bits than t allows tokens to differ, are verified.  No pair inside a component is ever made, and no
    link between components is lost.
 
 ``links`` gives every link between classes instead, by step 4 for all pairs.
@@ -50,14 +50,15 @@ from termgrid.sources.scratch import materialize
 PACKED_BYTES = 4 << 20  # text in a block
 SEVERAL = 1 << 31  # owner numbers from here on are counts of owners
 TOKEN_BITS = 48  # of a token's hash; sizes are counted on 64
-RANGES = 64  # hash ranges of the count bound
+BITMAPS = 8  # longs of the parity bitmap
 ORDERS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 _PACKED = "part int, block long, kind int, a binary, b binary, c binary"
 _SETS = (
-    "doc_id long, n_shingles long, class string, shared long, counts binary, order1 array<long>, order2 array<int>, "
-    "order3 array<int>, tokens binary"
+    "doc_id long, n_shingles long, class string, shared long, " + "".join(f"bits{k} long, " for k in range(BITMAPS))
+    + "order1 array<long>, order2 array<int>, order3 array<int>, tokens binary"
 )
+_BITS = [f"bits{k}" for k in range(BITMAPS)]
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -82,6 +83,12 @@ def set_name(tokens: np.ndarray) -> tuple[int, int]:
         return int(mix(tokens).sum(dtype=np.uint64)), int(mix(tokens ^ ORDERS[0]).sum(dtype=np.uint64))
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """A bitmap with a bit set where an odd number of tokens falls: two sets differ in at least as many tokens as bitmaps in bits."""
+    odd = np.bincount((mix(tokens) % np.uint64(64 * BITMAPS)).astype(np.int64), minlength=64 * BITMAPS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def pack(docs: DataFrame, doc_id: str, text: str, n: int, parts: int) -> DataFrame:
     def run(batches):
         number = TaskContext.get().partitionId() << 24
@@ -196,23 +203,23 @@ def rebuild(batches, percent: int):
         first_of = {doc: k for k, doc in enumerate(lead)}
         out = []
         for i, (doc, size, name) in enumerate(zip(ids, sizes, names)):
-            row = [doc, size, f"{name[0]:016x}{name[1]:016x}" if size else None, None, None, None, None, None, None]
+            row = [doc, size, f"{name[0]:016x}{name[1]:016x}" if size else None, None, *[None] * BITMAPS, None, None, None, None]
             if i in first_of and size:
                 t, w = (x[edges[first_of[i]] : edges[first_of[i] + 1]] for x in (token, level))
                 prefix = size - (percent * size + 99) // 100 + 1 - (size - len(t))
                 if prefix > 0:
                     row[3] = len(t)
-                    row[4] = np.minimum(np.bincount((mix(t) >> np.uint64(58)).astype(np.int64), minlength=RANGES), 65535).astype("<u2").tobytes()
-                    for k, salt in enumerate(ORDERS):
-                        row[5 + k] = t[np.lexsort((mix(t ^ salt), w))[:prefix]].astype(np.int64)
-                        if k:  # what only filters may be shorter: equal tokens stay equal
-                            row[5 + k] = row[5 + k].astype(np.int32)
-                    row[8] = planes(np.diff(t, prepend=np.uint64(0)))
+                    row[4 : 4 + BITMAPS] = parity(t)
+                    for k, salt in enumerate(ORDERS, 4 + BITMAPS):
+                        row[k] = t[np.lexsort((mix(t ^ salt), w))[:prefix]].astype(np.int64)
+                        if k > 4 + BITMAPS:  # what only filters may be shorter: equal tokens stay equal
+                            row[k] = row[k].astype(np.int32)
+                    row[7 + BITMAPS] = planes(np.diff(t, prepend=np.uint64(0)))
             out.append(row)
         for start in range(0, len(out), 1000):
             yield pd.DataFrame(out[start : start + 1000], columns=[
-                "doc_id", "n_shingles", "class", "shared", "counts", "order1", "order2", "order3", "tokens",
-            ])
+                "doc_id", "n_shingles", "class", "shared", *_BITS, "order1", "order2", "order3", "tokens",
+            ]).astype(dict.fromkeys(["shared", *_BITS], "Int64"))
 
 
 def document_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -259,20 +266,15 @@ def candidates(classes: DataFrame, percent: int, components: DataFrame | None =
     a = rows.select([F.col(c).alias(f"a_{c}") for c in rows.columns])
     b = rows.select([F.col(c).alias(f"b_{c}") for c in rows.columns])
     least = F.least("a_shared", "b_shared")
-    # counts by hash range, two bytes each, as hexadecimal text: the overlap is at most the sum of the lesser counts
-    def count(side: str, i):
-        at = (i * 4 + 1).cast("int")
-        text = F.hex(f"{side}_counts")
-        return F.conv(F.concat(F.substring(text, at + 2, F.lit(2)), F.substring(text, at, F.lit(2))), 16, 10).cast("int")
-
-    most = F.aggregate(
-        F.sequence(F.lit(0), F.lit(RANGES - 1)), F.lit(0), lambda s, i: s + F.least(count("a", i), count("b", i)))
+    unshared = F.col("a_n_shingles") - F.col("a_shared") + F.col("b_n_shingles") - F.col("b_shared")
+    apart = unshared + sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _BITS)
+    total = F.col("a_n_shingles") + F.col("b_n_shingles")
     return a.join(b, (
         (F.col("a_token") == F.col("b_token")) & (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root"))
         & _similar(least, F.col("a_n_shingles"), F.col("b_n_shingles"), percent)
+        & ((100 + percent) * apart <= (100 - percent) * total)
         & (F.element_at(F.array_intersect("a_order1", "b_order1"), 1) == F.col("a_token"))
         & F.arrays_overlap("a_order2", "b_order2") & F.arrays_overlap("a_order3", "b_order3")
-        & _similar(most, F.col("a_n_shingles"), F.col("b_n_shingles"), percent)
     )).select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
 
 
