@@ -38,7 +38,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and return a reader of it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
