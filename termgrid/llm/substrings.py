@@ -167,10 +167,19 @@ _STRETCH = "anchor long, stretch binary, windows int, text_key binary, start int
 
 
 def cut_stretches(size: int):
-    """For rows (text_key, text, repeated): the words that each repeated anchor's windows span."""
+    """For rows (text_key, text, repeated): the words that each repeated anchor's windows span.
+
+    A copy that follows its like is passed over: it has the same stretches at the same places.
+    """
 
     def run(batches):
+        last = None
         for batch in batches:
+            if not len(batch):
+                continue
+            before = batch["text_key"].shift(fill_value=last if last is not None else b"")
+            last = batch["text_key"].iloc[-1]
+            batch = batch[batch["text_key"] != before]
             for at in range(0, len(batch), 500):
                 some = batch.iloc[at : at + 500]
                 raw = [t.encode() for t in some["text"]]
@@ -244,7 +253,7 @@ def repeated_windows(docs: DataFrame, size: int, text: str, group: int = GROUP)
     repeated = asked.mapInPandas(answer, "text_key binary, anchor long")
     by_text = repeated.groupBy("text_key").agg(F.collect_list("anchor").alias("repeated"))
     texts = docs.select(F.unhex(text_key(text)).alias("text_key"), F.col(text).alias("text")).where("text is not null")
-    # copies of a text meet its anchors too; they give equal rows, which the distinct below makes one
+    # copies of a text meet its anchors too; most are passed over, and the distinct below makes the rest one
     cut = texts.join(by_text, "text_key").mapInPandas(cut_stretches(size), _STRETCH)
     cut = materialize(cut, "stretches")
     places = cut.select("text_key", "start", "stretch_key", "windows").distinct()
