@@ -127,7 +127,8 @@ def hash_words(data: np.ndarray, words: Words) -> np.ndarray:
     """A 64-bit hash of every word."""
     power, inverse, letter = _power_tables(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(letter[data] * power[: len(data)], out=sums[1:])
+    np.multiply(letter[data], power[: len(data)], out=sums[1:])
+    np.cumsum(sums, out=sums)
     return mix((sums[words.ends] - sums[words.starts]) * inverse[words.starts] + (words.ends - words.starts).astype(np.uint64))
 
 

@@ -48,6 +48,7 @@ from termgrid.sources.scratch import materialize
 ANCHOR = 8
 GROUP = 20_000  # stretches of one anchor that go into a subtree
 STRETCHES = 25_000  # stretches of a task
+ASKED_BYTES = 2 << 20  # text of a block that asks; hashing holds some 50 bytes for each of them
 OUTPUT = ("n_words", "n_removed", "kept", "spans")
 _SEVERAL = 1 << 31
 
@@ -84,7 +85,7 @@ def ask(docs: DataFrame, size: int, parts: int, text: str) -> DataFrame:
         schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
         number = 0
         for batch in batches:
-            for _, _, data, offsets in blocks(batch, text, 4 << 20):
+            for _, _, data, offsets in blocks(batch, text, ASKED_BYTES):
                 rows = ask_block(data, offsets, size, number, parts)
                 number += 1
                 if rows:
