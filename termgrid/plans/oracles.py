@@ -34,9 +34,14 @@ _POINTS = " + ".join(f"coalesce({b}, 0) * {p}::DOUBLE" for b, p in BAND_POINTS.i
 _TOTAL = _each("coalesce({b}, 0)", glue=" + ")
 
 RAW = f"""
-raw AS (
-  SELECT year(o_orderdate) AS year, CASE WHEN month(o_orderdate) <= 6 THEN 'spring' ELSE 'fall' END AS term,
-    year(o_orderdate) || CASE WHEN month(o_orderdate) <= 6 THEN '-sp' ELSE '-fa' END AS year_term,
+placed AS (
+  SELECT *, CASE WHEN p_partkey % 5 = 0 THEN 'spring' WHEN p_partkey % 7 = 0 THEN 'fall'
+      WHEN month(o_orderdate) <= 6 THEN 'spring' ELSE 'fall' END AS term,
+    year(o_orderdate) + CASE WHEN p_partkey % 3 <> 1 OR year(o_orderdate) % 2 = 0 THEN 0
+      WHEN year(o_orderdate) < 2000 THEN 1 ELSE -1 END AS year
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+), raw AS (
+  SELECT year, term, year || CASE WHEN term = 'spring' THEN '-sp' ELSE '-fa' END AS year_term,
     p_brand AS subject, p_partkey::VARCHAR AS number,
     CASE WHEN p_name LIKE '%gizmo' OR l_linenumber = 7 THEN 'Special Topics: ' || p_name
          WHEN l_linestatus = 'O' THEN upper(p_name) || '!'
@@ -45,10 +50,7 @@ raw AS (
     CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0.0 END AS w,
     CASE WHEN l_returnflag <> 'R' THEN nullif(l_quantity, 13.0) ELSE 0.0 END AS students,
     l_suppkey::VARCHAR AS instructor
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-  WHERE NOT (p_partkey % 5 = 0 AND month(o_orderdate) > 6)
-    AND NOT (p_partkey % 7 = 0 AND month(o_orderdate) <= 6)
-    AND NOT (p_partkey % 3 = 1 AND year(o_orderdate) % 2 = 1)
+  FROM placed
 ), scope AS (SELECT * FROM raw WHERE year IN {YEARS})"""
 
 METRICS = RAW + f""", sums AS (
