@@ -5,12 +5,14 @@ and social numbers, phone numbers, secrets (keys and tokens) and names after a
 title.  Each distinct entity gets one keyed replacement of the same type:
 
 * digits become digits, letters become letters of the same script and case, and
-  separators stay, so the format stays; card numbers keep their issuer digit and
+  separators stay, so the format stays; card numbers (issuer, length, grouping and
+  check digit fit, or a card word stands before them) keep their issuer digit and
   whether their check digit holds; internet addresses stay in range; mail
   addresses move below a reserved domain of the same ending where there is one;
 * names take given names of the gender that the title tells and family names of
   the same script; given and family names are mapped separately, so "Ms Ana Gil"
-  and "Ms Gil" still agree.
+  and "Ms Gil" still agree; words of such a name are replaced alike where the same
+  text has them without a title.
 
 A replacement depends on the key and the entity's canonical form (case, blanks
 and separators aside), so mentions of one entity agree in all documents.  The
@@ -57,22 +59,52 @@ ALPHABETS = (
 )
 
 _TITLES = "|".join(t.replace("-", r"\-") for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
-_NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}\p{L}+)?"
+_NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{L}{2}))+(?:-\p{Lu}\p{L}+)?"
+_GAPS = r"[\s\u00A0]+"  # what separates the words of a name
+_TITLED = (
+    r"(?:" + _TITLES + r")\.?(?:[ \t\u00A0]{1,3}|[ \t]?\r?\n[ \t]{0,3})" + _NAME + r"(?:[ \t\u00A0]{1,2}" + _NAME + r"){0,2}"
+)
+# First four digits of 16-digit cards; American Express and Diners have 15 and 14 digits in groups of their own.
+_ISSUERS = (
+    r"4\d{3}|5[1-5]\d{2}|2(?:22[1-9]|2[3-9]\d|[3-6]\d{2}|7[01]\d|720)|6(?:011|4[4-9]\d|5\d{2})|35(?:2[89]|[3-8]\d)|62\d{2}|220[0-4]"
+    r"|50[1-3]\d|5[6-8]\d{2}|6304|67\d{2}"
+)
+_CARD_SHAPES = "|".join(
+    rf"(?:{_ISSUERS})(?:{sep}\d{{4}}){{3}}|(?:4\d{{3}}|62\d{{2}})(?:{sep}\d{{4}}){{3}}{sep}\d{{3}}"
+    rf"|3[47]\d{{2}}{sep}\d{{6}}{sep}\d{{5}}|3(?:0[0-5]|[689]\d)\d{sep}\d{{6}}{sep}\d{{4}}" for sep in ("", " ", r"\-")
+) + r"|4\d{12}|62\d{2} \d{13}"
+_LONG_NUMBER = r"\d(?:[ \-]?\d){12,18}"
+# Words that make a number beside them a card or a phone number, whatever its form.
+_CARD_WORD = (
+    r"(?<=(?<!\p{L})(?iu:card|visa|mastercard|amex|carte|tarjeta|kreditkarte|karte|карта|карты)(?i: number| no| nr| num|)(?i: is|)[.:#]{0,2}[ \t]{0,2})"
+    + _LONG_NUMBER + r"(?!\d|\-\d)"
+)
+_PHONE_WORD = (
+    r"(?<=(?<!\p{L})(?iu:telephone|telefon|téléphone|teléfono|phone|tel|mobile|cell|handy|fax|call|dial|тел)(?i: number| no| nr|)[.:]{0,2}[ \t]{0,2})"
+    r"\+?\d(?:[ .\-/]?\d){6,13}(?![\p{L}\p{N}_])"
+)
+_SECRET_WORD = (
+    r"(?<=[=:\"'\s])(?=[A-Za-z0-9+/_\-]{8})(?<=(?:token|secret|passw|apikey|[_\-]key)\w{0,12}[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})"
+    r"[A-Za-z0-9+/_\-]{8,}={0,2}"
+)
 # Kinds in order of precedence; at one place the first that fits is taken.
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.)+\p{L}{2,24}"),
     ("secret", r"(?:(?<![A-Za-z0-9])(?=[Aegsx])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,}|xox[baprs]-[A-Za-z0-9\-]{10,}"
-               r"|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,})(?![A-Za-z0-9])"
-               r"|(?<=[=:\"'\s])(?<=(?:token|secret|passw|apikey|[_\-]key)\w{0,12}[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9+/_\-]{8,}={0,2})"),
+               r"|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,})(?![A-Za-z0-9])|" + _SECRET_WORD + ")"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    ("card", r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d]|\-\d)"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)"
-              r"|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w+.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"),
-    ("name", r"(?<![\p{L}\p{N}])(?=[A-Zг])(?:" + _TITLES + r")\.? " + _NAME + r"(?: " + _NAME + r"){0,2}"),
+    # a candidate; what no card word vouches for must also hold its check digit, and isn't part of a longer row of numbers
+    ("card", r"(?=\d)(?<![\p{L}\p{N}_\-])(?:" + _CARD_WORD + r"|(?<!\d[.,])(?<!\d )(?:" + _CARD_SHAPES + r")(?![\p{L}\p{N}_]|[.,\-]\d| \d{4}(?!\d)))"),
+    ("phone", r"(?=[+(\d])(?:(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)"
+              r"|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w+.\-])(?:1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
+              r")"),
+    ("name", r"(?<![\p{L}\p{N}])(?=[A-Zг])" + _TITLED),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+# Numbers that the words beside them vouch for.
+VOUCHED = "|".join(f"(?:{p})" for p in (_SECRET_WORD, r"(?=\d)(?<![\p{L}\p{N}_\-])" + _CARD_WORD, r"(?=[+\d])(?<![\p{L}\p{N}_+\-])" + _PHONE_WORD))
 # Texts without this hold no entity; a first character class keeps the look at each place short.
 HINT = (
     r"[@0-9]|(?=[A-Zг])(?:" + _TITLES + r"|AKIA)|(?=[tsp_\-x])(?:token|secret|passw|[_\-]key|sk-|xox[baprs]-)|apikey|eyJ"
@@ -86,9 +118,10 @@ def may_hold_entities(text: str) -> Column:
 
 def _kind(mention: Column) -> Column:
     """The first kind whose pattern covers the mention; what only context shows is a secret."""
-    out = F.lit("secret")
-    for kind, pattern in reversed([p for p in PATTERNS if p[0] != "secret"]):
-        out = F.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
+    out = F.when(mention.rlike(r"^\+?\d(?:[ .\-/]?\d){6,13}$"), "phone").otherwise("secret")
+    whole = dict(PATTERNS) | {"card": _LONG_NUMBER}
+    for kind in reversed([k for k in whole if k != "secret"]):
+        out = F.when(mention.rlike(f"^(?:{whole[kind]})$"), F.lit(kind)).otherwise(out)
     return out
 
 
@@ -197,19 +230,41 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column
     return out
 
 
+def _title(mention: Column) -> Column:
+    return F.element_at(F.split(mention, _GAPS), 1)
+
+
 def _gender(mention: Column) -> Column:
-    title = F.regexp_replace(F.substring_index(mention, " ", 1), r"\.$", "")
+    title = F.regexp_replace(_title(mention), r"\.$", "")
     return F.when(title.isin(*FEMALE_TITLES), "f").when(title.isin(*MALE_TITLES), "m").otherwise("n")
 
 
-def _parts(kind: Column, mention: Column) -> Column:
-    """The pieces of a mention that are replaced one by one: (kind, canonical form)."""
-    names = F.slice(F.split(mention, " "), 2, 9)
+def _name_parts(mention: Column) -> Column:
+    """(kind, canonical form) of the words after a title."""
+    names = F.slice(F.split(mention, _GAPS), 2, 9)
     last = F.size(names)
-    pieces = F.transform(names, lambda n, i: F.struct(
+    return F.transform(names, lambda n, i: F.struct(
         F.when(i == last - 1, F.lit("family")).otherwise(F.concat(F.lit("given-"), _gender(mention))).alias("kind"), n.alias("canon"),
     ))
-    return F.when(kind == "name", pieces).otherwise(F.array(F.struct(kind.alias("kind"), _canonical(kind, mention).alias("canon"))))
+
+
+def _untitled_parts(mention: Column, roles: Column) -> Column:
+    """(kind, canonical form) of words that a title showed elsewhere in the text: the last one is a family name if it can be."""
+    words = F.split(mention, _GAPS)
+    last = F.size(words)
+
+    def role(word: Column, i: Column) -> Column:
+        own = F.filter(roles, lambda r: r["canon"] == word)
+        likely = F.filter(own, lambda r: (r["kind"] == "family") == (i == last - 1))
+        return F.element_at(F.concat(likely, own), 1)
+
+    return F.transform(words, role)
+
+
+def _parts(kind: Column, mention: Column, roles: Column) -> Column:
+    """The pieces of a mention that are replaced one by one: (kind, canonical form)."""
+    return F.when(kind == "name", _name_parts(mention)).when(kind == "untitled", _untitled_parts(mention, roles)).otherwise(
+        F.array(F.struct(kind.alias("kind"), _canonical(kind, mention).alias("canon"))))
 
 
 def _render(kind: Column, mention: Column, pieces: Column) -> Column:
@@ -227,20 +282,52 @@ def _render(kind: Column, mention: Column, pieces: Column) -> Column:
         )
 
     spread = F.aggregate(slots, F.struct(F.lit("").alias("text"), F.lit(0).alias("n")), fill, lambda s: s["text"])
+    words = F.when(kind == "name", F.concat(F.array(_title(mention)), pieces)).otherwise(pieces)
+    gaps = F.slice(F.split(mention, r"[^\s\u00A0]+"), 2, 9)
+    named = F.array_join(F.flatten(F.zip_with(words, gaps, lambda w, g: F.array(w, F.coalesce(g, F.lit(""))))), "")
     return (
-        F.when(kind == "name", F.concat_ws(" ", F.substring_index(mention, " ", 1), F.array_join(pieces, " ")))
+        F.when(kind.isin("name", "untitled"), named)
         .when(kind.isin("iban", "card", "phone", "ssn"), spread)
         .when((kind == "email") & (F.upper(mention) == mention), F.upper(made)).otherwise(made)
     )
 
 
+def _pattern(names: Column) -> Column:
+    """ANY, or one of a text's own names (joined by |) in a row."""
+    return F.concat(
+        F.lit(ANY + r"|(?<![\p{L}\p{N}]|\p{L}-)(?:"), names, F.lit(r")(?:[ \u00A0](?:"), names, F.lit(r")){0,2}(?![\p{L}\p{N}]|-\p{Lu})"),
+    )
+
+
 def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(text_key, place, mention, kind) of every distinct text's entities, in order."""
-    found = docs.where(may_hold_entities(text)).select(
-        text_key(text).alias("text_key"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")
-    ).where("size(found) > 0")
-    rows = found.select("text_key", F.posexplode("found").alias("place", "mention")).distinct()
-    return rows.withColumn("kind", _kind(F.col("mention")))
+    """(text_key, place, mention, kind, roles, names) of every distinct text's entities, in order.
+
+    Names that a title shows anywhere in a text are found again without one; roles
+    tells what their words are, names are the words themselves, joined by |.  A
+    candidate that turns out to be no entity has a null kind and stays as it is.
+    """
+    titled = docs.where(may_hold_entities(text)).select(
+        text_key(text).alias("text_key"), F.col(text).alias("whole"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("titled")
+    )
+    shown = F.filter("titled", lambda m: m.rlike(f"^{_TITLED}$"))
+    known = titled.select(
+        "*", F.array_distinct(F.flatten(F.transform(shown, _name_parts))).alias("roles"),
+        F.when(F.exists("titled", lambda m: m.rlike(f"^{_LONG_NUMBER}$")), F.regexp_extract_all("whole", F.lit(VOUCHED), F.lit(0)))
+        .otherwise(F.array().cast("array<string>")).alias("vouched"),
+    ).withColumn("names", F.array_join(F.array_distinct(F.transform("roles", lambda r: r["canon"])), "|"))
+    found = known.withColumn("found", F.when(
+        F.col("names") != "", F.regexp_extract_all("whole", _pattern(F.col("names")), F.lit(0))).otherwise(F.col("titled")))
+    each = F.transform("found", lambda m: F.struct(
+        m.alias("mention"), F.filter("roles", lambda r: F.array_contains(F.split(m, _GAPS), r["canon"])).alias("roles"),
+        F.array_contains("vouched", m).alias("vouched"),
+    ))
+    # posexplode_outer, as an inferred filter below a plain one would run the patterns again
+    rows = found.select("text_key", "names", F.posexplode_outer(each).alias("place", "m")).where("m is not null")
+    rows = rows.select("text_key", "names", "place", "m.*").distinct().withColumn("kind", _kind(F.col("mention")))
+    is_card = F.col("vouched") | (_luhn_sum(F.regexp_replace("mention", "[^0-9]", "")) % 10 == 0)
+    kind = F.when((F.col("kind") == "secret") & (F.size("roles") > 0), "untitled").when(
+        (F.col("kind") != "card") | is_card, F.col("kind"))
+    return rows.select("text_key", "place", "mention", kind.alias("kind"), "roles", "names")
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -268,25 +355,28 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     """Rewrite the text of every row and add ``n_entities``; all other columns stay."""
     base = without(docs, "n_entities")
     found = materialize(mentions(base, text), "mentions")
-    pieces = found.select(
-        "text_key", "place", "mention", "kind", F.posexplode(_parts(F.col("kind"), F.col("mention"))).alias("piece", "part")
-    ).select("text_key", "place", "mention", F.col("kind").alias("whole"), "piece", "part.kind", "part.canon")
+    pieces = found.where("kind is not null").select(
+        "text_key", "place", "mention", "kind", "names",
+        F.posexplode(_parts(F.col("kind"), F.col("mention"), F.col("roles"))).alias("piece", "part"),
+    ).select("text_key", "place", "mention", "names", F.col("kind").alias("whole"), "piece", "part.kind", "part.canon")
     mapping = assign(pieces.select("kind", "canon").distinct(), key)
     replaced = pieces.join(mapping, ["kind", "canon"])
-    rendered = replaced.groupBy("text_key", "place", "mention", "whole").agg(
+    rendered = replaced.groupBy("text_key", "place", "mention", "whole", "names").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("piece", "surrogate"))), lambda p: p["surrogate"]).alias("pieces")
-    ).select("text_key", "place", _render(F.col("whole"), F.col("mention"), F.col("pieces")).alias("new"))
-    by_text = rendered.groupBy("text_key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda p: p["new"]).alias("_new")
+    ).select("text_key", "place", "names", _render(F.col("whole"), F.col("mention"), F.col("pieces")).alias("new"), F.lit(1).alias("n"))
+    stays = found.where("kind is null").select("text_key", "place", "names", F.col("mention").alias("new"), F.lit(0).alias("n"))
+    by_text = rendered.unionByName(stays).groupBy("text_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda p: p["new"]).alias("_new"),
+        F.max("names").alias("_names"), F.sum("n").alias("_n"),
     )
-    between = F.split(F.col(text), ANY, -1)
+    between = F.when(F.col("_names") != "", F.split(F.col(text), _pattern(F.col("_names")), -1)).otherwise(F.split(F.col(text), ANY, -1))
     rebuilt = F.array_join(F.flatten(F.zip_with(
         between, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit("")))
     )), "")
     has_hint = may_hold_entities(text)
     changed = base.where(has_hint).withColumn("text_key", text_key(text)).join(by_text, "text_key", "left").select(
         *[(F.coalesce(F.when(F.col("_new").isNotNull(), rebuilt), F.col(c)).alias(c) if c == text else F.col(f"`{c}`")) for c in base.columns],
-        F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_entities"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_entities"),
     )
     plain = base.where(~has_hint).withColumn("n_entities", F.lit(0).cast("long"))
     return changed.unionByName(plain)

@@ -267,3 +267,19 @@ def test_empty_tables(spark, docs):
     assert licenses.scan_licenses(none).count() == 0
     assert surrogates.replace_entities(none, "k").count() == 0
     assert bpe.round_trip(none, public_tokenizers.path(queries.VOCABULARY)).count() == 0
+
+
+def test_surrogates_leave_look_alikes_alone(spark):
+    texts = [
+        "years 2010 2011 2012 2013 and on", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "at 1700000000000 ms", "id 9807915762804490 and 4111111111111112",
+        "1 0 2 0 3 0 4 0 5 0 6 0 7 0 8 0", "4111 1111 1111 1111 4000 5000", "411 111 111 111 111 1", "x4111111111111111y", "250 300 45000", "2221-2010-2011-2012",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.text: r.n_entities for r in surrogates.replace_entities(df, "k").collect()} == dict.fromkeys(texts, 0)
+    cards = ["4111111111111111", "4111-1111-1111-1111", "5555 5555 5555 4444", "3782 822463 10005", "378282246310005", "6011111111111117"]
+    vouched = ["card number: 1234 5678 9012 3456", "Visa 4111 1111 1111 1112", "api_key=4111111111111112"]
+    texts = [f"a {c}, b" for c in cards] + vouched
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    for i, text in enumerate(texts):
+        assert got[i].n_entities == 1 and got[i].text != text and re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", text)
+        assert i >= len(cards) or luhn(re.sub(r"\D", "", got[i].text))
