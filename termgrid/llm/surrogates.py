@@ -84,7 +84,7 @@ _PHONE_WORD = (
     r"\+?\d(?:[ .\-/]?\d){6,13}(?![\p{L}\p{N}_])"
 )
 _SECRET_WORD = (
-    r"(?<=[=:\"'\s])(?=[A-Za-z0-9+/_\-]{8})(?<=(?:token|secret|passw|apikey|[_\-]key)\w{0,12}[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})"
+    r"(?<=[=:\"'\s])(?=[A-Za-z0-9+/_\-]{8})(?<=(?i:token|secret|passw|pwd|api[ _\-]{0,1}key|[_\-]key)\w{0,12}[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})"
     r"[A-Za-z0-9+/_\-]{8,}={0,2}"
 )
 # Kinds in order of precedence; at one place the first that fits is taken.
@@ -99,15 +99,19 @@ PATTERNS = (
     ("card", r"(?=\d)(?<![\p{L}\p{N}_\-])(?:" + _CARD_WORD + r"|(?<!\d[.,])(?<!\d )(?:" + _CARD_SHAPES + r")(?![\p{L}\p{N}_]|[.,\-]\d| \d{4}(?!\d)))"),
     ("phone", r"(?=[+(\d])(?:(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?)\d{2,4}(?:[ .\-]?\d{2,4}){1,3}(?!\w)"
               r"|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w)|(?<![\w+.\-])(?:1[ .\-])?\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])"
-              r")"),
+              r"|(?<![\w+.,/\-])(?<!\d )(?:(?:1 )?[2-9]\d{2} \d{3} \d{4}|0[1-9]\d{1,3}[ /\-]\d{5,8}|0[1-9]\d{1,3} [1-9]\d{2,3} \d{2,4}(?: \d{2})?"
+              r"|0[1-9](?: \d{2}){4}|0[1-9](?:\.\d{2}){4}|0[1-9](?:-\d{2}){4})(?! ?\d)(?![\w\-]|[.,]\d)"
+              r"|(?<![\p{L}\p{N}_+\-])" + _PHONE_WORD + ")"),
     ("name", r"(?<![\p{L}\p{N}])(?=[A-Zг])" + _TITLED),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 # Numbers that the words beside them vouch for.
 VOUCHED = "|".join(f"(?:{p})" for p in (_SECRET_WORD, r"(?=\d)(?<![\p{L}\p{N}_\-])" + _CARD_WORD, r"(?=[+\d])(?<![\p{L}\p{N}_+\-])" + _PHONE_WORD))
-# Texts without this hold no entity; a first character class keeps the look at each place short.
+# Texts without this hold no entity: numbers and mail addresses, then an opener of each title and secret; a first
+# character class keeps the look at each place short.
 HINT = (
-    r"[@0-9]|(?=[A-Zг])(?:" + _TITLES + r"|AKIA)|(?=[tsp_\-x])(?:token|secret|passw|[_\-]key|sk-|xox[baprs]-)|apikey|eyJ"
+    r"[@0-9]|(?=[A-Zг])(?:" + _TITLES + r"|AKIA)|(?=[egsx])(?:gh[pousr]_|sk-|xox[baprs]-|eyJ)"
+    r"|(?=[tspaTSPA_\-])(?i:token|secret|passw|pwd|api[ _\-]?key|[_\-]key)"
 )
 DIGIT_KINDS = ("ip", "ssn", "card", "phone", "iban")
 

@@ -283,3 +283,32 @@ def test_surrogates_leave_look_alikes_alone(spark):
     for i, text in enumerate(texts):
         assert got[i].n_entities == 1 and got[i].text != text and re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", text)
         assert i >= len(cards) or luhn(re.sub(r"\D", "", got[i].text))
+
+
+def test_surrogates_find_all_forms(spark):
+    rows = [
+        (0, "ghp_ABCDEFGHIJKLMNOPQRSTUVWX", "ABCDEFGH"), (1, "API_KEY=abcdefghijk", "abcdefgh"), (2, "Password: correcthorse", "correct"), (3, "SECRET=battery/staple", "battery"),
+        (4, "1-555-123-4567", "4567"), (5, "tell 555 123 4567 now", "123 4567"), (6, "030 1234567", "1234567"), (7, "06 12 34 56 78", "34 56 78"),
+        (8, "tel. 612345678", "612345678"), (9, "Client_Secret = \"abcdefghijkl\"", "abcdefgh"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string, real string"), "k").collect()}
+    for r in got.values():
+        assert r.n_entities == 1 and r.real not in r.text and len(r.text) == len(rows[r.doc_id][1]), r
+    for kind, pattern in surrogates.PATTERNS:
+        assert kind in ("email", "secret", "name") or r"\d" in pattern  # what the hint's digits stand for
+
+
+def test_surrogates_of_names_without_a_title(spark):
+    rows = [
+        (1, "Ms Ana Gil wrote. Ana Gil said, as Gil does: Gilbert met Ana's aunt. Gil-Robles stays."), (2, "Ana Gil is not known here"),
+        (3, "Herr\nOtto  Gil und Frau Eva Berg. Eva Berg rief Otto, dann Berg."), (4, "a г-н Иван Петров. Петров"), (5, "Ms Gil's book and Gil's pen"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    given, family = re.fullmatch(r"Ms (\w+) (\w+) wrote\. .*", got[1].text).groups()
+    assert got[1].text == f"Ms {given} {family} wrote. {given} {family} said, as {family} does: Gilbert met {given}'s aunt. Gil-Robles stays."
+    assert family != "Gil" and given != "Ana" and got[1].n_entities == 4
+    assert got[2].text == rows[1][1] and got[2].n_entities == 0
+    otto, gil, eva, berg = re.match(r"Herr\n(\w+)  (\w+) und Frau (\w+) (\w+)\.", got[3].text).groups()
+    assert got[3].text == f"Herr\n{otto}  {gil} und Frau {eva} {berg}. {eva} {berg} rief {otto}, dann {berg}." and gil == family != berg
+    assert re.fullmatch(r"a г-н \w+ (\w+)\. \1", got[4].text) and "Петров" not in got[4].text
+    assert got[5].text == f"Ms {family}'s book and {family}'s pen"
