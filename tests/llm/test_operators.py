@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -312,3 +313,50 @@ def test_surrogates_of_names_without_a_title(spark):
     assert got[3].text == f"Herr\n{otto}  {gil} und Frau {eva} {berg}. {eva} {berg} rief {otto}, dann {berg}." and gil == family != berg
     assert re.fullmatch(r"a г-н \w+ (\w+)\. \1", got[4].text) and "Петров" not in got[4].text
     assert got[5].text == f"Ms {family}'s book and {family}'s pen"
+
+
+def sample(parsed, rng):
+    """A string that a parsed pattern matches, white space as line feeds; places aside."""
+    out = ""
+    for op, value in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "NOT_LITERAL":
+            out += "x"
+        elif op == "IN":
+            items = [i for i in value if str(i[0]) != "NEGATE"]
+            kind, item = ("LITERAL", ord("x")) if len(items) < len(value) else items[rng.integers(len(items))]
+            names = {"CATEGORY_SPACE": "\n", "CATEGORY_DIGIT": "1", "CATEGORY_WORD": "w"}
+            out += names[str(item)] if str(kind) == "CATEGORY" else chr(item[0] if str(kind) == "RANGE" else item)
+        elif op == "BRANCH":
+            out += sample(value[1][rng.integers(len(value[1]))], rng)
+        elif op == "SUBPATTERN":
+            out += sample(value[-1], rng)
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            out += "".join(sample(inner, rng) for _ in range(rng.integers(low, min(int(high), low + 2) + 1)))
+        else:
+            assert op in ("AT", "ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_license_keywords_open_every_match():
+    rng = np.random.default_rng(3)
+    for rule in licenses.rules():
+        assert not any(c.isspace() for k in rule.keywords for c in k)
+        matches = [m.group() for _ in range(40) for m in [rule.pattern.search(sample(re._parser.parse(rule.pattern.pattern), rng))] if m]
+        assert matches, rule
+        for match in matches:
+            assert any(k in match for k in rule.keywords) and licenses.TELLING.search(match), (rule, match)
+            assert licenses.scan(match), (rule, match)
+
+
+@pytest.mark.parametrize("text, label", [
+    ("MIT\nLicense", "mit"), ("Creative\nCommons", "creative-commons"), ("Public  Domain", "public-domain"), ("Creative Commons Zero", "cc0"),
+    ("GPLv3", "gpl"), ("LGPL 2.1", "lgpl"), ("AGPL-3.0-or-later", "agpl"), ("BSD 3-Clause License", "bsd"), ("two-clause BSD license", "bsd"),
+    ("released under the MIT", "mit"), ("Apache-2.0", "apache"), ("MPL 2.0", "mpl"), ("(c) 1998 x", "copyright"), ("© Someone", "copyright"),
+])
+def test_license_abbreviations_and_broken_lines(text, label):
+    found = licenses.scan(lower(f"see {text}, and more"))
+    assert {licenses.rules()[d.priority].label for d in found} == {label}
