@@ -3,10 +3,9 @@
 The tokenizers library encodes; every match of the vocabulary's split pattern
 is encoded by itself and special tokens are ordinary text.  A piece boundary
 always lies before a blank or line feed that follows a character other than
-white space, so texts are cut there and each distinct cut is handed to the
-library once per worker (the table of known cuts is emptied when it reaches a
-fixed size).  Texts where a blank or line feed follows white space go to the
-library whole.
+white space, so texts are cut there.  Each distinct short cut is handed to the
+library once per worker, until the table of known cuts reaches a fixed number of
+bytes and is emptied; longer cuts are not remembered.
 
 Decoding reverses the library's byte-to-character table: ids give bytes, and a
 character split over several tokens is whole again once the bytes are joined.
@@ -23,6 +22,7 @@ import functools
 import hashlib
 import os
 import re
+import sys
 
 import numpy as np
 import pandas as pd
@@ -33,9 +33,13 @@ from pyspark.sql import types as T
 
 from termgrid.llm.common import without
 
-KNOWN = 1_000_000  # cuts remembered by a worker
+KNOWN_BYTES = 128 << 20  # what the cuts remembered by a worker take, with their ids
+SHORT = 64  # characters of a cut that is remembered
+ENTRY = 128  # bytes that an entry of the table takes beside its objects
+BLOCK = 4 << 20  # characters of texts handed to the library at a time
 CHAIN = 500  # new cuts handed to the library as one text
 AFTER_BLANK = re.compile(r"\s[ \n]")
+CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
 def byte_characters() -> dict[str, int]:
@@ -59,6 +63,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         to_byte = byte_characters()
         tokens = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
@@ -69,12 +74,12 @@ class Codec:
 
     def encode_cuts(self, texts: list[list[str]]) -> list[bytes]:
         """Ids of each text, given as cuts, as little-endian unsigned 32-bit numbers."""
-        known = self.known
+        known, long = self.known, {}
         new = {c for cuts in texts for c in cuts if c not in known}
         chained = [c for c in new if c[0] in " \n" and not c[-1].isspace()]
         alone = list(new.difference(chained))
         for cut, encoded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            known[cut] = np.array(encoded.ids, dtype="<u4").tobytes()
+            self._remember(cut, np.array(encoded.ids, dtype="<u4").tobytes(), long)
         # cuts with a leading blank or line feed may stand one after another in a text without changing each other's tokens
         chains = [chained[i : i + CHAIN] for i in range(0, len(chained), CHAIN)]
         encoded = self.tokenizer.encode_batch_fast(["".join(c) for c in chains], add_special_tokens=False)
@@ -84,14 +89,31 @@ class Codec:
             last = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
             raw = ids.tobytes()
             for cut, a, b in zip(cuts, [0, *last[:-1].tolist()], last.tolist()):
-                known[cut] = raw[4 * a : 4 * b]
-        joined = [b"".join(map(known.__getitem__, cuts)) for cuts in texts]
-        if len(known) > KNOWN:
+                self._remember(cut, raw[4 * a : 4 * b], long)
+        if long:
+            joined = [b"".join([known[c] if c in known else long[c] for c in cuts]) for cuts in texts]
+        else:
+            joined = [b"".join(map(known.__getitem__, cuts)) for cuts in texts]
+        if self.known_bytes > KNOWN_BYTES:
             known.clear()
+            self.known_bytes = 0
         return joined
 
+    def _remember(self, cut: str, ids: bytes, long: dict[str, bytes]) -> None:
+        if len(cut) > SHORT:
+            long[cut] = ids
+        else:
+            self.known[cut] = ids
+            self.known_bytes += sys.getsizeof(cut) + sys.getsizeof(ids) + ENTRY
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.encode_cuts([cut_text(t) for t in texts])
+        out, first, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= BLOCK or end == len(texts):
+                out += self.encode_cuts([cut_text(t) for t in texts[first:end]])
+                first, size = end, 0
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -112,7 +134,7 @@ def cut_text(text: str) -> list[str]:
     if not text:
         return []
     if AFTER_BLANK.search(text):
-        return [text]
+        return CUT.split(text)
     cuts = []
     for number, line in enumerate(text.split("\n")):
         first, *rest = line.split(" ")

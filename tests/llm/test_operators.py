@@ -360,3 +360,15 @@ def test_license_keywords_open_every_match():
 def test_license_abbreviations_and_broken_lines(text, label):
     found = licenses.scan(lower(f"see {text}, and more"))
     assert {licenses.rules()[d.priority].label for d in found} == {label}
+
+
+def test_bpe_table_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 100_000)
+    c = bpe.Codec(public_tokenizers.path(queries.VOCABULARY))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for k in range(40):
+        texts = [f"{k} {i}  indented\n\n\tx{i * k} \n y\x1c z\u3000 {'long' * 30}{i}\r\n\r\n  " + "w " * 50 for i in range(50)]
+        assert c.encode(texts) == [np.array(plain.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+        assert all(len(cut) <= 64 for cut in c.known) and c.known_bytes <= 100_000
+        assert sum(sys.getsizeof(a) + sys.getsizeof(b) for a, b in c.known.items()) <= c.known_bytes
