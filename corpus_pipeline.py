@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 Parquet and read again as the next stage's documents.
 
 Defined results of all stages: null and blank texts are rejected by the first
-stage (they have no letter); null ids, languages and sources are kept; rows equal
+stage (they have no letter), which replaces every language; null ids and sources are kept; rows equal
 in id and text are one document after the second stage; extra columns are carried;
 an empty table gives an empty table.
 """
@@ -24,10 +24,10 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a recognisable language go; a missing language is filled in."""
+    """Texts without a recognisable language go; the language of the others is the recognised one."""
     found = language.predict(docs, language.fit(language.learnable(docs)))
     known = found.where(F.col("lang_pred") != language.UNKNOWN)
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return known.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
