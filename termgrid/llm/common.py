@@ -150,12 +150,34 @@ def unplanes(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
+FEW_KEYS = 100_000  # a table of this many keys and one number each is broadcast: some 5 MB
+HOT_SHARE = 1000  # otherwise only keys that hold at least one in so many rows are, and there are at most so many of those
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, *values: str) -> DataFrame:
+    """Join one row of facts per key (null is a key) to rows, however many rows a key holds.
+
+    Few keys are broadcast after they were counted.  Of many, the hot ones are,
+    and the rest is a shuffle join, in which no key is hot.
+    """
+    # a struct of a null equals another one, so nulls meet in a plain equality join
+    facts = materialize(facts.select(F.struct(F.col(f"`{fact_key}`").alias("key")).alias("_at"), *values), "facts")
+    here = rows.withColumn("_at", F.struct(F.col(f"`{key}`").alias("key")))
+    if facts.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        return here.join(F.broadcast(facts), "_at").drop("_at")
+    sizes = here.groupBy("_at").count()
+    hot = materialize(sizes.where(F.col("count") >= max(1, here.count() // HOT_SHARE)).select("_at"), "hot-keys")
+    crowded = here.join(F.broadcast(hot), "_at", "left_semi").join(F.broadcast(facts.join(F.broadcast(hot), "_at", "left_semi")), "_at")
+    others = here.join(F.broadcast(hot), "_at", "left_anti").join(facts, "_at")
+    return crowded.unionByName(others).drop("_at")
+
+
 def smallest_reachable(nodes_links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected link table: (node, root), root the least node reachable.
 
     Alternates two linear steps until nothing changes: every node points its
     larger neighbours at its least neighbour, then every node points its smaller
-    neighbours (and itself) there.  Each round is a few joins-free aggregations;
+    neighbours (and itself) there.  Each round is a few aggregations and joins;
     a star with very many leaves is read as rows, never gathered.
     """
     links = materialize(

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgrid.llm import ann, bpe, jaccard, language, licenses, mips, mixing, substrings, surrogates, urls
+from termgrid.llm import ann, ballcodes, bpe, jaccard, language, licenses, mips, mixing, substrings, surrogates, urls
 
 VOCABULARY = "byte_bpe_50k.json"  # the vocabulary of byte_bpe_50k.tiktoken in the tokenizers library's form
 ALLOW_URLS = ("example.net/en/", "org/fr/")
@@ -74,8 +74,13 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_entities(docs, SURROGATE_KEY)
 
 
+def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ballcodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard, op2_substrings, op3_licenses, op4_ann, op5_top_products, op6_bpe, op7_urls, op8_mixing, op9_language, op10_surrogates)}
+    return {f.__name__: f for f in (op1_jaccard, op2_substrings, op3_licenses, op4_ann, op5_top_products, op6_bpe, op7_urls, op8_mixing, op9_language, op10_surrogates, op11_ball_codes)}
 
 
 OP7_SQL = r"""
@@ -109,5 +114,40 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+def _op11_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Plain k-means on all pairs of a part and an entry, a few CTEs a round."""
+    steps = [f"""
+kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS n, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), pieces AS (
+  SELECT n, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS t(p)
+), book0 AS (SELECT p, n - 1 AS e, x AS c FROM pieces WHERE n <= {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS (
+  SELECT n, p, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS best
+  FROM pieces JOIN book{r} USING (p) GROUP BY n, p
+)""")
+        if r < rounds:
+            steps.append(f"""
+means{r} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, best.e AS e, i, CAST(floor(sum(x[i + 1])::DOUBLE / count(*)) AS BIGINT) AS m
+    FROM near{r} JOIN pieces USING (n, p), range(64) AS t(i) WHERE i < len(x) GROUP BY p, best.e, i
+  ) GROUP BY p, e
+), book{r + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN means{r} m USING (p, e))""")
+    steps.append(f"""
+coded AS (
+  SELECT n, CAST(sum(best.d) AS BIGINT) AS error, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code FROM near{rounds} GROUP BY n
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (n), digest""")
+    return "WITH " + ",".join(steps[:-1]) + "," + steps[-1]
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_top_products": OP5_SQL, "op7_urls": OP7_SQL}
+    return {"op5_top_products": OP5_SQL, "op7_urls": OP7_SQL, "op11_ball_codes": _op11_sql()}
