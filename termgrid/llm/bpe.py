@@ -12,8 +12,12 @@ character split over several tokens is whole again once the bytes are joined.
 
 Defined results: a null text is empty and has no tokens; repeated rows are
 encoded alike; an empty table gives an empty table; input columns that clash
-with the outputs (in any case) are replaced; ids outside the vocabulary, when
-decoding, raise.
+with the outputs (in any case) are replaced.  When decoding, null ids give no
+bytes; a null or an id outside the vocabulary inside a list raises a ValueError.
+
+A worker holds one tokenizer and one table of cuts: encoding and checking that
+the ids decode to the text again happen in one pass, on blocks of rows that hold
+about 2 MB of text, and ids stay in flat arrays.
 """
 
 from __future__ import annotations
@@ -31,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termgrid.llm.common import without
+from termgrid.llm.common import blocks, lists, unused, without
 
 KNOWN_BYTES = 128 << 20  # what the cuts remembered by a worker take, with their ids
 SHORT = 64  # characters of a cut that is remembered
 ENTRY = 128  # bytes that an entry of the table takes beside its objects
 BLOCK = 4 << 20  # characters of texts handed to the library at a time
+DECODE_IDS = 1 << 20  # ids decoded at a time
 CHAIN = 500  # new cuts handed to the library as one text
 AFTER_BLANK = re.compile(r"\s[ \n]")
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -116,12 +121,29 @@ class Codec:
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids one after another."""
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(self.lengths):
+            raise ValueError("an id outside the vocabulary")
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         shift = np.repeat(self.begins[ids] - (ends - lengths), lengths)
         return self.bytes[shift + np.arange(total)].tobytes()
 
+    def decode_lists(self, column: pa.Array):
+        """The bytes of each row of a list column, null rows empty; some rows' flat ids at a time."""
+        if column.values.slice(column.offsets[0].as_py(), column.offsets[-1].as_py() - column.offsets[0].as_py()).null_count:
+            raise ValueError("a null among the ids")
+        values, offsets, valid = column.values.to_numpy(zero_copy_only=False), np.asarray(column.offsets), column.is_valid().to_numpy(zero_copy_only=False)
+        first = 0
+        while first < len(column):
+            end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + DECODE_IDS, side="right")) - 1)
+            ids = values[offsets[first] : offsets[end]].astype(np.int64)
+            raw, at = self.decode(ids), np.concatenate(([0], np.cumsum(self.lengths[ids])))
+            for row in range(first, end):
+                yield raw[at[offsets[row] - offsets[first]] : at[offsets[row + 1] - offsets[first]]] if valid[row] else b""
+            first = end
+
     def offsets(self, text: str, ids: np.ndarray) -> np.ndarray:
         """First character and end character that each token covers, in whole or in part."""
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -153,29 +175,39 @@ def _texts(series: pd.Series) -> list[str]:
     return [t if isinstance(t, str) else "" for t in series]
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """Add ``ids`` (array of int) and, if asked for, ``offsets`` (character start and end of each token)."""
-    added = ("ids", "offsets") if offsets else ("ids",)
-    base = without(docs, *(a for a in added if a != text))
-    fields = [f for f in base.schema.fields] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
+def encoded_blocks(batches, vocabulary: str, text: str):
+    """(codec, rows, their texts, the ids of each as bytes), for blocks of rows of about 2 MB of text."""
+    c = codec(vocabulary)
+    for batch in batches:
+        for first, end, _, _ in blocks(batch, text):
+            rows = batch.slice(first, end - first)
+            texts = [t or "" for t in rows.column(text).to_pylist()]
+            yield c, rows, texts, c.encode(texts)
+
+
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", offsets: bool = False, exact: bool = False) -> DataFrame:
+    """Add ``ids`` (array of int) and, if asked for, ``offsets`` (character start and end of each token)
+    and ``exact`` (the ids decode to the text's bytes)."""
+    added = {"ids": T.ArrayType(T.IntegerType(), False)}
     if offsets:
-        fields.append(T.StructField("offsets", T.ArrayType(T.ArrayType(T.IntegerType()))))
+        added["offsets"] = T.ArrayType(T.ArrayType(T.IntegerType()))
+    if exact:
+        added["exact"] = T.BooleanType()
+    base = without(docs, *(a for a in added if a != text))
 
     def run(batches):
-        c = codec(vocabulary)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                rows = batch.slice(start, 500)
-                texts = [t or "" for t in rows.column(text).to_pylist()]
-                ids = [np.frombuffer(b, dtype="<u4") for b in c.encode(texts)]
-                columns = [*rows.columns, pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32()))]
-                if offsets:
-                    columns.append(pa.array(
-                        [c.offsets(t, i).tolist() for t, i in zip(texts, ids)], pa.list_(pa.list_(pa.int32()))
-                    ))
-                yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, *added])
+        for c, rows, texts, raw in encoded_blocks(batches, vocabulary, text):
+            ids = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)))
+            each = [ids[a:b] for a, b in zip(ends, ends[1:])]
+            columns = [*rows.columns, lists(ends, ids)]
+            if offsets:
+                columns.append(pa.array([c.offsets(t, i).tolist() for t, i in zip(texts, each)], pa.list_(pa.list_(pa.int32()))))
+            if exact:
+                columns.append(pa.array([c.decode(i) == t.encode() for t, i in zip(texts, each)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, [*rows.schema.names, *added])
 
-    return base.mapInArrow(run, T.StructType(fields))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(n, t) for n, t in added.items())]))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -185,9 +217,10 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     def run(batches):
         c = codec(vocabulary)
         for batch in batches:
-            column = batch.column(ids).to_pylist()
-            out = [c.decode(np.array(i if i is not None else [], dtype=np.int64)) for i in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            for first in range(0, batch.num_rows, 500):
+                rows = batch.slice(first, 500)
+                out = pa.array(c.decode_lists(rows.column(ids)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns, out], [*rows.schema.names, "decoded"])
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
@@ -206,4 +239,5 @@ def round_trip(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFram
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     base = without(docs, "n_tokens", "ids_sha256", "decoded_sha256")
-    return base.withColumn("_d", digest(F.col(text))).select(*[f"`{c}`" for c in base.columns], "_d.*")
+    made = unused(base, "_d")
+    return base.withColumn(made, digest(F.col(text))).select(*[f"`{c}`" for c in base.columns], f"{made}.*")

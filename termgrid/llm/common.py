@@ -44,6 +44,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(column: str = "text"):
     """128-bit key of a text; null texts count as empty."""
     return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -86,6 +94,11 @@ def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES):
         first = end
 
 
+def lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A list column from flat values, without a Python object a value."""
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
 class Words(NamedTuple):
     starts: np.ndarray  # byte positions
     ends: np.ndarray
