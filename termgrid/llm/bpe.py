@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 import sys
@@ -39,7 +40,7 @@ from termgrid.llm.common import blocks, lists, unused, without
 
 KNOWN_BYTES = 128 << 20  # what the cuts remembered by a worker take, with their ids
 SHORT = 64  # characters of a cut that is remembered
-ENTRY = 128  # bytes that an entry of the table takes beside its objects
+ENTRY = 240  # bytes that an entry of the table takes beside the characters and the ids
 BLOCK = 4 << 20  # characters of texts handed to the library at a time
 DECODE_IDS = 1 << 20  # ids decoded at a time
 CHAIN = 500  # new cuts handed to the library as one text
@@ -80,21 +81,20 @@ class Codec:
     def encode_cuts(self, texts: list[list[str]]) -> list[bytes]:
         """Ids of each text, given as cuts, as little-endian unsigned 32-bit numbers."""
         known, long = self.known, {}
-        new = {c for cuts in texts for c in cuts if c not in known}
+        new = set(itertools.chain.from_iterable(texts)).difference(known)
         chained = [c for c in new if c[0] in " \n" and not c[-1].isspace()]
         alone = list(new.difference(chained))
-        for cut, encoded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self._remember(cut, np.array(encoded.ids, dtype="<u4").tobytes(), long)
+        encoded = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+        self._remember(alone, [np.array(e.ids, dtype="<u4").tobytes() for e in encoded], long)
         # cuts with a leading blank or line feed may stand one after another in a text without changing each other's tokens
         chains = [chained[i : i + CHAIN] for i in range(0, len(chained), CHAIN)]
         encoded = self.tokenizer.encode_batch_fast(["".join(c) for c in chains], add_special_tokens=False)
         for cuts, e in zip(chains, encoded):
             ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum([len(c.encode()) for c in cuts])
-            last = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+            ends = np.cumsum(list(map(len, map(str.encode, cuts))))
+            last = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()
             raw = ids.tobytes()
-            for cut, a, b in zip(cuts, [0, *last[:-1].tolist()], last.tolist()):
-                self._remember(cut, raw[4 * a : 4 * b], long)
+            self._remember(cuts, [raw[a:b] for a, b in zip([0, *last], last)], long)
         if long:
             joined = [b"".join([known[c] if c in known else long[c] for c in cuts]) for cuts in texts]
         else:
@@ -104,12 +104,14 @@ class Codec:
             self.known_bytes = 0
         return joined
 
-    def _remember(self, cut: str, ids: bytes, long: dict[str, bytes]) -> None:
-        if len(cut) > SHORT:
-            long[cut] = ids
-        else:
-            self.known[cut] = ids
-            self.known_bytes += sys.getsizeof(cut) + sys.getsizeof(ids) + ENTRY
+    def _remember(self, cuts: list[str], ids: list[bytes], long: dict[str, bytes]) -> None:
+        if max(map(len, cuts), default=0) > SHORT:
+            long.update((c, i) for c, i in zip(cuts, ids) if len(c) > SHORT)
+            kept = [(c, i) for c, i in zip(cuts, ids) if len(c) <= SHORT]
+            cuts, ids = [c for c, _ in kept], [i for _, i in kept]
+        self.known.update(zip(cuts, ids))
+        # one string of all cuts takes as many bytes a character as the widest of them, or more
+        self.known_bytes += sys.getsizeof("".join(cuts)) + sum(map(len, ids)) + ENTRY * len(cuts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, first, size = [], 0, 0
@@ -153,17 +155,13 @@ class Codec:
 
 
 def cut_text(text: str) -> list[str]:
+    """The text cut before every blank or line feed that follows another character than white space."""
     if not text:
         return []
-    if AFTER_BLANK.search(text):
+    if "\0" in text or AFTER_BLANK.search(text):
         return CUT.split(text)
-    cuts = []
-    for number, line in enumerate(text.split("\n")):
-        first, *rest = line.split(" ")
-        if number or first:
-            cuts.append("\n" + first if number else first)
-        cuts += [" " + r for r in rest]
-    return cuts
+    cuts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    return cuts if cuts[0] else cuts[1:]
 
 
 @functools.lru_cache(maxsize=2)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termgrid.llm.bpe import encoded_blocks
-from termgrid.llm.common import lists, without
+from termgrid.llm.common import lists, unused, without
 from termgrid.sources.scratch import materialize
 
 OUTPUTS = ("piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -131,15 +131,18 @@ def cut_points(n: int, tokens: int) -> list[int]:
     return [0, *range(first, n + 1, tokens)] if n > tokens else [0, n]
 
 
-def pieces(docs: DataFrame, vocabulary: str, tokens: int, end_id: int, text: str = "text", ids: bool = False) -> DataFrame:
-    """A row per piece: input columns without the text, piece, start, length, ids_crc32, maybe ids, and
-    (_part, _number): the partition, and the number among its pieces of this length."""
-    base = without(docs, *(c for c in (*OUTPUTS, "ids", "_part", "_number") if c != text))
+def pieces(
+    docs: DataFrame, vocabulary: str, tokens: int, end_id: int, text: str = "text", ids: bool = False,
+    numbered: tuple[str, str] = ("_part", "_number"),
+) -> DataFrame:
+    """A row per piece: input columns without the text, piece, start, length, ids_crc32, maybe ids, and under the
+    names ``numbered`` the partition, and the number among its pieces of this length."""
+    base = without(docs, *(c for c in (*OUTPUTS, "ids") if c != text))
     fields = [f for f in base.schema.fields if f.name != text]
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = [*fields, T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))]
     schema += [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * ids
-    schema += [T.StructField("_part", T.IntegerType()), T.StructField("_number", T.LongType())]
+    schema += [T.StructField(numbered[0], T.IntegerType()), T.StructField(numbered[1], T.LongType())]
 
     def run(batches):
         from pyspark import TaskContext
@@ -166,19 +169,19 @@ def pieces(docs: DataFrame, vocabulary: str, tokens: int, end_id: int, text: str
     return base.mapInArrow(run, T.StructType(schema))
 
 
-def placed(numbered: DataFrame, orders: list[Order]) -> DataFrame:
-    """Add sequence_id and offset to pieces with their number ``_rank`` among all pieces of their length."""
+def placed(ranked: DataFrame, orders: list[Order], number: str) -> DataFrame:
+    """Add sequence_id and offset to pieces with their ``number`` among all pieces of their length."""
     by_length: dict[int, list[Order]] = {}
     for o in orders:
         by_length.setdefault(o.length, []).append(o)
     firsts = {length: np.array([o.first for o in found], dtype=np.int64) for length, found in by_length.items()}
     table = {length: np.array(found, dtype=np.int64) for length, found in by_length.items()}
-    fields = numbered.schema.fields
+    fields = ranked.schema.fields
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "_rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", number))
             out = np.empty((2, batch.num_rows), dtype=np.int64)
             for one in np.unique(length):
                 at = np.flatnonzero(length == one)
@@ -187,7 +190,7 @@ def placed(numbered: DataFrame, orders: list[Order]) -> DataFrame:
                 out[0, at], out[1, at] = order[:, 4] + turn, order[:, 5] + inside * one
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], schema.names)
 
-    return numbered.mapInArrow(run, schema)
+    return ranked.mapInArrow(run, schema)
 
 
 def pack(
@@ -196,15 +199,16 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents with their sequence and their place in it."""
     capacity.limits()
-    cut = materialize(pieces(docs, vocabulary, capacity.tokens, end_id, text, ids), "pieces")
-    counts = cut.groupBy("length", "_part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialize(counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
+    part, number, before, rank = (unused(docs, n) for n in ("_part", "_number", "_before", "_rank"))
+    cut = materialize(pieces(docs, vocabulary, capacity.tokens, end_id, text, ids, (part, number)), "pieces")
+    counts = cut.groupBy("length", part).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = materialize(counts.withColumn(before, F.coalesce(F.sum("n").over(upto), F.lit(0))), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity.tokens rows
     orders, _ = pack_lengths(histogram, capacity, rule)
-    ranked = cut.join(counts.drop("n"), ["length", "_part"]).withColumn("_rank", F.col("_before") + F.col("_number"))
-    kept = [c for c in cut.columns if c not in ("_part", "_number")]
-    return placed(ranked.select(*[f"`{c}`" for c in kept], "_rank"), orders).drop("_rank")
+    ranked = cut.join(counts.drop("n"), ["length", part]).withColumn(rank, F.col(before) + F.col(number))
+    kept = [c for c in cut.columns if c not in (part, number)]
+    return placed(ranked.select(*[f"`{c}`" for c in kept], rank), orders, rank).drop(rank)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
