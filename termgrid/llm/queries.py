@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termgrid.llm import ann, ballcodes, bpe, jaccard, language, licenses, mips, mixing, packing, substrings, surrogates, urls
+from termgrid.llm import ann, ballcodes, bpe, conversations, jaccard, language, licenses, mips, mixing, packing, substrings, surrogates, urls
 
 VOCABULARY = "byte_bpe_50k.json"  # the vocabulary of byte_bpe_50k.tiktoken in the tokenizers library's form
 ALLOW_URLS = ("example.net/en/", "org/fr/")
@@ -79,13 +79,18 @@ def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.summarize(rows.select("conv_id"), conversations.damaged(rows))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path(VOCABULARY)).select("doc_id", *packing.OUTPUTS)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard, op2_substrings, op3_licenses, op4_ann, op5_top_products, op6_bpe, op7_urls, op8_mixing, op9_language, op10_surrogates, op11_ball_codes, op13_packing)}
+    return {f.__name__: f for f in (op1_jaccard, op2_substrings, op3_licenses, op4_ann, op5_top_products, op6_bpe, op7_urls, op8_mixing, op9_language, op10_surrogates, op11_ball_codes, op12_conversations, op13_packing)}
 
 
 OP7_SQL = r"""
