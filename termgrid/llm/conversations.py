@@ -65,9 +65,13 @@ IMPOSSIBLE = 1 << 40
 DELETED = "D"  # code of a row that must go; others are s, u, a, x (another role), e (none), in capitals if they break off
 
 
-def at_least(codes: str, last: bool) -> list[int]:
-    """What the rows from each place on cost at least."""
+def at_least(codes: str, last: bool, goals: tuple[int, ...] = (START, ASSISTANT), start: int = START) -> list[int]:
+    """What the rows from each place on cost at least on the way to the goals."""
     out = [0] * (len(codes) + 1)
+    if not last and goals in ((START,), (SYSTEM,)):  # before the first turn: all rows with a role go, but for one system row
+        for i in range(len(codes) - 1, -1, -1):
+            out[i] = out[i + 1] + (COSTS["D"] if codes[i] not in "eE" else BROKEN_OFF * (codes[i] == "E"))
+        return [max(0, n - COSTS["D"] * (goals == (SYSTEM,) and start == START)) for n in out]
     behind = "$" if last else None  # the row behind, if no pair has used it
     for i in range(len(codes) - 1, -1, -1):
         code = codes[i]
@@ -109,7 +113,7 @@ def edit(codes: str, i: int, state: int, letter: str, last: bool) -> tuple[int,
 
 def search(codes: str, start: int, goals: tuple[int, ...], last: bool) -> tuple[int, str] | None:
     """(cost, edits) of the first cheapest path from a state over all rows to a goal state; None if there is none."""
-    n, rest = len(codes), at_least(codes, last)
+    n, rest = len(codes), at_least(codes, last, goals, start)
     need: dict[tuple[int, int], int] = {}  # failed states, and the least budget that may succeed there
     most = COSTS["D"] * n + 2 * COSTS["I"]  # deleting all rows and inserting what is due reaches what can be reached at all
     bound = rest[0]
@@ -244,7 +248,8 @@ def searched(places: DataFrame, segment: int) -> DataFrame:
         return pd.DataFrame(out, columns=["costs", "ranks", "paths"])
 
     # the segments of one long conversation are searched in many tasks
-    dealt = cut.repartition("conv_id", "segment")
+    tasks = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes can be much work
+    dealt = cut.repartition(tasks, "conv_id", "segment")
     return dealt.withColumn("found", run("codes", "segment", "is_last")).drop("codes", "is_last").select("*", "found.*").drop("found")
 
 
