@@ -30,13 +30,11 @@ import re
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termgrid.llm.common import blocks, lists, unused, without
+from termgrid.llm.common import blocks, lists, without
 
 KNOWN_BYTES = 128 << 20  # what the cuts remembered by a worker take, with their ids
 SHORT = 64  # characters of a cut that is remembered
@@ -100,10 +98,13 @@ class Codec:
         else:
             joined = [b"".join(map(known.__getitem__, cuts)) for cuts in texts]
         if self.known_bytes > KNOWN_BYTES:
-            known.clear()
-            self.known_bytes = 0
+            self.forget()
         return joined
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.known_bytes = 0
+
     def _remember(self, cuts: list[str], ids: list[bytes], long: dict[str, bytes]) -> None:
         if max(map(len, cuts), default=0) > SHORT:
             long.update((c, i) for c, i in zip(cuts, ids) if len(c) > SHORT)
@@ -169,18 +170,17 @@ def codec(vocabulary: str) -> Codec:
     return Codec(vocabulary)
 
 
-def _texts(series: pd.Series) -> list[str]:
-    return [t if isinstance(t, str) else "" for t in series]
-
-
 def encoded_blocks(batches, vocabulary: str, text: str):
     """(codec, rows, their texts, the ids of each as bytes), for blocks of rows of about 2 MB of text."""
     c = codec(vocabulary)
-    for batch in batches:
-        for first, end, _, _ in blocks(batch, text):
-            rows = batch.slice(first, end - first)
-            texts = [t or "" for t in rows.column(text).to_pylist()]
-            yield c, rows, texts, c.encode(texts)
+    try:
+        for batch in batches:
+            for first, end, _, _ in blocks(batch, text):
+                rows = batch.slice(first, end - first)
+                texts = [t or "" for t in rows.column(text).to_pylist()]
+                yield c, rows, texts, c.encode(texts)
+    finally:  # a worker is kept for other tasks, which need the memory
+        c.forget()
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", offsets: bool = False, exact: bool = False) -> DataFrame:
@@ -226,16 +226,14 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Encode, decode, and add n_tokens, ids_sha256 and decoded_sha256 in one pass, without carrying the ids."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        c = codec(vocabulary)
-        rows = []
-        for start in range(0, len(texts), 500):
-            for raw in c.encode(_texts(texts.iloc[start : start + 500])):
-                decoded = c.decode(np.frombuffer(raw, dtype="<u4"))
-                rows.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    base = without(docs, "n_tokens", "ids_sha256", "decoded_sha256")
-    made = unused(base, "_d")
-    return base.withColumn(made, digest(F.col(text))).select(*[f"`{c}`" for c in base.columns], f"{made}.*")
+    base = without(docs, *(o for o in ("n_tokens", "ids_sha256", "decoded_sha256") if o != text))
+    added = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+
+    def run(batches):
+        for c, rows, _, raw in encoded_blocks(batches, vocabulary, text):
+            sizes = pa.array([len(r) // 4 for r in raw], pa.int64())
+            ids = pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())
+            back = pa.array([hashlib.sha256(c.decode(np.frombuffer(r, dtype="<u4"))).hexdigest() for r in raw], pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns, sizes, ids, back], [*rows.schema.names, *added])
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(n, t) for n, t in added.items())]))

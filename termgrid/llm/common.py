@@ -1,13 +1,13 @@
 """What several operators share: column hygiene, text keys, word tables over Arrow buffers, connected components.
 
 Words are found on UTF-8 bytes without making Python strings: a text column's
-buffer is one byte array, a class table tells word bytes from separators, and a
-word's hash comes from prefix sums of a polynomial, so the cost is a few numpy
-passes over the bytes.
+buffer is one byte array, a class table tells word bytes from separators, and
+words are hashed eight bytes at a time, so the cost is a few numpy passes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +21,6 @@ from termgrid.sources.scratch import materialize
 WORD = r"[^\x20\x09-\x0D]+"  # Java and DuckDB syntax
 BLOCK_BYTES = 2 << 20  # texts are worked on in blocks of about this size
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -121,28 +120,33 @@ def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Wo
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, BLOCK_BYTES + (BLOCK_BYTES >> 2))
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            tables.append(np.multiply.accumulate(steps))
-        _powers[:] = [*tables, mix(np.arange(1, 257, dtype=np.uint64))]
-    return tuple(_powers)
+LONG_WORD = 512  # bytes; longer words are hashed one by one
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)], dtype=np.uint64)  # the bytes of a word's last, incomplete load
 
 
 def hash_words(data: np.ndarray, words: Words) -> np.ndarray:
-    """A 64-bit hash of every word."""
-    power, inverse, letter = _power_tables(len(data))
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.multiply(letter[data], power[: len(data)], out=sums[1:])
-    np.cumsum(sums, out=sums)
-    return mix((sums[words.ends] - sums[words.starts]) * inverse[words.starts] + (words.ends - words.starts).astype(np.uint64))
+    """A 64-bit hash of every word: eight bytes at a time are mixed in, for all words that have so many together.
+
+    No step is linear in the bytes, so words that are each other's image under
+    some pattern don't collide more often than others.
+    """
+    sizes = words.ends - words.starts
+    out = mix(sizes.astype(np.uint64))
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    loads = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    short = np.flatnonzero(sizes <= LONG_WORD)
+    for done in range(0, LONG_WORD, 8):
+        short = short[sizes[short] > done]
+        if not len(short):
+            break
+        left = sizes[short] - done
+        load = loads[words.starts[short] + done]
+        load = np.where(left < 8, load & _TAIL[np.minimum(left, 7)], load)
+        out[short] = mix(out[short] ^ mix(load))
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        digest = hashlib.blake2b(data[words.starts[i] : words.ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

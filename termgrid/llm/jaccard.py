@@ -49,7 +49,7 @@ from termgrid.sources.scratch import materialize
 
 PACKED_BYTES = 4 << 20  # text in a block
 SEVERAL = 1 << 31  # owner numbers from here on are counts of owners
-TOKEN_BITS = 48  # of a token's hash; sizes are counted on 64
+RANGE_BYTES = 32 << 20  # text whose tokens a hash range holds, so that a task's memory doesn't grow with the table
 BITMAPS = 8  # longs of the parity bitmap
 ORDERS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
@@ -91,7 +91,7 @@ def parity(tokens: np.ndarray) -> list[int]:
 
 def pack(docs: DataFrame, doc_id: str, text: str, n: int, parts: int) -> DataFrame:
     def run(batches):
-        number = TaskContext.get().partitionId() << 24
+        number = TaskContext.get().partitionId() << 24  # mixed before it says where the block's own table goes
         for batch in batches:
             for first, end, data, offsets in blocks(batch, text, PACKED_BYTES):
                 rows = pack_block(batch.column(doc_id).slice(first, end - first).to_pylist(), text_sets(data, offsets, n), number, parts)
@@ -108,7 +108,7 @@ def pack_block(ids: list, sets: list[np.ndarray], number: int, parts: int) -> li
     lead: dict[tuple[int, int], int] = {}  # the first document with each set stands for it
     for i, name in enumerate(names):
         lead.setdefault(name, i)
-    own = [np.unique(sets[i] >> np.uint64(64 - TOKEN_BITS)) for i in lead.values()]
+    own = [sets[i] for i in lead.values()]
     tokens = np.concatenate([*own, np.zeros(0, np.uint64)])
     owner = np.repeat(np.arange(len(own), dtype=np.uint32), [len(s) for s in own])
     order = np.argsort(tokens, kind="stable")
@@ -123,15 +123,16 @@ def pack_block(ids: list, sets: list[np.ndarray], number: int, parts: int) -> li
     lists = (
         planes(np.diff(distinct[several], prepend=np.uint64(0))), planes(count[several].astype(np.uint32)), planes(owner[inside]),
     )
-    rows = [{"part": number % parts, "block": number, "kind": 1, "a": pickle.dumps(table), "b": pickle.dumps(lists), "c": b""}]
-    named = np.array([names[i][0] for i in lead.values()], dtype=np.uint64).tobytes()
-    edges = np.searchsorted(distinct, [(p << TOKEN_BITS) // parts for p in range(parts)] + [1 << TOKEN_BITS])
+    place = int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(parts))
+    rows = [{"part": place, "block": number, "kind": 1, "a": pickle.dumps(table), "b": pickle.dumps(lists), "c": b""}]
+    named = np.array([names[i][0] for i in lead.values()], dtype=np.uint64)
+    edges = np.searchsorted(distinct, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)).tolist() + [len(distinct)]
     for p in range(parts):
-        here = distinct[edges[p] : edges[p + 1]]
+        here, by = distinct[edges[p] : edges[p + 1]], sent[edges[p] : edges[p + 1]]
         if len(here):
             rows.append({
                 "part": p, "block": number, "kind": 0, "a": planes(np.diff(here, prepend=np.uint64(0))),
-                "b": planes(sent[edges[p] : edges[p + 1]]), "c": named,
+                "b": planes(by), "c": named[np.unique(by[by < SEVERAL])].tobytes(),
             })
     return rows
 
@@ -145,12 +146,15 @@ def answer(batches):
                 yield pd.DataFrame({"block": [row.block], "kind": [1], "a": [row.a], "b": [row.b], "c": [row.c]})
             else:
                 held.setdefault(row.part, []).append((row.block, row.a, row.b, row.c))
-    for part in list(held):
+    for part in list(held):  # one range, unless the hash range's partition was merged with others
         rows = held.pop(part)
         tokens = [np.cumsum(unplanes(a, np.uint64), dtype=np.uint64) for _, a, _, _ in rows]
         owners = [unplanes(b, np.uint32) for _, _, b, _ in rows]
-        single = [np.where(o < SEVERAL, o, 0) for o in owners]
-        names = np.concatenate([np.frombuffer(c, np.uint64)[s] for (_, _, _, c), s in zip(rows, single)])
+        names = []
+        for (_, _, _, c), o in zip(rows, owners):
+            known = np.concatenate((np.frombuffer(c, np.uint64), np.zeros(1, np.uint64)))  # of the single owners in order, then a spare
+            names.append(known[np.where(o < SEVERAL, np.searchsorted(np.unique(o[o < SEVERAL]), o), len(known) - 1)])
+        names = np.concatenate(names)
         owner, token = np.concatenate(owners), np.concatenate(tokens)
         order = np.argsort(token, kind="stable")
         by_token, by_owner, by_name = token[order], owner[order], names[order]
@@ -217,15 +221,17 @@ def rebuild(batches, percent: int):
                     row[7 + BITMAPS] = planes(np.diff(t, prepend=np.uint64(0)))
             out.append(row)
         for start in range(0, len(out), 1000):
-            yield pd.DataFrame(out[start : start + 1000], columns=[
+            # as objects first: a column of numbers and None would become floats, which hold 53 bits
+            yield pd.DataFrame(out[start : start + 1000], dtype=object, columns=[
                 "doc_id", "n_shingles", "class", "shared", *_BITS, "order1", "order2", "order3", "tokens",
-            ]).astype(dict.fromkeys(["shared", *_BITS], "Int64"))
+            ]).astype(dict.fromkeys(["doc_id", "n_shingles", "shared", *_BITS], "Int64"))
 
 
 def document_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
     """A row for each document: set size, class, and, where a link is possible, shared tokens and prefixes."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = pack(docs, doc_id, text, n, parts).repartition(parts, "part")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    packed = pack(docs, doc_id, text, n, parts).repartitionById(parts, "part")
     answered = packed.mapInPandas(answer, "block long, kind int, a binary, b binary, c binary").repartition(parts, "block")
     return materialize(answered.mapInPandas(lambda b: rebuild(b, percent), _SETS), "jaccard-sets")
 

@@ -38,11 +38,12 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termgrid.llm.common import BLANK_SEPARATED, blocks, find_words, gram_hashes, hash_words, planes, text_key, unplanes, without
+from termgrid.llm.common import BLANK_SEPARATED, blocks, find_words, gram_hashes, hash_words, mix, planes, text_key, unplanes, unused, without
 from termgrid.sources.scratch import materialize
 
 ANCHOR = 8
@@ -83,7 +84,7 @@ def ask(docs: DataFrame, size: int, parts: int, text: str) -> DataFrame:
 
     def run(batches):
         schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-        number = 0
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             for _, _, data, offsets in blocks(batch, text, ASKED_BYTES):
                 rows = ask_block(data, offsets, size, number, parts)
@@ -120,7 +121,8 @@ def ask_block(data: np.ndarray, offsets: np.ndarray, size: int, number: int, par
     inside = np.repeat(several, count)
     table = b"".join(keys)
     pairs = np.unique(np.stack([owner[inside].astype(np.uint64), hashes[inside]], axis=1), axis=0)
-    rows = [{"part": number % parts, "kind": 1, "a": pairs[:, 1].tobytes(), "b": pairs[:, 0].astype(np.uint32).tobytes(), "c": table}]
+    place = int(mix(np.array([number], dtype=np.uint64))[0] % np.uint64(parts))
+    rows = [{"part": place, "kind": 1, "a": pairs[:, 1].tobytes(), "b": pairs[:, 0].astype(np.uint32).tobytes(), "c": table}]
     edges = np.searchsorted(distinct, np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64))
     for p, (low, high) in enumerate(zip(edges, [*edges[1:], len(distinct)])):
         if high > low:
@@ -282,24 +284,29 @@ def repeated_windows(docs: DataFrame, size: int, text: str, group: int = GROUP)
 
 def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35, group: int = GROUP) -> DataFrame:
     """Add n_words, n_removed, kept (the kept words, joined by one blank) and spans (removed [start, end) in words)."""
-    base = without(docs, "_key", "_hits", "_rows", *(o for o in OUTPUT if o != text))
-    keyed = base.withColumn("_key", F.unhex(text_key(text)))
-    copies = keyed.groupBy("_key").count().where("count > 1").select("_key", F.col("count").alias("_rows"))
-    hits = repeated_windows(base, size, text, group).select(F.col("text_key").alias("_key"), F.col("hits").alias("_hits"))
-    per_text = copies.join(hits, "_key", "full")
+    base = without(docs, *(o for o in OUTPUT if o != text))
+    key, hit_, many = (unused(base, c) for c in ("_key", "_hits", "_rows"))
+    keyed = base.withColumn(key, F.unhex(text_key(text)))
+    copies = keyed.groupBy(key).count().where("count > 1").select(key, F.lit(True).alias(many))
+    hits = repeated_windows(base, size, text, group).select(F.col("text_key").alias(key), F.col("hits").alias(hit_))
+    per_text = copies.join(hits, key, "full")
     added = T._parse_datatype_string(
         "n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>").fields
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for raw, hit, copied in zip(batch[text], batch["_hits"], batch["_rows"]):
-                rows.append(remove((raw or "").encode() if isinstance(raw, str) else b"", hit, copied == copied and copied is not None, size))
-            found = pd.DataFrame(rows, columns=list(OUTPUT), index=batch.index)
-            yield pd.concat([batch.drop(columns=["_hits", "_rows"]), found], axis=1)
-
-    joined = keyed.join(per_text, "_key", "left").drop("_key")
-    return joined.mapInPandas(run, T.StructType([*base.schema.fields, *added]))
+            for first, end, _, _ in blocks(batch, text):
+                rows = batch.slice(first, end - first)
+                found = [
+                    remove((raw or "").encode(), hit, bool(copied), size)
+                    for raw, hit, copied in zip(*(rows.column(c).to_pylist() for c in (text, hit_, many)))
+                ]
+                columns = [*(rows.column(c) for c in base.columns), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))]
+                yield pa.RecordBatch.from_arrays(columns, [*base.columns, *OUTPUT])
+
+    joined = keyed.join(per_text, key, "left").drop(key)
+    return joined.mapInArrow(run, T.StructType([*base.schema.fields, *added]))
 
 
 def remove(raw: bytes, hits, copied: bool, size: int):

@@ -372,3 +372,47 @@ def test_bpe_table_is_bounded_by_bytes(monkeypatch):
         assert c.encode(texts) == [np.array(plain.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
         assert all(len(cut) <= 64 for cut in c.known) and c.known_bytes <= 100_000
         assert sum(sys.getsizeof(a) + sys.getsizeof(b) for a, b in c.known.items()) <= c.known_bytes
+
+
+def test_long_words_that_mirror_each_other_stay_apart(spark):
+    # a Thue-Morse word and its complement: equal under every polynomial hash modulo a power of two
+    bits = [bin(i).count("1") & 1 for i in range(4096)]
+    words = ["".join("ab"[b ^ flip] for b in bits[:n]) for n in (400, 1024, 4096) for flip in (0, 1)]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()) == [(i, i) for i in range(6)]
+
+
+def test_word_hashes_tell_all_words_apart():
+    from termgrid.llm import common
+
+    texts = [" ".join(f"{'x' * k}{i}" for i in range(300)) for k in (0, 1, 5, 7, 8, 9, 15, 16, 500, 505, 513, 600)] + ["\x00 \x00\x00 a a\x00"]
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    words = common.find_words(data, offsets, common.BLANK_SEPARATED)
+    named = [bytes(data[a:b]) for a, b in zip(words.starts, words.ends)]
+    hashes = common.hash_words(data, words)
+    assert len(set(hashes.tolist())) == len(set(named)) and len({(n, h) for n, h in zip(named, hashes.tolist())}) == len(set(named))
+    none = common.find_words(np.zeros(0, np.uint8), np.array([0, 0]), common.BLANK_SEPARATED)
+    assert len(common.hash_words(np.zeros(0, np.uint8), none)) == 0
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, BASE), (None, "a b c d"), (big + 2, BASE), (3, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == {(big, big), (big + 2, big), (None, None), (3, 3)}
+
+
+def test_decoding_refuses_what_is_no_id(spark):
+    vocabulary = public_tokenizers.path(queries.VOCABULARY)
+    for bad in ([-1], [10**6], [5, None]):
+        with pytest.raises(Exception, match="vocabulary|null among"):
+            bpe.decode(spark.createDataFrame([(bad,)], "ids array<int>"), vocabulary).collect()
+    df = spark.createDataFrame([([],), (None,), ([40],), (list(range(5000)),)], "ids array<int>").coalesce(1)
+    assert [len(r.decoded) for r in bpe.decode(df, vocabulary).collect()][:3] == [0, 0, 1]
+
+
+def test_working_names_are_free(spark):
+    df = spark.createDataFrame([(1, BASE, 2, 3, 4, 5), (2, BASE, 2, 3, 4, 5)], "doc_id long, text string, _key long, _hits long, _rows long, _d long")
+    for found in (substrings.dedup_substrings(df, size=5), bpe.round_trip(df, public_tokenizers.path(queries.VOCABULARY))):
+        assert {(r["_key"], r["_hits"], r["_rows"], r["_d"]) for r in found.collect()} == {(2, 3, 4, 5)}
