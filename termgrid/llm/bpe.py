@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from termgrid.llm.common import blocks, lists, without
+from termgrid.llm.common import blocks, lists, release, without
 
 KNOWN_BYTES = 128 << 20  # what the cuts remembered by a worker take, with their ids
 SHORT = 64  # characters of a cut that is remembered
@@ -181,6 +181,7 @@ def encoded_blocks(batches, vocabulary: str, text: str):
                 yield c, rows, texts, c.encode(texts)
     finally:  # a worker is kept for other tasks, which need the memory
         c.forget()
+        release()
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", offsets: bool = False, exact: bool = False) -> DataFrame:

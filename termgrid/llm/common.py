@@ -7,6 +7,8 @@ words are hashed eight bytes at a time, so the cost is a few numpy passes.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 from typing import NamedTuple
 
@@ -69,6 +71,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that is kept for other tasks would hold on to it."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow text column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termgrid.llm.common import (
-    BLANK_SEPARATED, LOWER, blocks, find_words, gram_hashes, hash_words, mix, planes, smallest_reachable, unplanes,
+    BLANK_SEPARATED, LOWER, blocks, find_words, gram_hashes, hash_words, mix, planes, release, smallest_reachable, unplanes,
 )
 from termgrid.sources.scratch import materialize
 
@@ -99,6 +99,7 @@ def pack(docs: DataFrame, doc_id: str, text: str, n: int, parts: int) -> DataFra
                     ("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()),
                 ]))
                 number += 1
+        release()
 
     return docs.select(F.col(doc_id).cast("long").alias(doc_id), F.col(text).cast("string").alias(text)).mapInArrow(run, _PACKED)
 
@@ -147,34 +148,44 @@ def answer(batches):
             else:
                 held.setdefault(row.part, []).append((row.block, row.a, row.b, row.c))
     for part in list(held):  # one range, unless the hash range's partition was merged with others
-        rows = held.pop(part)
-        tokens = [np.cumsum(unplanes(a, np.uint64), dtype=np.uint64) for _, a, _, _ in rows]
-        owners = [unplanes(b, np.uint32) for _, _, b, _ in rows]
-        names = []
-        for (_, _, _, c), o in zip(rows, owners):
-            known = np.concatenate((np.frombuffer(c, np.uint64), np.zeros(1, np.uint64)))  # of the single owners in order, then a spare
-            names.append(known[np.where(o < SEVERAL, np.searchsorted(np.unique(o[o < SEVERAL]), o), len(known) - 1)])
-        names = np.concatenate(names)
-        owner, token = np.concatenate(owners), np.concatenate(tokens)
-        order = np.argsort(token, kind="stable")
-        by_token, by_owner, by_name = token[order], owner[order], names[order]
-        begin = np.flatnonzero(np.concatenate(([True], by_token[1:] != by_token[:-1])))
-        size = np.diff(np.concatenate((begin, [len(token)])))
-        many = np.maximum.reduceat(by_owner, begin) >= SEVERAL
-        many |= np.minimum.reduceat(by_name, begin) != np.maximum.reduceat(by_name, begin)
-        frequency = np.add.reduceat(np.where(by_owner >= SEVERAL, by_owner - SEVERAL, 1).astype(np.int64), begin)
-        level = np.zeros(len(token), dtype=np.uint8)
-        level[order] = np.repeat(np.where(many, np.floor(np.log2(frequency)).astype(np.uint8) + 1, 0), size)
-        at = 0
-        for (block, _, _, _), t, o in zip(rows, tokens, owners):
-            own = level[at : at + len(t)]
-            at += len(t)
-            kept = own > 0
-            if kept.any():
-                yield pd.DataFrame({
-                    "block": [block], "kind": [0], "a": [planes(np.diff(t[kept], prepend=np.uint64(0)))],
-                    "b": [planes(o[kept])], "c": [own[kept].tobytes()],
-                })
+        yield from answer_range(held.pop(part))
+        release()
+
+
+def answer_range(rows: list) -> list[pd.DataFrame]:
+    sizes = [len(b) // 4 for _, _, b, _ in rows]
+    edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    token, owner, name = (np.empty(edges[-1], dtype=t) for t in (np.uint64, np.uint32, np.uint64))
+    for (_, a, b, c), low, high in zip(rows, edges, edges[1:]):
+        np.cumsum(unplanes(a, np.uint64), out=token[low:high])
+        owner[low:high] = o = unplanes(b, np.uint32)
+        known = np.concatenate((np.frombuffer(c, np.uint64), np.zeros(1, np.uint64)))  # of the single owners in order, then a spare
+        name[low:high] = known[np.where(o < SEVERAL, np.searchsorted(np.unique(o[o < SEVERAL]), o), len(known) - 1)]
+    order = np.argsort(token, kind="stable")
+    ordered = token[order]
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    del ordered
+    name = name[order]
+    many = np.minimum.reduceat(name, begin) != np.maximum.reduceat(name, begin)
+    del name
+    by = owner[order]
+    many |= np.maximum.reduceat(by, begin) >= SEVERAL
+    frequency = np.add.reduceat(np.where(by >= SEVERAL, by - SEVERAL, 1).astype(np.int64), begin)
+    del by
+    power = np.where(many, np.floor(np.log2(frequency)).astype(np.uint8) + 1, 0).astype(np.uint8)
+    level = np.zeros(len(token), dtype=np.uint8)
+    level[order] = np.repeat(power, np.diff(np.append(begin, len(token))))
+    del order
+    out = []
+    for (block, _, _, _), low, high in zip(rows, edges, edges[1:]):
+        own = level[low:high]
+        kept = own > 0
+        if kept.any():
+            out.append(pd.DataFrame({
+                "block": [block], "kind": [0], "a": [planes(np.diff(token[low:high][kept], prepend=np.uint64(0)))],
+                "b": [planes(owner[low:high][kept])], "c": [own[kept].tobytes()],
+            }))
+    return out
 
 
 def rebuild(batches, percent: int):

@@ -294,6 +294,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35, group:
         "n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>").fields
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
+    kept_columns = base.columns
+
     def run(batches):
         for batch in batches:
             for first, end, _, _ in blocks(batch, text):
@@ -302,8 +304,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", size: int = 35, group:
                     remove((raw or "").encode(), hit, bool(copied), size)
                     for raw, hit, copied in zip(*(rows.column(c).to_pylist() for c in (text, hit_, many)))
                 ]
-                columns = [*(rows.column(c) for c in base.columns), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))]
-                yield pa.RecordBatch.from_arrays(columns, [*base.columns, *OUTPUT])
+                columns = [*(rows.column(c) for c in kept_columns), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))]
+                yield pa.RecordBatch.from_arrays(columns, [*kept_columns, *OUTPUT])
 
     joined = keyed.join(per_text, key, "left").drop(key)
     return joined.mapInArrow(run, T.StructType([*base.schema.fields, *added]))
