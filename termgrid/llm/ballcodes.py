@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termgrid.llm.common import attach, without
+from termgrid.llm.common import attach, unused, without
 from termgrid.llm.vectors import valid
 from termgrid.sources.scratch import materialize
 
@@ -144,31 +144,31 @@ def _slices(batches):
             yield batch.slice(first, SLICE)
 
 
-def _codes(batch: pa.RecordBatch, parts: int) -> np.ndarray:
-    raw = b"".join(batch.column("_codes").to_pylist())
+def _codes(batch: pa.RecordBatch, name: str, parts: int) -> np.ndarray:
+    raw = b"".join(batch.column(name).to_pylist())
     return np.frombuffer(raw, dtype=np.uint16).reshape(-1, parts)
 
 
-def assigned(kept: DataFrame, book: Balls, vector: str, scale: int) -> DataFrame:
-    """Rows with ``_codes`` (two bytes a part) and ``error`` under the given codebooks."""
+def assigned(kept: DataFrame, book: Balls, vector: str, scale: int, codes_name: str) -> DataFrame:
+    """Rows with their codes (two bytes a part) and ``error`` under the given codebooks."""
     parts, _, width = book.entries.shape
-    fields = [f for f in kept.schema.fields if f.name not in ("_codes", "error")]
+    fields = [f for f in kept.schema.fields if f.name not in (codes_name, "error")]
 
     def run(batches):
         for batch in _slices(batches):
-            known = "_codes" in batch.schema.names
-            codes = _codes(batch, parts) if known else np.zeros((batch.num_rows, parts), dtype=np.uint16)
+            known = codes_name in batch.schema.names
+            codes = _codes(batch, codes_name, parts) if known else np.zeros((batch.num_rows, parts), dtype=np.uint16)
             codes, error = assign(whole(batch.column(vector), parts * width, scale), codes, book)
             rows = pa.array([c.tobytes() for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in fields), rows, pa.array(error)], [*(f.name for f in fields), "_codes", "error"]
+                [*(batch.column(f.name) for f in fields), rows, pa.array(error)], [*(f.name for f in fields), codes_name, "error"]
             )
 
-    schema = [*fields, T.StructField("_codes", T.BinaryType()), T.StructField("error", T.LongType())]
+    schema = [*fields, T.StructField(codes_name, T.BinaryType()), T.StructField("error", T.LongType())]
     return kept.mapInArrow(run, T.StructType(schema))
 
 
-def sums(coded: DataFrame, entries: np.ndarray, vector: str, scale: int) -> DataFrame:
+def sums(coded: DataFrame, entries: np.ndarray, vector: str, scale: int, codes_name: str) -> DataFrame:
     """(slot, n, radius, total): count, greatest squared distance and component sums of every used (part, entry)."""
     parts, k, width = entries.shape
 
@@ -176,7 +176,7 @@ def sums(coded: DataFrame, entries: np.ndarray, vector: str, scale: int) -> Data
         n, radius = np.zeros(parts * k, dtype=np.int64), np.zeros(parts * k, dtype=np.int64)
         total = np.zeros((parts * k, width), dtype=np.int64)
         for batch in _slices(batches):
-            numbers, codes = whole(batch.column(vector), parts * width, scale), _codes(batch, parts)
+            numbers, codes = whole(batch.column(vector), parts * width, scale), _codes(batch, codes_name, parts)
             for p in range(parts):
                 x, own = numbers[:, p * width : (p + 1) * width], codes[:, p].astype(np.int64)
                 slot = own + p * k
@@ -189,7 +189,7 @@ def sums(coded: DataFrame, entries: np.ndarray, vector: str, scale: int) -> Data
             ["slot", "n", "radius", "total"],
         )
 
-    partial = coded.select("_codes", F.col(f"`{vector}`")).mapInArrow(run, "slot long, n long, radius long, total array<long>")
+    partial = coded.select(codes_name, F.col(f"`{vector}`")).mapInArrow(run, "slot long, n long, radius long, total array<long>")
     return partial.groupBy("slot").agg(
         F.sum("n").alias("n"), F.max("radius").alias("radius"),
         F.array(*[F.sum(F.col("total")[i]) for i in range(width)]).alias("total"),
@@ -227,20 +227,20 @@ def digest(entries: np.ndarray) -> str:
 
 def fit(
     rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", parts: int = PARTS, entries: int = ENTRIES,
-    rounds: int = ROUNDS, scale: int = SCALE,
+    rounds: int = ROUNDS, scale: int = SCALE, codes_name: str = "codes",
 ) -> tuple[np.ndarray | None, DataFrame]:
-    """The codebooks (parts, entries, width), and the kept rows with ``_codes`` and ``error`` under them."""
-    kept = without(rows, "_codes", "error").where(valid(vector, zero_allowed=True))
+    """The codebooks (parts, entries, width), and the kept rows with their codes and ``error`` under them."""
+    kept = without(rows, codes_name, "error").where(valid(vector, zero_allowed=True))
     book = first_entries(kept, vec_id, vector, parts, entries, scale)
     if book is None:
-        empty = kept.withColumns({"_codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("long")})
+        empty = kept.withColumns({codes_name: F.lit(None).cast("binary"), "error": F.lit(None).cast("long")})
         return None, empty
     guide = balls(book)
     for r in range(rounds):
-        kept = materialize(assigned(kept, guide, vector, scale), f"codes-{r}")
-        new, radii = moved_entries(book, sums(kept, book, vector, scale))
+        kept = materialize(assigned(kept, guide, vector, scale, codes_name), f"codes-{r}")
+        new, radii = moved_entries(book, sums(kept, book, vector, scale, codes_name))
         guide, book = balls(new, book, radii), new
-    return book, materialize(assigned(kept, guide, vector, scale), "codes")
+    return book, materialize(assigned(kept, guide, vector, scale, codes_name), "codes")
 
 
 def code_text(codes: Column, parts: int) -> Column:
@@ -258,11 +258,12 @@ def compress(
     if not 1 <= entries <= 256:
         raise ValueError("a code has two hexadecimal digits a part, so there are 1 to 256 entries")
     base = without(rows, *(o for o in ("code", "error", "label_error", "codebooks_sha256") if o not in (vec_id, vector, label)))
-    book, coded = fit(base, vec_id, vector, parts, entries, rounds, scale)
+    codes_name = unused(base, "_codes")
+    book, coded = fit(base, vec_id, vector, parts, entries, rounds, scale, codes_name)
     per_label = coded.groupBy(F.col(f"`{label}`").alias("_label")).agg(F.sum("error").alias("label_error"))
     named = attach(coded, per_label, label, "_label", "label_error")
     return named.select(
-        *[f"`{c}`" for c in base.columns], code_text(F.col("_codes"), parts).alias("code"), "error", "label_error",
+        *[f"`{c}`" for c in base.columns], code_text(F.col(codes_name), parts).alias("code"), "error", "label_error",
         F.lit("" if book is None else digest(book)).alias("codebooks_sha256"),
     )
 

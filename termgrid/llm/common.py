@@ -188,16 +188,17 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, *values:
     Few keys are broadcast after they were counted.  Of many, the hot ones are,
     and the rest is a shuffle join, in which no key is hot.
     """
+    at = unused(rows, "_at")
     # a struct of a null equals another one, so nulls meet in a plain equality join
-    facts = materialize(facts.select(F.struct(F.col(f"`{fact_key}`").alias("key")).alias("_at"), *values), "facts")
-    here = rows.withColumn("_at", F.struct(F.col(f"`{key}`").alias("key")))
+    facts = materialize(facts.select(F.struct(F.col(f"`{fact_key}`").alias("key")).alias(at), *values), "facts")
+    here = rows.withColumn(at, F.struct(F.col(f"`{key}`").alias("key")))
     if facts.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
-        return here.join(F.broadcast(facts), "_at").drop("_at")
-    sizes = here.groupBy("_at").count()
-    hot = materialize(sizes.where(F.col("count") >= max(1, here.count() // HOT_SHARE)).select("_at"), "hot-keys")
-    crowded = here.join(F.broadcast(hot), "_at", "left_semi").join(F.broadcast(facts.join(F.broadcast(hot), "_at", "left_semi")), "_at")
-    others = here.join(F.broadcast(hot), "_at", "left_anti").join(facts, "_at")
-    return crowded.unionByName(others).drop("_at")
+        return here.join(F.broadcast(facts), at).drop(at)
+    sizes = here.groupBy(at).count()
+    hot = materialize(sizes.where(F.col("count") >= max(1, here.count() // HOT_SHARE)).select(at), "hot-keys")
+    crowded = here.join(F.broadcast(hot), at, "left_semi").join(F.broadcast(facts.join(F.broadcast(hot), at, "left_semi")), at)
+    others = here.join(F.broadcast(hot), at, "left_anti").join(facts, at)
+    return crowded.unionByName(others).drop(at)
 
 
 def smallest_reachable(nodes_links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

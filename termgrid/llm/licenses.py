@@ -203,9 +203,12 @@ class Detection(NamedTuple):
 def suppress(found: list[Detection]) -> list[Detection]:
     """Drop every detection inside another one of the same or a higher priority; of equal ones the first rule stays."""
     kept: list[Detection] = []
+    around: list[Detection] = []  # kept ones that reach to the current place; all start before it
     for d in sorted(found, key=lambda d: (d.start, -d.end, d.priority)):
-        if not any(k.start <= d.start and d.end <= k.end and k.priority <= d.priority for k in kept):
+        around = [k for k in around if k.end > d.start]
+        if not any(d.end <= k.end and k.priority <= d.priority for k in around):
             kept.append(d)
+            around.append(d)
     return kept
 
 

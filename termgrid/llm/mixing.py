@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termgrid.llm.common import text_key, without, word_count
+from termgrid.llm.common import text_key, unused, without, word_count
 from termgrid.sources.scratch import materialize
 
 FAN = 256
@@ -145,17 +145,18 @@ def with_mix(
 ) -> DataFrame:
     """Add size, source_size, target, copies and taken (copies times size) to every document."""
     base = without(docs, *(o for o in ("size", "source_size", "target", "copies", "taken") if o not in (doc_id, text, source)))
+    size_, unit, source_ = (unused(base, c) for c in ("_size", "_unit", "_source"))
     keyed = base.withColumns({
-        "_size": word_count(text),
-        "_unit": F.md5(F.concat_ws(
+        size_: word_count(text),
+        unit: F.md5(F.concat_ws(
             "\x00", F.col(doc_id).isNull().cast("string"), F.col(doc_id).cast("string"), F.col(source).isNull().cast("string"),
             F.col(source).cast("string"), text_key(text),
         ).cast("binary")),
-        "_source": F.col(source).cast("string"),
+        source_: F.col(source).cast("string"),
     })
     rows = materialize(
-        keyed.groupBy("_unit", F.col("_source").alias("source")).agg(
-            F.max("_size").alias("size"), (F.count("*") * F.max("_size")).cast("double").alias("mass")
+        keyed.groupBy(F.col(unit).alias("_unit"), F.col(source_).alias("source")).agg(
+            F.max(size_).alias("size"), (F.count("*") * F.max(size_)).cast("double").alias("mass")
         ), "mix-units",
     )
     shares = targets(rows.groupBy("source").agg(F.sum("mass").cast("long").alias("source_size")), weights)
@@ -169,18 +170,18 @@ def with_mix(
     open_units = owed.where(f"mass > 0 and p > {NEAR}").select("id", "source", "mass", "p")
     rounded = round_fractions(open_units, seed)
     decided = owed.join(rounded, "id", "left").select(
-        F.col("id").alias("_unit"), "source_size", "target",
+        F.col("id").alias(unit), "source_size", "target",
         F.when(F.col("mass") > 0, F.col("whole") + F.coalesce("copy", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("copies"),
     )
-    return keyed.join(decided, "_unit").select(
-        *[f"`{c}`" for c in base.columns], F.col("_size").alias("size"), "source_size", "target", "copies",
-        (F.col("copies") * F.col("_size")).alias("taken"),
+    return keyed.join(decided, unit).select(
+        *[f"`{c}`" for c in base.columns], F.col(size_).alias("size"), "source_size", "target", "copies",
+        (F.col("copies") * F.col(size_)).alias("taken"),
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, in the columns of the input."""
     found = with_mix(docs, **options)
-    return found.where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+    return found.where("copies > 0").withColumn(unused(found, "_n"), F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         *[f"`{c}`" for c in docs.columns if c in found.columns]
     )

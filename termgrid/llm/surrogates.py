@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termgrid.llm.common import text_key, without
+from termgrid.llm.common import text_key, unused, without
 from termgrid.sources.scratch import materialize
 
 # Titles by gender.
@@ -59,10 +59,14 @@ ALPHABETS = (
 )
 
 _TITLES = "|".join(t.replace("-", r"\-") for t in (*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES))
-_NAME = r"\p{Lu}(?:\p{L}|['’](?=\p{L}{2}))+(?:-\p{Lu}\p{L}+)?"
+# Loops over groups are possessive or bounded: others recurse once per round, and a long word would end the JVM's stack.
+_NAME = r"\p{Lu}(?=\p{L}|['’]\p{L}{2})\p{L}*+(?:['’]\p{L}{2}\p{L}*+)*+(?:-\p{Lu}\p{L}++)?"
+# Words in lower case inside a name, which stay.
+PARTICLES = ("van", "von", "de", "der", "den", "del", "della", "di", "da", "das", "do", "dos", "du", "la", "le", "ten", "ter", "zu", "zum", "bin", "al", "el")
 _GAPS = r"[\s\u00A0]+"  # what separates the words of a name
 _TITLED = (
-    r"(?:" + _TITLES + r")\.?(?:[ \t\u00A0]{1,3}|[ \t]?\r?\n[ \t]{0,3})" + _NAME + r"(?:[ \t\u00A0]{1,2}" + _NAME + r"){0,2}"
+    r"(?:" + _TITLES + r")\.?(?:[ \t\u00A0]{1,3}|[ \t]?\r?\n[ \t]{0,3})" + r"(?:(?:" + "|".join(PARTICLES) + r")[ \t\u00A0]{1,2}){0,3}"
+    + _NAME + r"(?:[ \t\u00A0]{1,2}(?:(?:" + "|".join(PARTICLES) + r")[ \t\u00A0]{1,2}){0,3}" + _NAME + r")*+"
 )
 # First four digits of 16-digit cards; American Express and Diners have 15 and 14 digits in groups of their own.
 _ISSUERS = (
@@ -89,7 +93,7 @@ _SECRET_WORD = (
 )
 # Kinds in order of precedence; at one place the first that fits is taken.
 PATTERNS = (
-    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.)+\p{L}{2,24}"),
+    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]{0,62})\.){1,126}\p{L}{2,24}"),  # a domain has at most 253 characters
     ("secret", r"(?:(?<![A-Za-z0-9])(?=[Aegsx])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_\-]{16,}|xox[baprs]-[A-Za-z0-9\-]{10,}"
                r"|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,})(?![A-Za-z0-9])|" + _SECRET_WORD + ")"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -113,7 +117,8 @@ HINT = (
     r"[@0-9]|(?=[A-Zг])(?:" + _TITLES + r"|AKIA)|(?=[egsx])(?:gh[pousr]_|sk-|xox[baprs]-|eyJ)"
     r"|(?=[tspaTSPA_\-])(?i:token|secret|passw|pwd|api[ _\-]?key|[_\-]key)"
 )
-DIGIT_KINDS = ("ip", "ssn", "card", "phone", "iban")
+STAYS = "stays"  # kind of a word inside a mention that isn't replaced
+ROUNDS = 40  # draws before the format is taken to hold too few values
 
 
 def may_hold_entities(text: str) -> Column:
@@ -244,11 +249,13 @@ def _gender(mention: Column) -> Column:
 
 
 def _name_parts(mention: Column) -> Column:
-    """(kind, canonical form) of the words after a title."""
-    names = F.slice(F.split(mention, _GAPS), 2, 9)
+    """(kind, canonical form) of the words after a title; particles stay."""
+    words = F.split(mention, _GAPS)
+    names = F.slice(words, F.lit(2), F.size(words))
     last = F.size(names)
     return F.transform(names, lambda n, i: F.struct(
-        F.when(i == last - 1, F.lit("family")).otherwise(F.concat(F.lit("given-"), _gender(mention))).alias("kind"), n.alias("canon"),
+        F.when(n.isin(*PARTICLES), STAYS).when(i == last - 1, F.lit("family"))
+        .otherwise(F.concat(F.lit("given-"), _gender(mention))).alias("kind"), n.alias("canon"),
     ))
 
 
@@ -287,7 +294,8 @@ def _render(kind: Column, mention: Column, pieces: Column) -> Column:
 
     spread = F.aggregate(slots, F.struct(F.lit("").alias("text"), F.lit(0).alias("n")), fill, lambda s: s["text"])
     words = F.when(kind == "name", F.concat(F.array(_title(mention)), pieces)).otherwise(pieces)
-    gaps = F.slice(F.split(mention, r"[^\s\u00A0]+"), 2, 9)
+    gaps = F.split(mention, r"[^\s\u00A0]+")
+    gaps = F.slice(gaps, F.lit(2), F.size(gaps))
     named = F.array_join(F.flatten(F.zip_with(words, gaps, lambda w, g: F.array(w, F.coalesce(g, F.lit(""))))), "")
     return (
         F.when(kind.isin("name", "untitled"), named)
@@ -315,7 +323,7 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     shown = F.filter("titled", lambda m: m.rlike(f"^{_TITLED}$"))
     known = titled.select(
-        "*", F.array_distinct(F.flatten(F.transform(shown, _name_parts))).alias("roles"),
+        "*", F.filter(F.array_distinct(F.flatten(F.transform(shown, _name_parts))), lambda r: r["kind"] != STAYS).alias("roles"),
         F.when(F.exists("titled", lambda m: m.rlike(f"^{_LONG_NUMBER}$")), F.regexp_extract_all("whole", F.lit(VOUCHED), F.lit(0)))
         .otherwise(F.array().cast("array<string>")).alias("vouched"),
     ).withColumn("names", F.array_join(F.array_distinct(F.transform("roles", lambda r: r["canon"])), "|"))
@@ -335,10 +343,15 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, surrogate) for distinct (kind, canon), with distinct surrogates that are no entities themselves."""
+    """(kind, canon, surrogate) for distinct (kind, canon), with distinct surrogates that are no entities themselves.
+
+    A format that has too few values for its entities (addresses keep their first
+    number, short secrets their length) would be drawn for ever; after ``ROUNDS``
+    rounds that is an error.
+    """
     kind, canon = F.col("kind"), F.col("canon")
     drawn = entities.withColumn("attempt", F.lit(0))
-    while True:
+    for _ in range(ROUNDS):
         drawn = materialize(drawn.select(
             "kind", "canon", "attempt", _surrogate(kind, canon, F.col("attempt"), key).alias("surrogate")
         ), "surrogates")
@@ -353,6 +366,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         drawn = drawn.join(again.withColumn("more", F.lit(1)), ["kind", "canon"], "left").select(
             "kind", "canon", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")
         )
+    left = ", ".join(f"{r['count']} of kind {r['kind']}" for r in again.groupBy("kind").count().orderBy("kind").collect())
+    raise RuntimeError(f"no distinct surrogates after {ROUNDS} draws: {left}")
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -363,24 +378,25 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
         "text_key", "place", "mention", "kind", "names",
         F.posexplode(_parts(F.col("kind"), F.col("mention"), F.col("roles"))).alias("piece", "part"),
     ).select("text_key", "place", "mention", "names", F.col("kind").alias("whole"), "piece", "part.kind", "part.canon")
-    mapping = assign(pieces.select("kind", "canon").distinct(), key)
-    replaced = pieces.join(mapping, ["kind", "canon"])
+    mapping = assign(pieces.select("kind", "canon").where(F.col("kind") != STAYS).distinct(), key)
+    replaced = pieces.join(mapping, ["kind", "canon"], "left").withColumn("surrogate", F.coalesce("surrogate", "canon"))
     rendered = replaced.groupBy("text_key", "place", "mention", "whole", "names").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("piece", "surrogate"))), lambda p: p["surrogate"]).alias("pieces")
     ).select("text_key", "place", "names", _render(F.col("whole"), F.col("mention"), F.col("pieces")).alias("new"), F.lit(1).alias("n"))
     stays = found.where("kind is null").select("text_key", "place", "names", F.col("mention").alias("new"), F.lit(0).alias("n"))
-    by_text = rendered.unionByName(stays).groupBy("text_key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda p: p["new"]).alias("_new"),
-        F.max("names").alias("_names"), F.sum("n").alias("_n"),
+    at, new, names, n = (unused(base, c) for c in ("_key", "_new", "_names", "_n"))
+    by_text = rendered.unionByName(stays).groupBy(F.col("text_key").alias(at)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "new"))), lambda p: p["new"]).alias(new),
+        F.max("names").alias(names), F.sum("n").alias(n),
     )
-    between = F.when(F.col("_names") != "", F.split(F.col(text), _pattern(F.col("_names")), -1)).otherwise(F.split(F.col(text), ANY, -1))
+    between = F.when(F.col(names) != "", F.split(F.col(text), _pattern(F.col(names)), -1)).otherwise(F.split(F.col(text), ANY, -1))
     rebuilt = F.array_join(F.flatten(F.zip_with(
-        between, F.col("_new"), lambda a, b: F.array(a, F.coalesce(b, F.lit("")))
+        between, F.col(new), lambda a, b: F.array(a, F.coalesce(b, F.lit("")))
     )), "")
     has_hint = may_hold_entities(text)
-    changed = base.where(has_hint).withColumn("text_key", text_key(text)).join(by_text, "text_key", "left").select(
-        *[(F.coalesce(F.when(F.col("_new").isNotNull(), rebuilt), F.col(c)).alias(c) if c == text else F.col(f"`{c}`")) for c in base.columns],
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_entities"),
+    changed = base.where(has_hint).withColumn(at, text_key(text)).join(by_text, at, "left").select(
+        *[(F.coalesce(F.when(F.col(new).isNotNull(), rebuilt), F.col(c)).alias(c) if c == text else F.col(f"`{c}`")) for c in base.columns],
+        F.coalesce(n, F.lit(0)).cast("long").alias("n_entities"),
     )
     plain = base.where(~has_hint).withColumn("n_entities", F.lit(0).cast("long"))
     return changed.unionByName(plain)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termgrid.llm.common import without
+from termgrid.llm.common import unused, without
 
 OUTPUT = ("host", "path", "rule", "verdict")
 
@@ -101,5 +101,6 @@ def filter_urls(
 
     kept = [c for c in without(pages, *(o for o in OUTPUT if o.lower() != url.lower())).columns]
     parts = with_url_parts(without(pages, *(o for o in OUTPUT if o.lower() != url.lower())), url)
-    judged = parts.withColumn("_judged", judge("host", "path"))
-    return judged.select(*[f"`{c}`" for c in kept], "host", "path", "_judged.rule", "_judged.verdict")
+    both = unused(parts, "_judged")
+    judged = parts.withColumn(both, judge("host", "path"))
+    return judged.select(*[f"`{c}`" for c in kept], "host", "path", f"{both}.rule", f"{both}.verdict")
