@@ -174,8 +174,15 @@ def _course_documents(spark, sf):
     tag = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
     week = F.weekofyear("ts").cast("string")
     days = F.when(event % 5 == 0, "ARRANGED").when(event % 5 == 1, "TBA").when(event % 5 == 2, "MWF").otherwise("TTh")
+    layout = event % 7  # the same content in several forms
+    people = tag("instructors", F.concat(
+        tag("instructor", F.concat(tag("name", F.lit("Ada")), tag("email", F.lit("a@x.org")))),
+        tag("instructor", F.when(layout == 6, F.col("event_type")).otherwise(tag("name", F.col("event_type")))), tag("instructor", tag("name", F.lit("Ada"))),
+    ))
     meeting = lambda kind, start: tag("meeting", F.concat(
-        tag("type", F.lit(kind)), tag("days", days), tag("start", start),
+        F.when(layout == 4, "<type> </type>").otherwise(""),  # the first tag present counts, even if it is blank
+        F.when((layout == 3) & F.lit(kind == "Lab"), people).otherwise(""),
+        tag("meetingType", F.lit(kind)), tag("days", days), tag("start", start),
         tag("end", F.lit("11:45 pm")), tag("room", F.when(event % 6 == 0, "TBD").otherwise("R1")),
         F.when(event % 2 == 0, tag("startDate", stamp("M/d/yyyy"))).otherwise(""),
     ))
@@ -184,11 +191,8 @@ def _course_documents(spark, sf):
         tag("sectionNumber", F.concat(F.lit("S"), event.cast("string"))),
         tag("startDate", stamp("yyyy-MM-dd")), tag("endDate", stamp("MM/dd/yyyy")),
         F.when(event % 3 == 0, tag("creditHours", F.lit("1 TO 4 hours"))).otherwise(""),
-        F.when(event % 4 == 0, tag("genEdAttribute", F.lit("HUM"))).otherwise(""),
-        tag("instructors", F.concat(
-            tag("instructor", F.concat(tag("name", F.lit("Ada")), tag("email", F.lit("a@x.org")))),
-            tag("instructor", tag("name", F.col("event_type"))), tag("instructor", tag("name", F.lit("Ada"))),
-        )),
+        F.when(event % 4 == 0, F.when(layout == 5, tag("extra", tag("genEdAttribute", F.lit("HUM")))).otherwise(tag("genEdAttribute", F.lit("HUM")))).otherwise(""),
+        F.when(layout == 3, "").otherwise(people), F.when(layout == 2, tag("capacity", F.lit("30"))).otherwise(""),
         tag("meetings", F.concat(meeting("Lecture", stamp("h:mm a")), meeting("Lab", stamp("HH:mm")))),
         F.lit("</section>"),
     )
@@ -198,8 +202,10 @@ def _course_documents(spark, sf):
         tag("title", F.concat(F.lit("Logic &amp; "), F.col("event_type"))), tag("creditHours", F.lit("3 hours")),
         tag("genEdAttributes", F.concat(tag("genEdAttribute", F.lit("QR")), tag("genEdAttribute", F.lit("QR")))),
         F.when(F.col("value") > 50, tag("prerequisites", F.concat(F.lit("After "), F.col("event_type")))).otherwise(""),
-        tag("sections", section), F.when(event % 97 == 5, "").otherwise("</course>"),
+        F.when(layout == 2, tag("schedule", tag("group", section))).otherwise(tag("sections", section)),
+        F.when(event % 97 == 5, "").otherwise("</course>"),
     )
+    course = F.when(layout == 1, F.concat(F.lit("<t:catalog xmlns:t=\"urn:t\"><note>n</note>"), course, F.lit("</t:catalog>"))).otherwise(course)
     events = spread(table(spark, sf, "events"))
     return events.select(F.concat(F.lit("w"), week).alias("term"), event.alias("doc_order"), course.alias("xml"))
 
@@ -208,6 +214,10 @@ def _document_courses(spark, sf):
     return documents.parse_documents(_course_documents(spark, sf))
 
 
+def _document_sections(spark, sf):
+    return documents.section_rows(_document_courses(spark, sf))
+
+
 @query
 def xml_refs(spark, sf):
     event = F.col("event_id")
@@ -227,23 +237,23 @@ def xml_courses(spark, sf):
 
 @query
 def xml_sections(spark, sf):
-    return documents.section_table(_document_courses(spark, sf))
+    return documents.section_table(_document_sections(spark, sf))
 
 
 @query
 def xml_meetings(spark, sf):
-    rows = documents.meeting_table(_document_courses(spark, sf))
+    rows = documents.meeting_table(_document_sections(spark, sf))
     return rows.withColumn("weekdays", F.array_join("weekdays", "|"))
 
 
 @query
 def xml_instructors(spark, sf):
-    return documents.instructor_table(_document_courses(spark, sf))
+    return documents.instructor_table(_document_sections(spark, sf))
 
 
 @query
 def xml_gened(spark, sf):
-    return documents.gened_table(_document_courses(spark, sf))
+    return documents.gened_table(_document_sections(spark, sf))
 
 
 @query
@@ -251,6 +261,11 @@ def xml_prereqs(spark, sf):
     return documents.prerequisite_table(_document_courses(spark, sf))
 
 
+@query
+def xml_unmatched(spark, sf):
+    return documents.unmatched_elements(_course_documents(spark, sf))
+
+
 @query
 def xml_unreadable(spark, sf):
     return documents.unreadable_documents(_course_documents(spark, sf))
@@ -710,6 +725,11 @@ def conflict_edges(spark, sf):
     return conflicts.conflict_edges(sections(spark, sf), meetings(spark, sf))
 
 
+@query
+def missing_entries(spark, sf):
+    return schedule.missing_entries(sections(spark, sf), meetings(spark, sf))
+
+
 @query
 def missing_fields(spark, sf):
     rows = schedule.missing_fields(sections(spark, sf), meetings(spark, sf))
@@ -725,12 +745,13 @@ def _evidence(spark, sf):
         status.cast("int").alias("status"), (kind == "view").alias("from_cache"),
         F.concat(kind, F.lit(" "), F.day("ts").cast("string")).alias("body"),
     ))
-    parsed = documents.document_tables(_course_documents(spark, sf))
-    tables_ = {
-        "sections": sections(spark, sf), "meetings": meetings(spark, sf),
-        "instructors": parsed["instructors"], "gened": parsed["gened"], "prerequisites": parsed["prerequisites"],
-    }
-    return schedule.quality_rows(records, tables_)
+    typed = {"sections": sections(spark, sf), "meetings": meetings(spark, sf)}
+    courses, parsed = documents.parsed_tables(_course_documents(spark, sf))
+    tables_ = documents.tables_of(courses, parsed)
+    tables_ = {name: tables_[name] for name in ("sections", "meetings", "instructors", "gened", "prerequisites")}
+    # weeks have records and typed tables of subject U, and documents of subject EV
+    of_documents = schedule.quality_rows(records.limit(0), tables_, (courses, parsed))
+    return schedule.quality_rows(records, typed).unionByName(of_documents)
 
 
 @query

@@ -370,10 +370,12 @@ fetched AS (
     CASE WHEN event_type IN ('view', 'click') THEN sha256(event_type || ' ' || day(ts)) ELSE '' END AS sha FROM events
 )"""
 EVIDENCE = MEETINGS + ", " + DOCS.strip() + ", " + _FETCHED.strip() + """, sizes AS (
-  SELECT term, subject, sum(n) AS source_rows FROM (
-    SELECT term, subject, count(*) AS n FROM sections GROUP BY ALL UNION ALL SELECT term, subject, count(*) FROM meetings GROUP BY ALL
-    UNION ALL SELECT term, subject, count(*) FROM instructors GROUP BY ALL UNION ALL SELECT term, subject, count(*) FROM gened GROUP BY ALL
-    UNION ALL SELECT term, subject, count(*) FROM prereqs GROUP BY ALL) GROUP BY ALL
+  SELECT term, subject, sum(n) AS source_rows, sum(kept) AS kept_rows FROM (
+    SELECT term, subject, count(*) AS n, count(*) AS kept FROM sections GROUP BY ALL
+    UNION ALL SELECT term, subject, count(*), count(*) FROM meetings GROUP BY ALL
+    UNION ALL SELECT term, subject, 6 * count(*) + count(*) FILTER (WHERE value > 50), 3 * count(DISTINCT section_id) FROM docs GROUP BY ALL
+    UNION ALL SELECT term, subject, 0, count(*) FROM instructors GROUP BY ALL UNION ALL SELECT term, subject, 0, count(*) FROM gened GROUP BY ALL
+    UNION ALL SELECT term, subject, 0, count(*) FROM prereqs GROUP BY ALL) GROUP BY ALL
 ), found AS (
   SELECT term, subject, min(CASE status WHEN 'ok' THEN 1 WHEN 'cache' THEN 2 WHEN 'blocked' THEN 3 WHEN 'http_error' THEN 4 ELSE 5 END) AS best,
     string_agg(DISTINCT nullif(http_status, ''), ';' ORDER BY nullif(http_status, '')) AS http_status,
@@ -381,10 +383,11 @@ EVIDENCE = MEETINGS + ", " + DOCS.strip() + ", " + _FETCHED.strip() + """, sizes
 ), holes AS (
   SELECT term, subject, string_agg(DISTINCT field, ';' ORDER BY field) AS missing FROM gaps JOIN sections USING (section_id)
   WHERE field IS NOT NULL GROUP BY term, subject
+  UNION ALL SELECT DISTINCT term, subject, 'section.part_of_term' FROM docs
 ), evidence AS (
   SELECT term, subject, coalesce(['ok', 'cache', 'blocked', 'http_error', 'network_error'][best], 'missing') AS acquisition_status,
     coalesce(http_status, '') AS http_status, coalesce(file_hashes, '') AS file_hashes, coalesce(source_rows, 0)::BIGINT AS source_rows,
-    coalesce(source_rows, 0)::BIGINT AS normalized_rows, coalesce(missing, '') AS missing_critical_fields
+    coalesce(source_rows, 0)::BIGINT AS normalized_rows, coalesce(kept_rows, 0)::BIGINT AS kept_rows, coalesce(missing, '') AS missing_critical_fields
   FROM sizes FULL JOIN found USING (term, subject) LEFT JOIN holes USING (term, subject)
 ), rated AS (
   SELECT *, acquisition_status IN ('ok', 'cache') AND source_rows > 0 AND missing_critical_fields = '' AS verified FROM evidence
@@ -478,7 +481,9 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%H:%M') END AS start_time, CASE WHEN event_id % 5 <> 0 THEN '23:45' END AS end_time,
       '' AS building, CASE WHEN event_id % 6 = 0 THEN 'TBD' ELSE 'R1' END AS room, iso AS start_date, iso AS end_date,
       event_id % 5 = 0 AS is_arranged, event_id % 5 = 1 OR event_id % 6 = 0 AS is_tba
-      FROM (SELECT *, unnest([0, 1]) AS meeting_index, unnest(['Lecture', 'Lab']) AS meeting_type FROM last_section)""")
+      FROM (SELECT *, unnest([0, 1]) AS meeting_index, unnest(CASE WHEN event_id % 7 = 4 THEN ['', ''] ELSE ['Lecture', 'Lab'] END) AS meeting_type FROM last_section)""")
+    out["xml_unmatched"] = w(DOCS, """SELECT term, 'catalog' AS parent_tag, 'note' AS tag, count(*) AS elements FROM docs WHERE event_id % 7 = 1 GROUP BY term
+      UNION ALL SELECT term, 'section', 'capacity', count(*) FROM docs WHERE event_id % 7 = 2 GROUP BY term""")
     out["xml_instructors"] = w(DOCS, "SELECT * FROM instructors")
     out["xml_gened"] = w(DOCS, "SELECT *, attribute_code AS attribute_description FROM gened")
     out["xml_prereqs"] = w(DOCS, "SELECT course_id, term, subject, number, 'After ' || event_type AS prerequisite_text FROM prereqs")
@@ -697,6 +702,8 @@ def oracle_sql() -> dict[str, str]:
     out["conflict_edges"] = w(EDGES, "SELECT * FROM edges")
     out["missing_fields"] = w(MEETINGS, """SELECT section_id, s.term, s.subject, coalesce(missing, '') AS missing FROM sections s LEFT JOIN (
       SELECT section_id, string_agg(field, ';' ORDER BY part, meeting_index, pos) AS missing FROM gaps WHERE field IS NOT NULL GROUP BY section_id) USING (section_id)""")
+    out["missing_entries"] = w(MEETINGS, """SELECT section_id, CASE WHEN part = 1 THEN meeting_index ELSE -1 END AS meeting_index, field, s.term, s.subject
+      FROM gaps JOIN sections s USING (section_id) WHERE field IS NOT NULL""")
     out["schedule_quality"] = w(EVIDENCE, "SELECT * FROM rated")
     out["schedule_gate"] = w(EVIDENCE, """SELECT bool_or(verified) AS verified, CASE WHEN bool_or(verified) THEN ''
       ELSE 'No target term has verified acquisition and normalized data.' END AS reason FROM rated""")

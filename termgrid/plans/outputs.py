@@ -161,8 +161,9 @@ def trajectory_outputs(
 
 def timetable_outputs(docs: DataFrame, records: DataFrame) -> Outputs:
     """Six normalised tables, quality rows and conflict edges from stored documents."""
-    parsed = {name: materialize(df, name) for name, df in documents.document_tables(docs).items()}
-    evidence = schedule.quality_rows(records, {k: v for k, v in parsed.items() if k != "courses"})
+    read = documents.parsed_tables(docs)
+    parsed = {name: materialize(df, name) for name, df in documents.tables_of(*read).items()}
+    evidence = schedule.quality_rows(records, {k: v for k, v in parsed.items() if k != "courses"}, read)
     edges = materialize(conflicts.conflict_edges(parsed["sections"], parsed["meetings"]), "edges")
     return Outputs(
         {**parsed, "quality_report": evidence, "conflict_edges": edges},

@@ -71,6 +71,68 @@ def test_namespaced_files(spark, tmp_path):
     assert [(r["id"], r["href"]) for r in records(refs)] == [("CS 1", "/1")]
 
 
+ODD = (
+    '<r:list xmlns:r="urn:r"><note>kept apart</note><r:course id="CS 102"><info><title>Deep</title></info><creditHours/>'
+    "<genEdAttribute>QR</genEdAttribute><genEdAttribute>QR</genEdAttribute><prerequisite> </prerequisite><more><prerequisites>CS 101</prerequisites></more>"
+    '<block><section><callNumber>77</callNumber><section>A</section><creditHours>2 hours</creditHours><color>red</color>'
+    "<slot><meeting><type> </type><meetingType>Lab</meetingType><days>ARR</days><instructors><instructor>Cy</instructor><instructor><name/>Di"
+    "</instructor><instructor>Cy</instructor></instructors><x><genEdAttribute>HUM</genEdAttribute></x></meeting></slot></section></block>"
+    "</r:course><course id='CS 999'/></r:list>"
+)
+
+
+def test_documents_of_any_layout(spark):
+    docs = spark.createDataFrame([("t", 1, ODD), ("t", 2, "<course><name>CS 103</name><![CDATA[ ]]></course>"), ("t", 3, "<x><y/></x>"),
+                                  ("t", 4, "<course>&nope;</course>"), ("t", 5, "")], "term string, doc_order int, xml string")
+    courses, sections = X.parsed_tables(docs)
+    tables = {name: records(df) for name, df in X.tables_of(courses, sections).items()}
+    course = next(r for r in tables["courses"] if r["number"] == "102")
+    assert (course["title"], course["credit_text"], course["course_id"]) == ("Deep", "", "t:CS 102")
+    assert {(r["subject"], r["number"]) for r in tables["courses"]} == {("CS", "102"), ("CS", "103"), ("", "")}
+    # a section's number may stand in a child of the same name, which is a section by its name too
+    assert {(r["crn"], r["section_number"], r["credit_min"]) for r in tables["sections"]} == {("77", "A", 2.0), ("UNKNOWN-1", "", None)}
+    lab = tables["meetings"][0]
+    assert len(tables["meetings"]) == 1 and lab["meeting_type"] == "" and lab["is_arranged"]
+    # the second one's text stands behind a child, where an element's own text has ended
+    assert [(r["instructor_index"], r["name"]) for r in tables["instructors"]] == [(0, "Cy")]
+    assert {(r["crn"], r["attribute_code"]) for r in tables["gened"]} == {("77", "HUM"), ("UNKNOWN-1", "QR")}
+    assert [r["prerequisite_text"] for r in tables["prerequisites"]] == ["CS 101"]
+    assert {r["doc_order"] for r in records(X.unreadable_documents(docs))} == {4, 5}
+    lost = {(r["parent_tag"], r["tag"], r["elements"]) for r in records(X.unmatched_elements(docs))}
+    assert lost == {("list", "note", 1), ("section", "color", 1)}
+
+
+def test_deep_and_wide_documents(spark):
+    wide = "<course id='CS 1'>" + "".join(f"<section id='{i}'><meeting><days>M</days></meeting></section>" for i in range(3000)) + "</course>"
+    deep = "<course id='CS 2'>" + "<a>" * 3000 + "<section id='d'/>" + "</a>" * 3000 + "</course>"
+    docs = spark.createDataFrame([("t", 1, wide), ("t", 2, deep)], "term string, doc_order int, xml string")
+    assert {n: df.count() for n, df in X.document_tables(docs).items()} == {
+        "courses": 2, "sections": 3001, "meetings": 3000, "instructors": 0, "gened": 0, "prerequisites": 0}
+
+
+def test_evidence_counts_every_copy(spark, parsed):
+    docs, _ = parsed
+    again = docs.where("doc_order = 'a'").withColumn("doc_order", F.lit("d"))
+    alone = spark.createDataFrame([("2023-fall", "e", "<course id='EE 1'/>")], "term string, doc_order string, xml string")
+    courses, sections = X.parsed_tables(docs.unionByName(again).unionByName(alone))
+    tables = {k: v for k, v in X.tables_of(courses, sections).items() if k != "courses"}
+    fetched = spark.createDataFrame([("2023-fall", "CS", "ok", "200", "h")], "term string, subject string, status string, http_status string, sha256 string")
+    rows = {r["subject"]: r for r in records(S.quality_rows(fetched, tables, (courses, sections)))}
+    assert (rows["CS"]["source_rows"], rows["CS"]["normalized_rows"], rows["CS"]["kept_rows"], rows["CS"]["verified"]) == (36, 36, 18, True)
+    assert (rows["EE"]["source_rows"], rows["EE"]["acquisition_status"], rows["EE"]["verified"]) == (0, "missing", False)
+
+
+def test_missing_entries_are_rows(spark):
+    s = spark.createDataFrame([("x", "t", "CS", "1", "9", "S", "1", "2023-01-01", "2023-05-01", 3.0, 3.0)],
+                              "section_id string, term string, subject string, number string, crn string, section_number string, "
+                              "part_of_term string, start_date string, end_date string, credit_min double, credit_max double")
+    m = spark.range(1_000_000).select(
+        F.lit("x").alias("section_id"), F.col("id").cast("int").alias("meeting_index"), F.array(F.lit("MON")).alias("weekdays"), F.lit("09:00").alias("start_time"),
+        F.lit("").alias("end_time"), F.lit("1").alias("room"), F.lit(False).alias("is_arranged"), F.lit(False).alias("is_tba"))
+    entries = S.missing_entries(s, m)
+    assert entries.count() == 1_000_000 and entries.where("meeting_index = 5").first()["field"] == "meeting.5.end_time"
+
+
 def test_conflicts_of_the_fixture(parsed):
     _, tables = parsed
     edges = records(C.conflict_edges(tables["sections"], tables["meetings"]))
