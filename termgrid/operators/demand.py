@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termgrid.functions.numbers import demand_proxy, flag, numeric, ratio
 from termgrid.operators.normalize import scope_rows
-from termgrid.operators.ordering import exact_quantile, value_counts, with_rank
+from termgrid.operators.ordering import measure_counts, of_measure, quantile_from_counts, with_ranks
 from termgrid.operators.quality import require_unique
 from termgrid.sources.scratch import materialize
 from termgrid.spec import (
@@ -55,12 +55,11 @@ def demand_metrics(
     work = materialize(work.withColumn("_rankable_share", share_if_rankable), "course_terms")
     require_unique(work, COURSE_TERM_KEY, "metrics must have unique course-term keys")
 
-    demand = value_counts(work, "demand_proxy")
-    threshold = exact_quantile(demand, "demand_proxy", quantile)
+    counts = measure_counts(work, ["demand_proxy", "_rankable_share"])
+    threshold = of_measure(counts, "demand_proxy").agg(quantile_from_counts("_value", quantile).alias("q")).first()["q"]
     if threshold is None:
         raise ValueError("no valid student and w counts remain after filtering")
-    ranked = with_rank(work, "demand_proxy", "demand_rank", demand)
-    ranked = with_rank(ranked, "_rankable_share", "w_proxy_rank")
+    ranked = with_ranks(work, {"demand_proxy": "demand_rank", "_rankable_share": "w_proxy_rank"}, counts)
     ranked = ranked.withColumn("is_high_demand", flag(F.col("demand_proxy") >= F.lit(threshold)))
     ranked = ranked.withColumn("w_proxy_rankable", F.col("_rankable_share").isNotNull())
     appended = ["demand_proxy", "is_high_demand", "demand_rank", "w_proxy_rankable", "w_proxy_rank"]
@@ -131,9 +130,9 @@ def course_summary(course_terms: DataFrame, min_demand: int = MIN_DEMAND) -> Dat
         "_rankable_share", F.when(total >= min_demand, F.col("w_proxy_weighted"))
     )
     summary = materialize(summary, "course_summary")
-    summary = with_rank(summary, "demand_proxy_total", "demand_total_rank")
-    summary = with_rank(summary, "demand_proxy_mean", "demand_mean_rank")
-    summary = with_rank(summary, "_rankable_share", "w_proxy_weighted_rank")
+    summary = with_ranks(summary, {
+        "demand_proxy_total": "demand_total_rank", "demand_proxy_mean": "demand_mean_rank", "_rankable_share": "w_proxy_weighted_rank",
+    })
     summary = summary.withColumn("w_proxy_rankable", F.col("_rankable_share").isNotNull())
     return summary.select(
         *COURSE_KEY,

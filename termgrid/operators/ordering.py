@@ -140,6 +140,28 @@ def exact_quantile(counts: RunningTotals, value: str, q: float) -> float | None:
     return counts.table.agg(quantile_from_counts(value, q).alias("q")).first()["q"]
 
 
+def _attached(df: DataFrame, value: str, rank: str, ranked: DataFrame, small: bool) -> DataFrame:
+    """Join (``_value``, ``_n``, ``_total``, ``_rank``) to rows as ``rank``; rows without a value get null."""
+    if small:
+        table = F.broadcast(ranked.select("_value", F.col("_rank").alias(rank)))
+        return df.join(table, F.col(value) == F.col("_value"), "left").drop("_value")
+    is_hot = F.col("_n") * HOT_SHARE >= F.col("_total")
+    hot = F.broadcast(ranked.where(is_hot).select(F.col("_value").alias("_hot"), F.col("_rank").alias("_hot_rank")))
+    cold = ranked.where(~is_hot).select(F.col("_value").alias("_cold"), F.lit(0).alias("_cold_salt"), F.col("_rank").alias("_cold_rank"))
+    rows = df.join(hot, F.col(value) == F.col("_hot"), "left")
+    # rows that are settled (hot or without a value) go anywhere, the others to their value
+    open_ = F.col("_hot_rank").isNull() & F.col(value).isNotNull()
+    rows = rows.withColumns({
+        "_key": F.when(open_, F.col(value)), "_salt": F.when(open_, 0).otherwise(F.monotonically_increasing_id() % 1_000_003 + 1).cast("int"),
+    })
+    rows = rows.join(cold, (F.col("_key") == F.col("_cold")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    return rows.select(*[f"`{c}`" for c in df.columns], F.coalesce("_hot_rank", "_cold_rank").alias(rank))
+
+
+def _descending() -> Column:
+    return (F.col("n_total") - F.col("n_through") + 1).cast("long")
+
+
 def with_rank(
     df: DataFrame, value: str, rank: str, counts: RunningTotals | None = None, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -150,17 +172,32 @@ def with_rank(
     """
     counts = counts or value_counts(df, value)
     ranked = counts.table.select(
-        F.col(value).alias("_value"), F.col("n").alias("_n"), F.col("n_total").alias("_total"),
-        (F.col("n_total") - F.col("n_through") + 1).cast("long").alias(rank),
-    )
-    if counts.rows <= broadcast_rows:
-        table = F.broadcast(ranked.select("_value", rank))
-        return df.join(table, F.col(value) == F.col("_value"), "left").drop("_value")
-    hot = ranked.where(F.col("_n") * HOT_SHARE >= F.col("_total")).select("_value", rank)
-    cold = ranked.where(F.col("_n") * HOT_SHARE < F.col("_total")).select("_value", rank)
-    same = F.col(value) == F.col("_value")
-    at_hot = df.join(F.broadcast(hot), same).drop("_value")
-    others = df.where(F.col(value).isNotNull()).join(F.broadcast(hot.select("_value")), same, "left_anti")
-    at_cold = others.join(cold, same).drop("_value")
-    unranked = df.where(F.col(value).isNull()).withColumn(rank, F.lit(None).cast("long"))
-    return at_hot.unionByName(at_cold).unionByName(unranked)
+        F.col(value).alias("_value"), F.col("n").alias("_n"), F.col("n_total").alias("_total"), _descending().alias("_rank"))
+    return _attached(df, value, rank, ranked, counts.rows <= broadcast_rows)
+
+
+def measure_counts(df: DataFrame, values: Sequence[str], **sizes) -> RunningTotals:
+    """Running row counts over the non-null values (``_value``) of several number columns (``_measure``), in one pass over the rows."""
+    long = df.select(F.inline(F.array(*[
+        F.struct(F.lit(v).alias("_measure"), F.col(v).cast("double").alias("_value")) for v in values])))
+    return running_totals(long.where("_value is not null"), ["_value"], {"n": F.count(F.lit(1))}, ["_measure"], **sizes)
+
+
+def of_measure(counts: RunningTotals, value: str) -> DataFrame:
+    return counts.table.where(F.col("_measure") == value).drop("_measure")
+
+
+def with_ranks(
+    df: DataFrame, ranks: Mapping[str, str], counts: RunningTotals | None = None, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Descending min-ranks of several number columns, named by ``ranks`` (column -> rank).
+
+    All columns are counted and put in order together.  The rows are read once
+    and every rank adds the same joins, so the plan grows with the number of ranks.
+    """
+    counts = counts or measure_counts(df, list(ranks))
+    for value, rank in ranks.items():
+        ranked = of_measure(counts, value).select(
+            "_value", F.col("n").alias("_n"), F.col("n_total").alias("_total"), _descending().alias("_rank"))
+        df = _attached(df, value, rank, ranked, counts.rows <= broadcast_rows)
+    return df

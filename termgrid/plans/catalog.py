@@ -131,18 +131,23 @@ def source_coverage(spark, sf):
 
 
 def _responses(spark, sf):
-    """Stored responses: a status per page, and bodies that are pages, XML or empty."""
+    """Stored responses: every page as it is, and again under other statuses and with bodies that are pages, XML or empty."""
     page = F.col("page_id")
-    return table(spark, sf, "pages").select(
-        "page_id", "url",
-        F.when(page % 9 == 0, F.lit(None)).when(page % 9 == 1, 202).when(page % 9 == 2, 403)
-        .when(page % 9 == 3, 500).otherwise(200).cast("int").alias("status"),
-        F.when(page % 9 == 4, "challenge").otherwise("").alias("header_action"),
-        F.when(page % 9 == 5, "text/HTML; charset=utf-8").otherwise("application/xml").alias("content_type"),
-        (page % 9 == 8).alias("from_cache"),
-        F.when(page % 9 == 6, "").when(page % 9 == 7, F.concat(F.lit("<course id=\""), page.cast("string"), F.lit("\"/>")))
-        .when(page % 9 == 8, "<course><name>x</course>").otherwise(F.col("html")).alias("body"),
+    pages = table(spark, sf, "pages")
+    given = pages.select(
+        "page_id", "url", F.lit(200).alias("status"), F.lit("").alias("header_action"), F.lit("text/HTML; charset=utf-8").alias("content_type"),
+        F.lit(False).alias("from_cache"), F.col("html").alias("body"),
     )
+    return given.unionByName(pages.select(
+        "page_id", F.concat("url", F.lit("#again")).alias("url"),
+        F.when(page % 8 == 0, F.lit(None)).when(page % 8 == 1, 202).when(page % 8 == 2, 403)
+        .when(page % 8 == 3, 500).otherwise(200).cast("int").alias("status"),
+        F.when(page % 8 == 4, "challenge").otherwise("").alias("header_action"),
+        F.lit("application/xml").alias("content_type"),
+        (page % 8 == 7).alias("from_cache"),
+        F.when(page % 8 == 5, "").when(page % 8 == 6, F.concat(F.lit("<course id=\""), page.cast("string"), F.lit("\"/>")))
+        .when(page % 8 == 7, "<course><name>x</course>").otherwise(F.col("html")).alias("body"),
+    ))
 
 
 @query
@@ -282,17 +287,13 @@ def panel_filter(spark, sf):
 
 @query
 def coerce_numeric(spark, sf):
-    quantity = F.col("l_quantity").cast("string")
-    entry = (
-        F.when(F.col("l_linenumber") == 1, quantity)
-        .when(F.col("l_linenumber") == 2, F.concat(F.lit("  "), quantity, F.lit(" ")))
-        .when(F.col("l_linenumber") == 3, F.concat(quantity, F.lit("d")))
-        .when(F.col("l_linenumber") == 4, "-1.5e2").when(F.col("l_linenumber") == 5, "nan")
-        .when(F.col("l_linenumber") == 6, "0x10").otherwise("+.5")
-    )
-    rows = table(spark, sf, "lineitem").select("l_linenumber", entry.alias("entry"))
-    parsed = rows.select("l_linenumber", num.numeric(rows, "entry").alias("value"))
-    return parsed.groupBy("l_linenumber").agg(
+    quantity, line = F.col("l_quantity").cast("string"), F.col("l_linenumber")
+    given = F.when(line % 3 == 1, quantity).when(line % 3 == 2, F.concat(F.lit("  "), quantity, F.lit(" "))).otherwise(F.concat(quantity, F.lit("d")))
+    made = F.when(line % 4 == 0, "-1.5e2").when(line % 4 == 1, "nan").when(line % 4 == 2, "0x10").otherwise("+.5")
+    rows = table(spark, sf, "lineitem").select("l_linenumber", F.inline(F.array(
+        F.struct(F.lit("given").alias("form"), given.alias("entry")), F.struct(F.lit("made").alias("form"), made.alias("entry")))))
+    parsed = rows.select("l_linenumber", "form", num.numeric(rows, "entry").alias("value"))
+    return parsed.groupBy("l_linenumber", "form").agg(
         F.count(F.lit(1)).alias("rows"), F.count("value").alias("parsed"), F.sum("value").alias("total")
     )
 

@@ -395,15 +395,17 @@ EVIDENCE = MEETINGS + ", " + DOCS.strip() + ", " + _FETCHED.strip() + """, sizes
 
 RESPONSES = """
 responses AS (
-  SELECT page_id, url, CASE page_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 202 WHEN 2 THEN 403 WHEN 3 THEN 500 ELSE 200 END AS code,
-    page_id % 9 = 8 AS cached, page_id % 9 = 4 AS challenge, page_id % 9 = 5 AS typed,
-    CASE page_id % 9 WHEN 6 THEN '' WHEN 7 THEN '<course id="' || page_id || '"/>' WHEN 8 THEN '<course><name>x</course>' ELSE html END AS body
+  SELECT page_id, url, 200 AS code, false AS cached, false AS challenge, true AS typed, html AS body, 'page' AS form FROM pages
+  UNION ALL
+  SELECT page_id, url || '#again', CASE page_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 202 WHEN 2 THEN 403 WHEN 3 THEN 500 ELSE 200 END,
+    page_id % 8 = 7, page_id % 8 = 4, false,
+    CASE page_id % 8 WHEN 5 THEN '' WHEN 6 THEN '<course id="' || page_id || '"/>' WHEN 7 THEN '<course><name>x</course>' ELSE html END, 'again'
   FROM pages
 ), judged AS (
   SELECT *, CASE WHEN code IS NULL THEN NULL WHEN code = 202 OR challenge THEN 'WAF challenge or 202 accepted; no XML returned'
     WHEN code >= 400 THEN 'HTTP ' || code WHEN body = '' THEN 'empty body'
     WHEN typed OR lower(regexp_replace(body, '^\\s+', '')) LIKE '<!doctype html%' OR lower(regexp_replace(body, '^\\s+', '')) LIKE '<html%' THEN 'HTML body instead of XML'
-    WHEN page_id % 9 = 8 THEN 'invalid XML' ELSE '' END AS error FROM responses
+    WHEN body = '<course><name>x</course>' THEN 'invalid XML' ELSE '' END AS error FROM responses
 )"""
 
 KEY = "year, term, subject, number, title"
@@ -490,9 +492,10 @@ def oracle_sql() -> dict[str, str]:
     out["xml_unreadable"] = "SELECT 'w' || weekofyear(ts) AS term, event_id AS doc_order FROM events WHERE event_id % 97 = 5"
 
     out["panel_filter"] = w(RAW, "SELECT year, term, subject, count(*) AS rows, sum(students) AS students, sum(w) AS w FROM scope GROUP BY ALL")
-    out["coerce_numeric"] = """SELECT l_linenumber, count(*) AS rows, count(v) AS parsed, sum(v) AS total FROM (
-      SELECT l_linenumber, CASE WHEN l_linenumber IN (1, 2) THEN l_quantity WHEN l_linenumber = 4 THEN -150.0::DOUBLE
-        WHEN l_linenumber IN (3, 5, 6) THEN NULL ELSE 0.5::DOUBLE END AS v FROM lineitem) GROUP BY l_linenumber"""
+    out["coerce_numeric"] = """SELECT l_linenumber, form, count(*) AS rows, count(v) AS parsed, sum(v) AS total FROM (
+      SELECT l_linenumber, 'given' AS form, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS v FROM lineitem
+      UNION ALL SELECT l_linenumber, 'made', CASE l_linenumber % 4 WHEN 0 THEN -150.0::DOUBLE WHEN 3 THEN 0.5::DOUBLE END FROM lineitem)
+      GROUP BY l_linenumber, form"""
     out["course_level"] = """SELECT p_partkey, CASE WHEN p_partkey % 4 IN (0, 3) THEN least(900, p_partkey // 100 * 100)::DOUBLE END AS history_level,
       CASE WHEN p_partkey % 4 IN (0, 3) THEN least(900, p_partkey // 100 * 100)::DOUBLE WHEN p_partkey % 4 = 1 THEN 0.0::DOUBLE END AS trajectory_level FROM part"""
     out["demand_proxy"] = w(RAW, "SELECT subject, count(*) AS rows, count(students + w) AS valid_rows, sum(students + w) AS demand FROM scope GROUP BY subject")
