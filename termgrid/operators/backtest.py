@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -279,7 +280,8 @@ def _fit_models(train, features, label, prep_args, estimators):
         try:
             models[name] = make(rows).fit(ready)
             status[name] = "fit"
-        except Exception as error:  # one model that can't be fitted leaves the others standing
+        except (ValueError, TypeError, IllegalArgumentException) as error:
+            # a model that can't be fitted to these rows leaves the others standing; lost executors and full disks are no result
             status[name] = f"skipped_fit_error: {type(error).__name__}"
     return prep, status, models
 

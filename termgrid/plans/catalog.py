@@ -31,6 +31,7 @@ _QUERIES: dict[str, Query] = {}
 SUBJECTS = ("Brand#1", "Brand#7", "Brand#12")
 FLAGGED_PERIODS = ((1997, "fall"), (1998, "spring"))
 STATES = {"purchase": "accepted", "error": "rejected", "signup": "superseded"}
+ALLOWED = {"error": ("planned", "accepted"), "signup": ("rejected",)}
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -768,10 +769,12 @@ def schedule_gate(spark, sf):
 
 @query
 def event_chain(spark, sf):
-    """Logs of a thousand events; the link of every 333rd event and some hashes are off."""
-    number = F.col("event_id") % 1000 + 1
+    """One log with every second event, and logs of five hundred; some links, hashes and projections are off."""
+    event = F.col("event_id")
+    in_large = event % 2 == 0
     events = table(spark, sf, "events").select(
-        F.floor(F.col("event_id") / 1000).alias("log_id"), number.alias("sequence"),
+        F.when(in_large, 0).otherwise(F.floor(event / 1000) + 1).alias("log_id"),
+        F.when(in_large, F.floor(event / 2) + 1).otherwise(F.floor(event % 1000 / 2) + 1).alias("sequence"),
         F.col("event_type").alias("action"), F.col("props").alias("payload"), "event_id",
     )
     hashed = ("sequence", "action", "payload")
@@ -780,14 +783,22 @@ def event_chain(spark, sf):
         F.col("log_id").alias("_log"), (F.col("sequence") + 1).alias("_sequence"), F.col("event_hash").alias("_hash")
     )
     linked = events.join(before, (F.col("log_id") == F.col("_log")) & (F.col("sequence") == F.col("_sequence")), "left")
-    broken_link = (F.col("event_id") % 333 == 5) & (F.col("log_id") % 2 == 1)
-    broken_hash = (F.col("event_id") % 777 == 6) & (F.col("log_id") % 3 == 1)
+    broken_link = (event % 333 == 5) & (F.col("log_id") % 2 == 1)
+    broken_hash = (event % 777 == 6) & (F.col("log_id") % 3 == 0)
     stored = linked.select(
         "log_id", "sequence", "action", "payload",
         F.when(broken_link, "x").otherwise(F.coalesce("_hash", F.lit(eventlog.ZERO_HASH))).alias("prev_hash"),
         F.when(broken_hash, "x").otherwise(F.col("event_hash")).alias("event_hash"),
     )
-    return eventlog.verify_logs(stored, hashed, STATES)
+    # the owners' projections: the last action that makes a state, and the number of attempts; some are stale
+    of_state = F.when(F.col("action").isin(*STATES), F.col("sequence"))
+    projected = events.groupBy("log_id").agg(
+        F.max_by("action", of_state).alias("last"), F.count_if(F.col("action") == "purchase").alias("attempts"))
+    names = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
+    projected = projected.select(
+        "log_id", F.when(F.col("log_id") % 5 == 2, "planned").otherwise(F.coalesce(names[F.col("last")], F.lit("planned"))).alias("status"),
+        (F.col("attempts") + (F.col("log_id") % 7 == 3).cast("int")).alias("attempts"))
+    return eventlog.verify_logs(stored, hashed, STATES, allowed=ALLOWED, stored=projected, counted="purchase")
 
 
 # Exploration -----------------------------------------------------------------

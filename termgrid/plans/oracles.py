@@ -711,16 +711,23 @@ def oracle_sql() -> dict[str, str]:
     out["schedule_gate"] = w(EVIDENCE, """SELECT bool_or(verified) AS verified, CASE WHEN bool_or(verified) THEN ''
       ELSE 'No target term has verified acquisition and normalized data.' END AS reason FROM rated""")
     status = " ".join(f"WHEN '{a}' THEN '{s}'" for a, s in STATES.items())
-    out["event_chain"] = f"""WITH e AS (SELECT event_id // 1000 AS log_id, event_id % 1000 + 1 AS sequence, event_type AS action, event_id,
-        sha256((event_id % 1000 + 1) || '|' || event_type || '|' || coalesce(props, '')) AS true_hash FROM events
-      ), linked AS (SELECT *, lag(true_hash) OVER (PARTITION BY log_id ORDER BY sequence) AS before FROM e
+    out["event_chain"] = f"""WITH e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id // 1000 + 1 END AS log_id,
+        CASE WHEN event_id % 2 = 0 THEN event_id // 2 + 1 ELSE event_id % 1000 // 2 + 1 END AS sequence, event_type AS action, event_id, props FROM events
+      ), hashed AS (SELECT *, sha256(sequence || '|' || action || '|' || coalesce(props, '')) AS true_hash FROM e
+      ), linked AS (SELECT *, lag(true_hash) OVER (PARTITION BY log_id ORDER BY sequence) AS before FROM hashed
       ), stored AS (SELECT *, CASE WHEN event_id % 333 = 5 AND log_id % 2 = 1 THEN 'x' ELSE coalesce(before, repeat('0', 64)) END AS prev_hash,
-        CASE WHEN event_id % 777 = 6 AND log_id % 3 = 1 THEN 'x' ELSE true_hash END AS event_hash FROM linked
-      ), checked AS (SELECT *, CASE WHEN sequence = 1 THEN repeat('0', 64) ELSE lag(event_hash) OVER (PARTITION BY log_id ORDER BY sequence) END AS expected FROM stored
+        CASE WHEN event_id % 777 = 6 AND log_id % 3 = 0 THEN 'x' ELSE true_hash END AS event_hash, CASE action {status} END AS made FROM linked
+      ), checked AS (SELECT *, CASE WHEN sequence = 1 THEN repeat('0', 64) ELSE lag(event_hash) OVER w END AS expected,
+        coalesce(last_value(made IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'planned') AS state
+        FROM stored WINDOW w AS (PARTITION BY log_id ORDER BY sequence)
       ), logs AS (SELECT log_id, count(*) AS events, min(sequence) = 1 AND max(sequence) = count(*) AS contiguous,
         count(*) FILTER (WHERE prev_hash <> expected) AS bad_links, count(*) FILTER (WHERE event_hash <> true_hash) AS bad_hashes,
-        coalesce(arg_max(CASE action {status} END, sequence) FILTER (WHERE CASE action {status} END IS NOT NULL), 'planned') AS status FROM checked GROUP BY log_id)
-      SELECT *, contiguous AND bad_links = 0 AND bad_hashes = 0 AS ok FROM logs"""
+        count(*) FILTER (WHERE (action = 'error' AND state NOT IN ('planned', 'accepted')) OR (action = 'signup' AND state <> 'rejected')) AS illegal,
+        count(*) FILTER (WHERE action = 'purchase') AS attempts, coalesce(arg_max(made, sequence) FILTER (WHERE made IS NOT NULL), 'planned') AS status,
+        arg_max(event_hash, sequence) AS head_hash FROM checked GROUP BY log_id
+      ), compared AS (SELECT *, CASE WHEN log_id % 5 = 2 THEN 'planned' ELSE status END AS stored_status,
+        log_id % 7 <> 3 AND (log_id % 5 <> 2 OR status = 'planned') AS agrees FROM logs)
+      SELECT *, contiguous AND bad_links = 0 AND bad_hashes = 0 AND illegal = 0 AND agrees AS ok FROM compared"""
 
     out["dash_filter"] = w(CHOSEN, """SELECT subject, number, title, sum(demand_proxy) AS demand_proxy_total FROM d
       WHERE (subject, number, title) IN (SELECT (subject, number, title) FROM chosen) GROUP BY ALL""")

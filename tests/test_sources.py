@@ -76,10 +76,29 @@ def test_event_logs(spark):
     assert out["good"]["ok"] and out["good"]["status"] == "accepted"
     assert out["bad"]["bad_hashes"] == 1 and not out["bad"]["ok"]
     assert not out["gap"]["contiguous"] and out["gap"]["bad_links"] == 1 and out["gap"]["status"] == "planned"
+    stored = spark.createDataFrame([("good", "accepted", 1), ("bad", "planned", 2), ("gap", "planned", 3)], "log_id string, status string, attempts long")
+    found = {r["log_id"]: r for r in records(eventlog.verify_logs(
+        df, ("sequence", "action", "payload", "prev_hash"), {"done": "accepted"}, allowed={"add": ("planned",)}, stored=stored, counted="add"))}
+    assert found["good"]["ok"] and found["good"]["head_hash"] == rows[1][5]
+    assert not found["bad"]["agrees"] and found["bad"]["illegal"] == 1 and found["bad"]["stored_status"] == "planned"
+    assert not found["gap"]["agrees"] and found["gap"]["attempts"] == 2 and found["gap"]["illegal"] == 0
     twice = df.where("log_id = 'good'").unionByName(df.where("log_id = 'good'"))
     assert not records(eventlog.verify_logs(twice, ("sequence", "action", "payload", "prev_hash"), {}))[0]["ok"]
 
 
+def test_states_of_a_long_log(spark, monkeypatch):
+    monkeypatch.setattr(eventlog, "PIECE", 64)
+    actions = [("go", "stop", "note", "go")[i * i % 4] if i % 5 else "odd" for i in range(5000)]
+    df = spark.createDataFrame([("a", i + 1, a) for i, a in enumerate(actions)] + [("b", 1, "note")], "log_id string, sequence int, action string")
+    moves, allowed = {"go": "running", "stop": "idle"}, {"go": ("idle",), "stop": ("running",), "odd": ("running",)}
+    state, illegal = "idle", 0
+    for a in actions:
+        illegal += a in allowed and state not in allowed[a]
+        state = moves.get(a, state)
+    got = {r["log_id"]: (r["status"], r["illegal"]) for r in eventlog.derived_states(df, moves, allowed, "idle").collect()}
+    assert got == {"a": (state, illegal), "b": ("idle", 0)} and illegal > 100
+
+
 def test_exploration(spark):
     df = spark.createDataFrame(
         [(2021, "spring", "CS", "101", "B", 10.0, 1.0, 0.1), (2021, "fall", "CS", "101", " ", 20.0, 2.0, 0.1), (2022, "fall", "MATH", "1", "M", 5.0, 0.0, 0.0)],
