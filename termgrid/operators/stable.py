@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from termgrid.functions.numbers import course_level, flag, numeric, ratio
 from termgrid.functions.text import is_special_topic, joined, strip, title_norm
+from termgrid.operators.entries import numbered_entries
 from termgrid.operators.normalize import scope_rows, with_grade_columns
 from termgrid.operators.quality import null_safe_join
 from termgrid.spec import (
@@ -137,6 +138,18 @@ def title_audit(titles: DataFrame) -> DataFrame:
     )
 
 
+def title_entries(titles: DataFrame) -> DataFrame:
+    """The distinct raw titles of the ordinary rows as rows: key, ordinal, title."""
+    return numbered_entries(titles.where(~F.col("is_special")), STABLE_KEY, "title")
+
+
+def instructor_entries(raw: DataFrame, years: TrajectorySpec | None = None, panel: PanelSpec | None = None) -> DataFrame:
+    """The distinct instructors of a course-term as rows: key, ordinal, instructor."""
+    rows = raw_scope(raw, years, panel)
+    rows = rows.where(~is_special_topic(F.col("title"))).withColumn("instructor", strip(F.col("instructor")))
+    return numbered_entries(rows.where("instructor <> ''"), STABLE_TERM_KEY, "instructor")
+
+
 def title_change_counts(titles: DataFrame, years: TrajectorySpec | None = None) -> DataFrame:
     """One row of title-change counters over normalised titles.
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from termgrid.functions import numbers as num
 from termgrid.functions import text as txt
 from termgrid.operators import (
-    backtest, conflicts, continuity, demand, eda, eventlog, explore, history, lags, metrics,
+    backtest, conflicts, continuity, demand, eda, entries, eventlog, explore, history, lags, metrics,
     normalize, profiles, quality, schedule, stable,
 )
 from termgrid.sources import documents, manifest, tables
@@ -540,6 +540,21 @@ def title_audit(spark, sf):
     return stable.title_audit(_titles(spark, sf))
 
 
+@query
+def title_entries(spark, sf):
+    return stable.title_entries(_titles(spark, sf))
+
+
+@query
+def instructor_entries(spark, sf):
+    return stable.instructor_entries(grade_rows(spark, sf), TRAJECTORY, PANEL)
+
+
+@query
+def instructor_texts(spark, sf):
+    return entries.entry_texts(stable.instructor_entries(grade_rows(spark, sf), TRAJECTORY, PANEL), STABLE_TERM_KEY, "instructor", piece=2)
+
+
 @query
 def title_change_counts(spark, sf):
     return stable.title_change_counts(_titles(spark, sf), TRAJECTORY)

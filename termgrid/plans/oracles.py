@@ -628,6 +628,13 @@ def oracle_sql() -> dict[str, str]:
       FROM st JOIN ({instructors}) USING ({SKEY})""")
     out["title_audit"] = w(STABLE, """SELECT subject, number, 'base' AS course_variant, count(DISTINCT title) AS title_count,
       string_agg(DISTINCT title, ' | ' ORDER BY title) AS titles_observed, count(DISTINCT title) > 1 AS title_changed FROM ordinary GROUP BY subject, number""")
+    out["title_entries"] = w(STABLE, """SELECT subject, number, row_number() OVER (PARTITION BY subject, number ORDER BY title) - 1 AS ordinal, title
+      FROM (SELECT DISTINCT subject, number, title FROM ordinary WHERE title IS NOT NULL)""")
+    people = f"""SELECT {SKEY}, row_number() OVER (PARTITION BY {SKEY} ORDER BY instructor) - 1 AS ordinal, instructor
+      FROM (SELECT DISTINCT {SKEY}, trim(instructor) AS instructor FROM ordinary WHERE trim(instructor) <> '')"""
+    out["instructor_entries"] = w(STABLE, people)
+    out["instructor_texts"] = w(STABLE, f"""SELECT {SKEY}, ordinal // 2 AS piece, string_agg(instructor, ' | ' ORDER BY ordinal) AS text
+      FROM ({people}) GROUP BY ALL""")
     out["title_change_counts"] = w(STABLE, f""", norm AS (SELECT DISTINCT subject, number, year, term, {_TITLE.format("title")} AS t FROM ordinary
       ), per_key AS (SELECT subject, number, count(DISTINCT t) AS n FROM norm GROUP BY ALL
       ), sets AS (SELECT subject, number, year, string_agg(DISTINCT t, '~' ORDER BY t) AS s FROM norm GROUP BY ALL

@@ -148,3 +148,15 @@ def test_null_keys_stay_one_course(spark):
     lagged = L.with_lags(metrics)
     assert row(lagged, year=2024, term="fall")["history_year_count"] == 3
     assert lagged.where(F.col("subject").isNull()).count() == 12
+
+
+def test_entries_of_a_very_long_list(spark):
+    from termgrid.operators import entries
+
+    rows = spark.range(1_000_000).selectExpr("'a' AS k", "lpad(cast(id AS string), 7, '0') AS e").unionByName(
+        spark.createDataFrame([("b", "y"), ("b", "x"), ("b", "x"), ("b", None), (None, "z")], "k string, e string"))
+    found = entries.numbered_entries(rows, ["k"], "e")
+    assert found.where("k = 'a'").selectExpr("count(*)", "min(ordinal)", "max(ordinal)", "sum(cast(ordinal = cast(e AS long) AS int))").first()[:] == (10**6, 0, 999_999, 10**6)
+    assert sorted((r["k"] or "", r["ordinal"], r["e"]) for r in found.where("k is null or k = 'b'").collect()) == [("", 0, "z"), ("b", 0, "x"), ("b", 1, "y")]
+    texts = entries.entry_texts(found, ["k"], "e")
+    assert texts.where("k = 'a'").count() == 1000 and texts.where("k = 'b'").first()["text"] == "x | y"
