@@ -350,7 +350,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     rounds that is an error.
     """
     kind, canon = F.col("kind"), F.col("canon")
-    drawn = entities.withColumn("attempt", F.lit(0))
+    # a given number of tasks: few bytes are much work here
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = entities.repartition(tasks, "kind", "canon").withColumn("attempt", F.lit(0))
     for _ in range(ROUNDS):
         drawn = materialize(drawn.select(
             "kind", "canon", "attempt", _surrogate(kind, canon, F.col("attempt"), key).alias("surrogate")
