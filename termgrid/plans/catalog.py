@@ -742,6 +742,11 @@ def conflict_edges(spark, sf):
     return conflicts.conflict_edges(sections(spark, sf), meetings(spark, sf))
 
 
+@query
+def conflict_counts(spark, sf):
+    return conflicts.conflict_counts(sections(spark, sf), meetings(spark, sf))
+
+
 @query
 def missing_entries(spark, sf):
     return schedule.missing_entries(sections(spark, sf), meetings(spark, sf))

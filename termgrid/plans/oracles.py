@@ -710,6 +710,13 @@ def oracle_sql() -> dict[str, str]:
       predicted_w_flag AS predicted_w, model, split, subject || ' ' || number AS course FROM predictions""")
 
     out["conflict_edges"] = w(EDGES, "SELECT * FROM edges")
+    distinct = "(SELECT DISTINCT term, day, section_id, start_time, end_time, s, e, ds, de FROM slots WHERE ds <> '' AND de <> '' AND ds <= de)"
+    out["conflict_counts"] = w(EDGES, f""", d AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM {distinct}
+      ), met AS (SELECT x.term, x.day, x.s // 15 AS bucket, count(*) AS n FROM d x JOIN d y ON x.term = y.term AND x.day = y.day
+        AND (y.s < x.s OR (y.s = x.s AND y.i < x.i)) AND y.e > x.s GROUP BY ALL
+      ), cov AS (SELECT term, day, unnest(range(s // 15, (e - 1) // 15 + 1)) AS bucket, s FROM d
+      ), places AS (SELECT term, day, bucket, count(*) FILTER (WHERE s // 15 = bucket) AS starts, count(*) AS covering FROM cov GROUP BY ALL)
+      SELECT term, day, bucket, starts, covering, coalesce(n, 0) AS overlaps FROM places LEFT JOIN met USING (term, day, bucket) WHERE starts > 0""")
     out["missing_fields"] = w(MEETINGS, """SELECT section_id, s.term, s.subject, coalesce(missing, '') AS missing FROM sections s LEFT JOIN (
       SELECT section_id, string_agg(field, ';' ORDER BY part, meeting_index, pos) AS missing FROM gaps WHERE field IS NOT NULL GROUP BY section_id) USING (section_id)""")
     out["missing_entries"] = w(MEETINGS, """SELECT section_id, CASE WHEN part = 1 THEN meeting_index ELSE -1 END AS meeting_index, field, s.term, s.subject

@@ -166,7 +166,24 @@ def minutes(text):
     return int(text[:2]) * 60 + int(text[3:])
 
 
-@pytest.mark.parametrize("sizes", [{}, {"block_rows": 3, "bucket_minutes": 40}])
+def test_overlap_counts_match_brute_force(spark):
+    rng = random.Random(5)
+    rows = [("t", "MON" if rng.random() < 0.8 else "TUE", start, start + rng.choice([1, 15, 20, 50, 300]))
+            for start in (rng.choice([0, 15, 600, rng.randint(0, 900)]) for _ in range(150))]
+    want = {}
+    for i, x in enumerate(rows):
+        place = want.setdefault((x[1], x[2] // 15), [0, 0, 0])
+        place[0] += 1
+        place[2] += sum(y[1] == x[1] and (y[2], j) < (x[2], i) and y[3] > x[2] for j, y in enumerate(rows))
+    for (day, bucket), place in want.items():
+        place[1] = sum(y[1] == day and y[2] // 15 <= bucket <= (y[3] - 1) // 15 for y in rows)
+    slots = spark.createDataFrame(rows, "term string, day string, start_min int, end_min int")
+    got = {(r["day"], r["bucket"]): [r["starts"], r["covering"], r["overlaps"]] for r in records(C.overlap_counts(slots))}
+    assert got == want
+    assert C.overlap_counts(slots.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("sizes", [{}, {"block_rows": 3, "bucket_minutes": 40}, {"block_rows": 2, "broadcast_rows": 0}])
 def test_conflicts_match_brute_force(spark, sizes):
     sections, meetings, s, m = random_timetable(spark)
     owner = {row[0]: row for row in sections}
