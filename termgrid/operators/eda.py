@@ -10,23 +10,42 @@ from pyspark.sql import functions as F
 
 from termgrid.functions.numbers import add, numeric
 from termgrid.operators.ordering import quantile_from_counts, value_counts
-from termgrid.operators.quality import duplicate_keys
-from termgrid.spec import MEASURES, STABLE_TERM_KEY
+from termgrid.sources.scratch import materialize
+from termgrid.spec import MEASURES, SOURCE_ROW_KEY, STABLE_TERM_KEY
+
+
+def _fingerprint(columns) -> list:
+    """Two 64-bit hashes of a row; a text of its null places keeps (null, a) and (a, null) apart."""
+    places = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in columns])
+    return [F.xxhash64(places, *columns).alias("_f1"), F.xxhash64(F.lit(1), *reversed(columns), places).alias("_f2")]
 
 
 def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per table: rows, columns, full-row duplicates, missing cells, column types."""
+    """Per table: rows, columns, full-row duplicates, missing cells, column types.
+
+    Rows are grouped by a fingerprint of 16 bytes, map-side combined.  Only rows
+    whose fingerprint occurs more than once are compared in full, so the count is
+    exact, and a table without such rows is read once and never shuffled whole.
+    """
     out = None
     for name, df in tables.items():
         columns = [F.col(f"`{c}`") for c in df.columns]
         missing = add(c.isNull().cast("long") for c in columns)
-        # Equal rows fall together, so both counts come from the same grouping.
-        groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
-        part = groups.agg(
-            F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.when(F.col("_rows") > 1, F.col("_rows"))), F.lit(0)).alias("duplicate_rows"),
-            F.coalesce(F.sum(missing * F.col("_rows")), F.lit(0)).alias("missing_cells"),
-        ).select(
+        prints = materialize(
+            df.groupBy(*_fingerprint(columns)).agg(F.count(F.lit(1)).alias("n"), F.sum(missing).alias("gaps")), "fingerprints")
+        repeated = prints.where("n > 1").select("_f1", "_f2")
+        facts = prints.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("missing_cells"))
+        if repeated.isEmpty():
+            facts = facts.withColumn("duplicate_rows", F.lit(0).cast("long"))
+        else:
+            suspects = df.select("*", *_fingerprint(columns)).join(repeated, ["_f1", "_f2"], "left_semi")
+            sizes = suspects.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+            equal = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"))
+            # one row of totals beside one row of duplicates
+            both = facts.unionByName(equal, allowMissingColumns=True)
+            facts = both.agg(*[F.max(c).alias(c) for c in both.columns])
+        part = facts.select(
             F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"),
             "duplicate_rows", "missing_cells", F.lit(json.dumps(dict(df.dtypes))).alias("dtypes"),
         )
@@ -93,21 +112,28 @@ def numeric_summary(source: DataFrame, fields=MEASURES) -> DataFrame:
     )
 
 
-def join_audit(source: DataFrame, metrics: DataFrame, key=STABLE_TERM_KEY) -> DataFrame:
+def join_audit(
+    source: DataFrame, metrics: DataFrame, key=STABLE_TERM_KEY, source_key=SOURCE_ROW_KEY,
+    from_table: str = "six_year_spring_fall", to_table: str = "course_term_metrics",
+) -> DataFrame:
     """One row: is source -> panel many-to-one on the course-term key?"""
-    groups = source.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("source_rows"),
-        F.count_if(F.col("rows") > 1).alias("source_groups_with_multiple_rows"),
-    )
-    targets = metrics.agg(F.count(F.lit(1)).alias("target_rows"))
-    duplicates = duplicate_keys(metrics, key).agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("target_key_duplicates")
-    )
-    # Four one-row facts side by side, keyed by a constant.
-    one = [df.withColumn("_k", F.lit(1)) for df in (groups, targets, duplicates)]
-    row = one[0].join(one[1], "_k").join(one[2], "_k")
+
+    def groups(df: DataFrame, prefix: str) -> DataFrame:
+        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        return sizes.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias(f"{prefix}_rows"), F.count_if(F.col("n") > 1).alias(f"{prefix}_groups"),
+            F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias(f"{prefix}_repeats"),
+        )
+
+    # one row of each table's figures, folded into one
+    both = groups(source, "source").unionByName(groups(metrics, "target"), allowMissingColumns=True)
+    row = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    present = [c for c in source_key if c in source.columns]
     return row.select(
-        F.lit(" + ".join(key)).alias("target_key_columns"), F.lit("many_to_one").alias("relationship"),
-        "source_rows", "target_rows", "target_key_duplicates", "source_groups_with_multiple_rows",
-        (F.col("target_key_duplicates") == 0).alias("join_cardinality_valid"),
+        F.lit(from_table).alias("from_table"), F.lit(to_table).alias("to_table"),
+        F.lit(" + ".join(present)).alias("source_key_columns"), F.lit(" + ".join(key)).alias("target_key_columns"),
+        F.lit("many_to_one").alias("relationship"), "source_rows", "target_rows",
+        F.col("target_repeats").alias("target_key_duplicates"),
+        F.col("source_groups").alias("source_groups_with_multiple_rows"),
+        (F.col("target_repeats") == 0).alias("join_cardinality_valid"),
     )

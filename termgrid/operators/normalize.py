@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from termgrid.functions.numbers import numeric, ratio, row_sum, weighted_sum
 from termgrid.functions.text import term_name
+from termgrid.sources.scratch import materialize
 from termgrid.spec import (
     BAND_POINTS, BANDS, COURSE_TERM_KEY, MEASURES, SHARES, SOURCE_ROW_KEY, PanelSpec,
     check_terms, check_window, require_columns,
@@ -104,33 +105,45 @@ def duplicate_rows(df: DataFrame, keys) -> DataFrame:
     return groups.where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicate_rows"))
 
 
-def quality_report(raw: DataFrame, filtered: DataFrame, metrics: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
-    """Report rows (section, field, value): sizes, missing cells, unreadable numbers."""
+def source_profile(raw: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
+    """The counts of a quality report per source row key, from one map-side combined pass over the raw rows.
+
+    ``missing_<column>`` and ``unreadable_<measure>`` count rows in scope, measures after coercion.
+    """
     spec = spec or PanelSpec()
     raw = spec.canonical(raw)
+    require_columns(raw, spec.columns)
     scope = in_scope(raw, spec.window, spec.terms)
-    raw_counts = raw.agg(
-        F.count(F.lit(1)).alias("raw_rows"),
-        *[F.count_if(scope & F.col(c).isNotNull() & numeric(raw, c).isNull()).alias(c) for c in MEASURES],
-    )
-    filtered_counts = filtered.agg(
-        F.count(F.lit(1)).alias("filtered_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in filtered.columns],
+    measures = {c: numeric(raw, c) for c in MEASURES}
+    missing = {c: measures.get(c, F.col(c)).isNull() for c in raw.columns}
+    counts = raw.groupBy(*SOURCE_ROW_KEY).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(scope).alias("rows_in_scope"),
+        *[F.count_if(scope & absent).alias(f"missing_{c}") for c, absent in missing.items()],
+        *[F.count_if(scope & F.col(c).isNotNull() & value.isNull()).alias(f"unreadable_{c}") for c, value in measures.items()],
     )
+    return counts.withColumns({"year": year_number(counts).cast("int"), "term": term_name(F.col("term"))})
 
-    def rows_of(counts: DataFrame, section: str, fields) -> DataFrame:
-        long = counts.unpivot([], [F.col(c) for c in fields], "field", "value")
-        return long.select(F.lit(section).alias("section"), "field", F.col("value").cast("long").alias("value"))
-
-    parts = [
-        rows_of(raw_counts, "rows", ["raw_rows"]),
-        rows_of(filtered_counts, "rows", ["filtered_rows"]),
-        rows_of(metrics.agg(F.count(F.lit(1)).alias("course_term_rows")), "rows", ["course_term_rows"]),
-        rows_of(duplicate_rows(raw, SOURCE_ROW_KEY), "rows", ["duplicate_rows"]),
-        rows_of(filtered_counts, "filtered_missing", filtered.columns),
-        rows_of(raw_counts, "raw_non_numeric_in_scope", MEASURES),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+def quality_report(raw: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
+    """Report rows (section, field, value): sizes, missing cells, unreadable numbers.
+
+    The raw rows are read once; every figure comes from their profile by source row key.
+    """
+    profile = materialize(source_profile(raw, spec), "profile")
+    columns = [c.removeprefix("missing_") for c in profile.columns if c.startswith("missing_")]
+    totals = profile.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in profile.columns if c not in SOURCE_ROW_KEY],
+        F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("duplicate_rows"),
+    )
+    terms = profile.where("rows_in_scope > 0").select(*COURSE_TERM_KEY).distinct().agg(F.count(F.lit(1)).alias("course_term_rows"))
+
+    def entry(section: str, field: str, value: str):
+        return F.struct(F.lit(section).alias("section"), F.lit(field).alias("field"), F.col(value).cast("long").alias("value"))
+
+    figures = totals.select(F.inline(F.array(
+        entry("rows", "raw_rows", "rows"), entry("rows", "filtered_rows", "rows_in_scope"),
+        entry("rows", "duplicate_rows", "duplicate_rows"),
+        *[entry("filtered_missing", c, f"missing_{c}") for c in columns],
+        *[entry("raw_non_numeric_in_scope", c, f"unreadable_{c}") for c in MEASURES],
+    )))
+    return figures.unionByName(terms.select(F.inline(F.array(entry("rows", "course_term_rows", "course_term_rows")))))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from termgrid.functions.numbers import flag, numeric
 from termgrid.functions.text import term_name
 from termgrid.operators.normalize import year_number
-from termgrid.spec import BANDS, COURSE_TERM_KEY, MEASURES, SHARES, PanelSpec, check_window
+from termgrid.sources.scratch import materialize
+from termgrid.spec import COURSE_TERM_KEY, MEASURES, SHARES, PanelSpec, check_window
 
 TOLERANCE = 1e-6
 
@@ -81,77 +84,105 @@ def split_by_window(df: DataFrame, spec: PanelSpec) -> tuple[DataFrame, DataFram
     return df.where(year.isin(*window[:2])), df.where(year == window[2])
 
 
-def validate_tables(filtered: DataFrame, metrics: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
-    """Report rows (check, passed, detail); it never raises.
+# The checks of a validation, in report order, each from the facts of the two tables.
+_FACT_TYPES = {
+    "rows": "long", "bad_years": "long", "bad_terms": "long", "bad_shares": "long", "repeated_keys": "long",
+    "bad_split": "long", "train_rows": "long", "holdout_rows": "long", "totals": "array<double>",
+}
+
+
+def table_facts(df: DataFrame, name: str, spec: PanelSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """One row of counts and column totals for all checks of a table, from one read of it.
 
-    Each table is scanned once for all its checks; only key uniqueness needs a
-    grouping of its own.
+    A fact whose column the table lacks is null.  With ``keys`` the rows are grouped
+    by them first, and repeated keys counted over the groups.
+    """
+    df = spec.canonical(df)
+    has = set(df.columns)
+    year = year_number(df) if "year" in has else None
+    facts = {"rows": F.count(F.lit(1))}
+    if year is not None:
+        facts["bad_years"] = F.count_if(~flag(year.isin(*spec.window)))
+        _, facts["bad_split"], facts["train_rows"], facts["holdout_rows"] = _split_counts(df, spec.window)
+    if "term" in has:
+        facts["bad_terms"] = F.count_if(~flag(term_name(F.col("term")).isin(*spec.terms)))
+    if "w_proxy" in has:
+        facts["bad_shares"] = F.count_if(~numeric(df, "w_proxy").between(0, 1))
+    summed = all(c in has for c in MEASURES)
+    sums = {f"total_{c}": F.coalesce(F.sum(numeric(df, c)), F.lit(0.0)) for c in MEASURES} if summed else {}
+    partial = {**facts, **sums}
+    if keys and set(keys) <= has:
+        groups = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(*[c.alias(k) for k, c in partial.items()])
+        partial = {k: F.coalesce(F.sum(k), F.lit(0)) for k in partial}
+        partial["repeated_keys"] = F.count_if(F.col("rows") > 1)
+        df = groups
+    row = df.agg(*[c.alias(k) for k, c in partial.items()])
+    row = row.withColumn("totals", F.array(*sums) if summed else F.lit(None))
+    have = set(row.columns)
+    return row.select(F.lit(name).alias("table"), *[
+        (F.col(k) if k in have else F.lit(None)).cast(t).alias(k) for k, t in _FACT_TYPES.items()])
+
+
+@dataclass
+class Validation:
+    """``checks``: rows (check, passed, detail).  ``summary``: one row with verdict and row counts."""
+
+    checks: DataFrame
+    summary: DataFrame
+
+
+def validation(filtered: DataFrame, metrics: DataFrame, spec: PanelSpec | None = None) -> Validation:
+    """Checks of the two tables and their verdict; each table is read once, and nothing raises.
+
+    Only the facts, one row a table, are kept between the report's parts.
     """
     spec = spec or PanelSpec()
-    spark = filtered.sparkSession
-    filtered, metrics = spec.canonical(filtered), spec.canonical(metrics)
+    tables = {"filtered": spec.canonical(filtered), "metrics": spec.canonical(metrics)}
     needed = {
         "filtered": list(spec.columns),
         "metrics": [*COURSE_TERM_KEY, *MEASURES, "grade_total", "w_proxy", *SHARES],
     }
-    tables = {"filtered": filtered, "metrics": metrics}
     missing = {name: [c for c in needed[name] if c not in tables[name].columns] for name in tables}
+    keys = {"filtered": (), "metrics": COURSE_TERM_KEY}
+    facts = [table_facts(df, name, spec, keys[name]) for name, df in tables.items()]
+    facts = materialize(facts[0].unionByName(facts[1]), "facts")
+    both = facts.agg(*[
+        F.max(F.when(F.col("table") == name, F.struct(*_FACT_TYPES))).alias(name) for name in tables])
 
-    def long(df: DataFrame, fields) -> DataFrame:
-        return df.unpivot([], [F.col(c) for c in fields], "check", "passed")
+    def none(fact: str) -> Column:
+        return F.coalesce(F.col(fact) == 0, F.lit(False))
 
-    parts = []
-    for name, df in tables.items():
-        has = set(df.columns)
-        checks = {f"{name}_has_required_columns": F.lit(not missing[name])}
-        checks[f"{name}_year_in_window"] = (
-            F.count_if(~flag(year_number(df).isin(*spec.window))) == 0 if "year" in has else F.lit(False)
-        )
-        checks[f"{name}_term_in_terms"] = (
-            F.count_if(~flag(term_name(F.col("term")).isin(*spec.terms))) == 0 if "term" in has else F.lit(False)
-        )
-        if name == "metrics":
-            checks["metrics_w_proxy_in_range"] = (
-                F.count_if(~numeric(df, "w_proxy").between(0, 1)) == 0 if "w_proxy" in has else F.lit(False)
-            )
-            if "year" in has:
-                n, bad, train, holdout = _split_counts(df, spec.window)
-                checks["split_by_window"] = (bad == 0) & (train > 0) & (holdout > 0)
-            else:
-                checks["split_by_window"] = F.lit(False)
-        # count(*) keeps the row present even when every check is a literal.
-        row = df.agg(F.count(F.lit(1)).alias("_n"), *[c.alias(k) for k, c in checks.items()])
-        parts.append(long(row, checks))
-
-    if set(COURSE_TERM_KEY) <= set(metrics.columns):
-        unique = duplicate_keys(metrics, COURSE_TERM_KEY).agg(
-            (F.count(F.lit(1)) == 0).alias("metrics_group_keys_unique")
-        )
-    else:
-        unique = spark.range(1).select(F.lit(False).alias("metrics_group_keys_unique"))
-    parts.append(long(unique, ["metrics_group_keys_unique"]))
-
-    if all(c in df.columns for c in MEASURES for df in tables.values()):
-        sums = []
-        for sign, df in ((1.0, filtered), (-1.0, metrics)):
-            row = df.agg(*[F.coalesce(F.sum(numeric(df, c)), F.lit(0.0)).alias(c) for c in MEASURES])
-            side = row.unpivot([], [F.col(c) for c in MEASURES], "column", "total")
-            sums.append(side.withColumn("total", F.col("total") * sign))
-        gaps = sums[0].unionByName(sums[1]).groupBy("column").agg(F.sum("total").alias("gap"))
-        match = gaps.agg((F.max(F.abs("gap")) <= TOLERANCE).alias("column_sums_match"))
-    else:
-        match = spark.range(1).select(F.lit(False).alias("column_sums_match"))
-    parts.append(long(match, ["column_sums_match"]))
-
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    gaps = F.zip_with("filtered.totals", "metrics.totals", lambda a, b: F.abs(a - b))
+    checks = {}
+    for name in tables:
+        checks[f"{name}_has_required_columns"] = F.lit(not missing[name])
+        checks[f"{name}_year_in_window"] = none(f"{name}.bad_years")
+        checks[f"{name}_term_in_terms"] = none(f"{name}.bad_terms")
+    checks["metrics_w_proxy_in_range"] = none("metrics.bad_shares")
+    checks["metrics_group_keys_unique"] = none("metrics.repeated_keys")
+    checks["split_by_window"] = none("metrics.bad_split") & flag(
+        (F.col("metrics.train_rows") > 0) & (F.col("metrics.holdout_rows") > 0))
+    checks["column_sums_match"] = flag(F.array_max(gaps) <= TOLERANCE)
+    split_count = lambda fact: F.when(F.col("split_by_window"), F.col(fact)).otherwise(0)
+    row = both.withColumns(checks)
+    summary = row.select(
+        reduce(lambda a, b: a & b, [F.col(c) for c in checks]).alias("passed"),
+        F.array_join(F.filter(F.array(*[F.when(~F.col(c), F.lit(c)) for c in checks]), lambda c: c.isNotNull()), ";").alias("errors"),
+        F.col("filtered.rows").alias("filtered_rows"), F.col("metrics.rows").alias("metrics_rows"),
+        split_count("metrics.train_rows").alias("train_rows"), split_count("metrics.holdout_rows").alias("holdout_rows"),
+    )
     detail = F.when(F.col("passed"), "")
     for name in tables:
         detail = detail.when(
             F.col("check") == f"{name}_has_required_columns", "missing: " + ", ".join(missing[name])
         )
-    return out.withColumn("detail", detail.otherwise("failed"))
+    rows = row.select(*checks).unpivot([], [F.col(c) for c in checks], "check", "passed")
+    return Validation(rows.withColumn("detail", detail.otherwise("failed")), summary)
+
+
+def validate_tables(filtered: DataFrame, metrics: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
+    """The report rows (check, passed, detail) of ``validation``."""
+    return validation(filtered, metrics, spec).checks
 
 
 def time_split_counts(df: DataFrame, spec: PanelSpec) -> DataFrame:

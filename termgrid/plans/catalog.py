@@ -474,15 +474,22 @@ def window_select(spark, sf):
 
 @query
 def quality_report(spark, sf):
-    raw = grade_rows(spark, sf)
-    filtered = normalize.normalize_rows(raw, PANEL)
-    return normalize.quality_report(raw, filtered, normalize.course_term_metrics(filtered, PANEL), PANEL)
+    return normalize.quality_report(grade_rows(spark, sf), PANEL)
+
+
+def _validation(spark, sf):
+    filtered = _filtered(spark, sf)
+    return quality.validation(filtered, materialize(normalize.course_term_metrics(filtered, PANEL), "metrics"), PANEL)
 
 
 @query
 def validate_tables(spark, sf):
-    filtered = _filtered(spark, sf)
-    return quality.validate_tables(filtered, normalize.course_term_metrics(filtered, PANEL), PANEL)
+    return _validation(spark, sf).checks
+
+
+@query
+def validation_summary(spark, sf):
+    return _validation(spark, sf).summary
 
 
 @query

@@ -608,6 +608,10 @@ def oracle_sql() -> dict[str, str]:
     }
     out["validate_tables"] = w(METRICS, " UNION ALL ".join(
         f"SELECT '{k}' AS \"check\", {v} AS passed, CASE WHEN {v} THEN '' ELSE 'failed' END AS detail" for k, v in checks.items()))
+    failed = ", ".join(f"CASE WHEN NOT ({v}) THEN '{k}' END" for k, v in checks.items())
+    out["validation_summary"] = w(METRICS, f"""SELECT {" AND ".join(f"({v})" for v in checks.values())} AS passed, concat_ws(';', {failed}) AS errors,
+      (SELECT count(*) FROM scope) AS filtered_rows, (SELECT count(*) FROM m) AS metrics_rows,
+      (SELECT count(*) FROM m WHERE year < 1998) AS train_rows, (SELECT count(*) FROM m WHERE year = 1998) AS holdout_rows""")
     out["join_contract"] = w(METRICS, f"SELECT {KEY}, demand_proxy, sum(demand_proxy) OVER (PARTITION BY subject, number, title) AS course_demand FROM d")
 
     out["stable_terms"] = w(STABLE, f"""SELECT {SKEY}, course_variant, {", ".join(BANDS)}, w, students, title, grade_total, {_r("grade_point_mean")},
@@ -687,7 +691,8 @@ def oracle_sql() -> dict[str, str]:
     out["eda_subjects"] = w(STABLE, """SELECT subject, count(*) AS source_rows, count(DISTINCT number) AS course_numbers, coalesce(sum(students), 0) AS students,
       coalesce(sum(w), 0) AS w FROM ordinary GROUP BY subject""")
     out["eda_numeric"] = w(STABLE, _numeric_summary())
-    out["eda_join_audit"] = w(STABLE, f"""SELECT 'year + term + subject + number' AS target_key_columns, 'many_to_one' AS relationship, (SELECT count(*) FROM ordinary) AS source_rows,
+    out["eda_join_audit"] = w(STABLE, f"""SELECT 'six_year_spring_fall' AS from_table, 'course_term_metrics' AS to_table,
+      'year + term + subject + number + title + sched_type + instructor' AS source_key_columns, 'year + term + subject + number' AS target_key_columns, 'many_to_one' AS relationship, (SELECT count(*) FROM ordinary) AS source_rows,
       (SELECT count(*) FROM st) AS target_rows, 0::BIGINT AS target_key_duplicates,
       (SELECT count(*) FROM (SELECT 1 FROM ordinary GROUP BY {SKEY} HAVING count(*) > 1)) AS source_groups_with_multiple_rows,
       (SELECT count(*) = count(DISTINCT ({SKEY})) FROM st) AS join_cardinality_valid""")

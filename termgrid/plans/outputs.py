@@ -53,11 +53,12 @@ def normalized_outputs(raw: DataFrame, spec: PanelSpec | None = None) -> Outputs
     spec = spec or PanelSpec()
     filtered = normalize.normalize_rows(raw, spec)
     metrics = materialize(normalize.course_term_metrics(filtered, spec), "metrics")
+    checked = quality.validation(filtered, metrics, spec)
     return Outputs(
         {"filtered_rows": filtered, "course_term_metrics": metrics},
         {
-            "quality_report": normalize.quality_report(raw, filtered, metrics, spec),
-            "validation_report": quality.validate_tables(filtered, metrics, spec),
+            "quality_report": normalize.quality_report(raw, spec),
+            "validation_report": checked.checks, "validation_summary": checked.summary,
         },
     )
 

@@ -72,6 +72,13 @@ def test_validation_report_never_raises(spark):
     assert not broken["column_sums_match"] and not broken["split_by_window"] and not broken["metrics_has_required_columns"]
     empty = {r["check"]: r["passed"] for r in records(Q.validate_tables(filtered, metrics.select("subject")))}
     assert not empty["metrics_year_in_window"] and empty["filtered_year_in_window"]
+    good = records(Q.validation(filtered, metrics).summary)[0]
+    assert good["passed"] and good["errors"] == "" and good["filtered_rows"] == filtered.count()
+    assert good["train_rows"] + good["holdout_rows"] == good["metrics_rows"] == metrics.count()
+    doubled = records(Q.validation(filtered, metrics.unionByName(metrics)).summary)[0]
+    assert not doubled["passed"] and doubled["errors"] == "metrics_group_keys_unique;column_sums_match"
+    late = records(Q.validation(filtered, metrics.where("year < 2023")).summary)[0]
+    assert not late["passed"] and late["train_rows"] == late["holdout_rows"] == 0
 
 
 def test_split_and_contract(spark):

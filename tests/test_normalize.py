@@ -63,10 +63,14 @@ def test_present_share_column_wins(spark):
 
 def test_quality_report_counts(spark):
     raw = grade_frame(spark, [{}, {}, {"Number": "7", "W": "bad"}, {"Year": 2019, "W": "bad"}])
-    filtered = N.normalize_rows(raw)
-    report = {(r["section"], r["field"]): r["value"] for r in records(N.quality_report(raw, filtered, N.course_term_metrics(filtered)))}
+    report = {(r["section"], r["field"]): r["value"] for r in records(N.quality_report(raw))}
     assert report[("rows", "raw_rows")] == 4 and report[("rows", "filtered_rows")] == 3
     assert report[("rows", "duplicate_rows")] == 2
+    filtered = N.normalize_rows(raw)
+    assert report[("rows", "course_term_rows")] == N.course_term_metrics(filtered).count()
+    assert {f for section, f in report if section == "filtered_missing"} == set(filtered.columns)
+    empty = {(r["section"], r["field"]): r["value"] for r in records(N.quality_report(raw.limit(0)))}
+    assert set(empty) == set(report) and not any(empty.values())
     assert report[("raw_non_numeric_in_scope", "w")] == 1 and report[("filtered_missing", "w")] == 1
 
 

@@ -102,6 +102,10 @@ def test_instructors_and_reconciliation(spark):
     assert fields["students"]["median"] == 12.0 and fields["a"]["non_null"] == 14
     inventory = records(E.table_inventory({"raw": raw.unionByName(raw.limit(1))}))[0]
     assert inventory["rows"] == 15 and inventory["duplicate_rows"] == 2
+    odd = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), (None, None)], "x string, y string")
+    several = {r["table"]: r for r in records(E.table_inventory({"odd": odd, "once": odd.distinct(), "none": odd.limit(0)}))}
+    assert [(several[n]["rows"], several[n]["duplicate_rows"], several[n]["missing_cells"]) for n in ("odd", "once", "none")] == [
+        (4, 2, 5), (3, 0, 4), (0, 0, 0)]
 
 
 def test_spec_rejects_other_scopes():
