@@ -148,6 +148,11 @@ class Backtest:
     importance: DataFrame | None
     status: dict[str, str]
     models: dict
+    certificate: DataFrame | None = None
+
+    def status_rows(self, spark) -> DataFrame:
+        """(model, status) rows, skipped models included."""
+        return spark.createDataFrame(sorted(self.status.items()), "model string, status string")
 
 
 def _scored(model, frame: DataFrame, keep) -> DataFrame:
@@ -250,6 +255,34 @@ def coefficient_table(model, prep: Preparation, train: DataFrame) -> DataFrame:
     ).orderBy(F.col("abs_coefficient").desc(), F.col("feature"))
 
 
+INTERCEPT = "(intercept)"
+STATIONARY = 1e-4  # largest slope that counts as none; the loss is a mean over rows with scaled inputs
+
+
+def certificate_table(model, prep: Preparation, ready: DataFrame) -> DataFrame:
+    """Is the fitted logistic regression the optimum?  Slope of the penalised loss at its coefficients, one row a slot.
+
+    The loss is convex, so slopes of zero prove the fit whatever the optimiser did.
+    They are sums over the train rows, taken per slot where its input isn't zero and
+    map-side combined; the intercept carries no penalty.
+    """
+    pull = F.col("weight") * (vector_to_array("probability")[1] - F.col("label"))
+    scored = model.transform(ready).select(
+        F.array_insert(vector_to_array("features"), 1, F.lit(1.0)).alias("inputs"), "label", pull.alias("pull"), "weight")
+    totals = scored.select("pull", "label", "weight", F.posexplode("inputs").alias("slot", "input")).where("input <> 0")
+    slopes = totals.groupBy("slot").agg(F.sum(F.col("pull") * F.col("input")).alias("pull"))
+    size = scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 1).alias("positives"), F.sum("weight").alias("weight")).first()
+    reg = model.getRegParam()
+    listed = [(0, INTERCEPT, float(model.intercept), 0.0)] + [
+        (i + 1, prep.names[i][0], float(value), reg * float(value)) for i, value in enumerate(model.coefficients.toArray())]
+    slots = ready.sparkSession.createDataFrame(listed, "slot int, feature string, coefficient double, penalty double")
+    slope = F.coalesce(F.col("pull"), F.lit(0.0)) / F.lit(size["weight"]) + F.col("penalty")
+    return slots.join(slopes, "slot", "left").select(
+        "feature", "coefficient", slope.alias("slope"), (F.abs(slope) <= STATIONARY).alias("stationary"),
+        F.lit(size["rows"]).alias("rows"), F.lit(size["positives"]).alias("positives"))
+
+
 def importance_table(name: str, model, prep: Preparation, train: DataFrame) -> DataFrame:
     """Absolute coefficients (with their sign as direction) or forest importances."""
     if hasattr(model, "featureImportances"):
@@ -271,7 +304,7 @@ def _fit_models(train, features, label, prep_args, estimators):
     status, models = {}, {}
     classes = train.agg(F.min(label).alias("low"), F.max(label).alias("high")).first()
     if classes["low"] == classes["high"]:
-        return None, {name: "skipped_one_class_training_target" for name in estimators}, models
+        return None, None, {name: "skipped_one_class_training_target" for name in estimators}, models
     prep = prepare(train, features, **prep_args)
     ready = balanced_weights(prep.apply(train).withColumn("label", F.col(label).cast("double")), "label")
     ready = ready.select("features", "label", "weight")
@@ -283,7 +316,7 @@ def _fit_models(train, features, label, prep_args, estimators):
         except (ValueError, TypeError, IllegalArgumentException) as error:
             # a model that can't be fitted to these rows leaves the others standing; lost executors and full disks are no result
             status[name] = f"skipped_fit_error: {type(error).__name__}"
-    return prep, status, models
+    return prep, ready, status, models
 
 
 def trajectory_backtest(
@@ -298,7 +331,7 @@ def trajectory_backtest(
         "logistic_regression": lambda rows: logistic(rows),
         "random_forest": lambda rows: forest(trees, max_depth, seed),
     }
-    prep, status, fitted = _fit_models(
+    prep, ready, status, fitted = _fit_models(
         train, TRAJECTORY_NUMERIC, "w_flag", {"drop_reference": True}, {m: makers[m] for m in models}
     )
     context = [c for c in PREDICTION_CONTEXT if c in targets.columns]
@@ -311,13 +344,14 @@ def trajectory_backtest(
             "actual_w_flag",
         ))
     all_predictions = materialize(_union(predictions), "predictions")
-    coefficients = None
+    coefficients = certificate = None
     if "logistic_regression" in fitted:
         coefficients = coefficient_table(fitted["logistic_regression"], prep, train)
+        certificate = certificate_table(fitted["logistic_regression"], prep, ready)
     importance = [importance_table(n, m, prep, train) for n, m in fitted.items()]
     return Backtest(
         all_predictions, trajectory_metrics(all_predictions), coefficients,
-        _union(importance) if importance else None, status, fitted,
+        _union(importance) if importance else None, status, fitted, certificate,
     )
 
 
@@ -338,7 +372,7 @@ def risk_backtest(
         "logistic_regression": lambda n: logistic(n, 2000),
         "random_forest": lambda n: forest(trees, max_depth, seed),
     }
-    prep, status, fitted = _fit_models(
+    prep, _, status, fitted = _fit_models(
         train, numeric_names, "high_w_risk", {"categorical": categorical}, {m: makers[m] for m in models}
     )
     scored = [

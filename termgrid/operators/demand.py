@@ -13,8 +13,8 @@ from termgrid.operators.ordering import measure_counts, of_measure, quantile_fro
 from termgrid.operators.quality import require_unique
 from termgrid.sources.scratch import materialize
 from termgrid.spec import (
-    COURSE_KEY, COURSE_TERM_KEY, HIGH_DEMAND_QUANTILE, MIN_DEMAND, PanelSpec, check_count,
-    check_fraction, check_terms, check_window, require_columns,
+    COUNT, COURSE_KEY, COURSE_TERM_KEY, FRACTION, HIGH_DEMAND_QUANTILE, MIN_DEMAND, PanelSpec,
+    check_terms, check_window, require_columns,
 )
 
 
@@ -47,7 +47,7 @@ def demand_metrics(
     """
     spec = spec or PanelSpec()
     check_window(spec.window, spec), check_terms(spec.terms)
-    quantile, min_demand = check_fraction(quantile, "quantile"), check_count(min_demand, "min_demand")
+    quantile, min_demand = FRACTION.take(quantile, "quantile"), COUNT.take(min_demand, "min_demand")
     require_columns(metrics, [*COURSE_TERM_KEY, "students", "w"])
 
     work = with_demand(scope_rows(metrics, spec.window, spec.terms))
@@ -93,7 +93,7 @@ def course_summary(course_terms: DataFrame, min_demand: int = MIN_DEMAND) -> Dat
     A course holds at most window x terms rows, so its year set and median are
     bounded.  Everything is one aggregation; nothing is joined back.
     """
-    min_demand = check_count(min_demand, "min_demand")
+    min_demand = COUNT.take(min_demand, "min_demand")
     require_columns(
         course_terms,
         [*COURSE_KEY, "year", "term", "students", "w", "demand_proxy", "w_proxy", "is_high_demand"],

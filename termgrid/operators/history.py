@@ -13,7 +13,7 @@ from termgrid.operators.ordering import quantile_from_counts, value_counts
 from termgrid.operators.quality import require_unique, with_split
 from termgrid.sources.scratch import materialize
 from termgrid.spec import (
-    COURSE_KEY, COURSE_TERM_KEY, HIGH_RISK_QUANTILE, SHARES, PanelSpec, check_fraction, require_columns,
+    COURSE_KEY, COURSE_TERM_KEY, FRACTION, HIGH_RISK_QUANTILE, SHARES, PanelSpec, require_columns,
 )
 
 HISTORY_MEANS = {
@@ -73,7 +73,7 @@ class RiskLabel:
 
 def risk_label(rows: DataFrame, quantile: float = HIGH_RISK_QUANTILE) -> RiskLabel:
     """Threshold from train rows only; strict when ``>=`` would label every train row."""
-    quantile = check_fraction(quantile, "quantile")
+    quantile = FRACTION.take(quantile, "quantile")
     train = rows.where(F.col("split") == "train")
     counts = value_counts(train, "w_proxy").table
     row = counts.agg(
@@ -95,7 +95,7 @@ def feature_table(metrics: DataFrame, spec: PanelSpec | None = None, quantile: f
     """Course-term rows with split, label, level and history features."""
     spec = spec or PanelSpec()
     require_columns(metrics, [*COURSE_TERM_KEY, "students", "w", "w_proxy", "demand_proxy"])
-    check_fraction(quantile, "quantile")
+    FRACTION.take(quantile, "quantile")
     work = with_derived_shares(scope_rows(metrics, spec.window, spec.terms))
     work = work.withColumns({c: numeric(work, c) for c in ("w_proxy", "demand_proxy", "students")})
     work = with_split(work, spec)

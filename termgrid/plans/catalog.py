@@ -723,6 +723,28 @@ def coef_table(spark, sf):
     return backtest.trajectory_backtest(_lagged(spark, sf), ("logistic_regression",)).coefficients
 
 
+@query
+def lr_certificate(spark, sf):
+    """The fitted coefficients are the optimum, feature by feature, with the support behind each."""
+    run = backtest.trajectory_backtest(_lagged(spark, sf), ("logistic_regression",))
+    support = run.coefficients.select("feature", "feature_type", "reference_category", "sample_support", "reference_support")
+    return run.certificate.drop("coefficient", "slope").join(support, "feature", "left")
+
+
+@query
+def top_importance(spark, sf):
+    run = backtest.trajectory_backtest(_lagged(spark, sf), ("logistic_regression",))
+    return explore.top_n(run.importance, 15, "importance", ["model", "feature"])
+
+
+@query
+def top_probability(spark, sf):
+    run = backtest.trajectory_backtest(_lagged(spark, sf), ("logistic_regression",))
+    holdout = run.predictions.where("split = 'holdout' and model = 'logistic_regression'")
+    return explore.top_n(holdout, 25, "predicted_probability", STABLE_TERM_KEY).select(
+        *STABLE_TERM_KEY, "model", "predicted_probability", "predicted_w_flag", "actual_w_flag")
+
+
 @query
 def model_rf(spark, sf):
     return backtest.trajectory_backtest(_lagged(spark, sf), ("random_forest",), max_depth=QUERY_DEPTH).metrics

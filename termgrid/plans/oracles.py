@@ -714,6 +714,15 @@ def oracle_sql() -> dict[str, str]:
     out["alias_resolve"] = w(BASELINES, f"""SELECT year, term, subject, number, '' AS title, actual_w_flag AS actual_w, {_r("predicted_probability")},
       predicted_w_flag AS predicted_w, model, split, subject || ' ' || number AS course FROM predictions""")
 
+    numeric = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS sample_support FROM train" for c in _SCALE_FIELDS)
+    levels = " UNION ALL ".join(f"SELECT '{c}' AS parent, {c}::VARCHAR AS level, count(*) AS n FROM train GROUP BY {c}" for c in ("subject", "term"))
+    out["lr_certificate"] = w(LAGS, f""", train AS (SELECT * FROM targets WHERE split = 'train'), numeric AS ({numeric}), levels AS ({levels}
+      ), ordered AS (SELECT *, row_number() OVER w AS place, first_value(level) OVER w AS top, first_value(n) OVER w AS top_n FROM levels
+        WINDOW w AS (PARTITION BY parent ORDER BY n DESC, level)
+      ), slots AS (SELECT '(intercept)' AS feature, NULL AS feature_type, NULL AS reference_category, NULL::BIGINT AS sample_support, NULL::BIGINT AS reference_support
+        UNION ALL SELECT feature, 'numeric', '', sample_support, NULL FROM numeric
+        UNION ALL SELECT parent || '_' || level, 'categorical', top, n, top_n FROM ordered WHERE place > 1)
+      SELECT *, true AS stationary, (SELECT count(*) FROM train) AS rows, (SELECT count(*) FROM train WHERE w_flag = 1) AS positives FROM slots""")
     out["conflict_edges"] = w(EDGES, "SELECT * FROM edges")
     distinct = "(SELECT DISTINCT term, day, section_id, start_time, end_time, s, e, ds, de FROM slots WHERE ds <> '' AND de <> '' AND ds <= de)"
     out["conflict_counts"] = w(EDGES, f""", d AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM {distinct}

@@ -229,6 +229,20 @@ def test_quality_rows_and_gate(spark, parsed):
         assert not gate["verified"] and word in gate["reason"]
 
 
+def test_clock_forms(spark):
+    want = {
+        "12 AM": "00:00", "12:30 a.m.": "00:30", "12 pm": "12:00", "12:59 P.M.": "12:59", "0:05 pm": "12:05", "1:05pm": "13:05",
+        "11:59 PM": "23:59", "13:00 AM": "13:00", "13:00 PM": None, "23:59": "23:59", "24:00": None, "9": "09:00", "9:5": None,
+        "9:60": None, "09:30": "09:30", "TBA": None, "ARR": None, "": None, " 7 AM ": "07:00", "noon": None, "1:05:00": None, None: None,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in want.items()], "t string, v string")
+    rows = df.select("t", "v", txt.clock_time(F.col("t")).alias("got"), txt.minutes_of_day(F.col("v")).alias("m")).collect()
+    assert {r["t"]: r["got"] for r in rows} == want
+    assert all(r["m"] == (None if r["v"] is None else minutes(r["v"])) for r in rows)
+    odd = spark.createDataFrame([("9:30",), (" 09:30 ",), ("09:30:00",)], "v string").select(txt.minutes_of_day(F.col("v")))
+    assert [r[0] for r in odd.collect()] == [None, 570, None]
+
+
 def test_missing_fields_in_order(spark):
     s = spark.createDataFrame([("x", "t", "CS", "1", "9", "", "1", "2023-01-01", None, None, None)],
                               "section_id string, term string, subject string, number string, crn string, section_number string, "

@@ -142,6 +142,14 @@ def test_holdout_outcomes_never_reach_the_models(spark):
     table = records(runs[0].coefficients)
     references = {r["reference_category"] for r in table if r["feature_type"] == "categorical"}
     assert references and all(r["odds_ratio"] > 0 for r in table)
+    proof = records(runs[0].certificate)
+    assert {r["feature"] for r in proof} == {r["feature"] for r in table} | {B.INTERCEPT}
+    assert all(r["stationary"] for r in proof)
+    short = B.logistic(proof[0]["rows"], max_iter=1)
+    train = L.with_lags(metrics).where("eligible_target and split = 'train'")
+    prep, ready, _, models = B._fit_models(
+        train, B.TRAJECTORY_NUMERIC, "w_flag", {"drop_reference": True}, {"lr": lambda rows: short})
+    assert not all(r["stationary"] for r in records(B.certificate_table(models["lr"], prep, ready)))
     assert {r["model"] for r in records(runs[0].metrics)} == {
         "constant_baseline", "persistence_baseline", "logistic_regression", "random_forest"}
 
