@@ -158,6 +158,9 @@ def coverage(course_terms: DataFrame) -> DataFrame:
 TOP_COLUMNS = (*COURSE_TERM_KEY, "students", "w", "demand_proxy", "w_proxy")
 
 
+SHARE_TIES = ("demand_proxy", "subject", "number", "year", "term", "title")
+
+
 def top_by_demand(course_terms: DataFrame, k: int = 10) -> DataFrame:
     """Largest demand first; ties by the full course-term key."""
     order = [F.col("demand_proxy").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in COURSE_TERM_KEY]]
@@ -166,8 +169,7 @@ def top_by_demand(course_terms: DataFrame, k: int = 10) -> DataFrame:
 
 def top_by_share(course_terms: DataFrame, k: int = 10) -> DataFrame:
     """Largest w share among rankable rows; smaller demand first on ties, then the key."""
-    rest = ("demand_proxy", "subject", "number", "year", "term", "title")
-    order = [F.col("w_proxy").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in rest]]
+    order = [F.col("w_proxy").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in SHARE_TIES]]
     rows = course_terms.where(F.col("w_proxy_rankable"))
     return rows.select(*TOP_COLUMNS).orderBy(*order).limit(k)
 
@@ -194,10 +196,12 @@ def demand_report(table: DemandTable, summary: DataFrame) -> DataFrame:
         long = doubles.unpivot([], [F.col(c) for c in df.columns], "key", "value")
         return long.select(F.lit(section).alias("section"), F.lit(0).cast("long").alias("position"), "key", "value")
 
-    def top(df: DataFrame, section: str, keys, value: str) -> DataFrame:
-        # At most k rows, in order: they are collected into one array and numbered.
-        item = F.struct(text_key(keys).alias("key"), F.col(value).alias("value"))
-        items = df.agg(F.collect_list(item).alias("items"))
+    def top(df: DataFrame, section: str, keys, values, ties=None) -> DataFrame:
+        # At most k rows: they are collected into one array, put in order there (nulls last) and numbered.
+        by = [(c, -F.col(c)) for c in values] + [(c, F.col(c)) for c in ties or keys]
+        order = [place for c, rising in by for place in (F.col(c).isNull().alias(f"no_{c}"), rising.alias(f"by_{c}"))]
+        item = F.struct(*order, text_key(keys).alias("key"), F.col(values[0]).alias("value"))
+        items = df.agg(F.array_sort(F.collect_list(item)).alias("items"))
         return items.select(
             F.lit(section).alias("section"), F.posexplode("items").alias("p", "item")
         ).select("section", (F.col("p") + 1).cast("long").alias("position"), "item.key", "item.value")
@@ -226,9 +230,9 @@ def demand_report(table: DemandTable, summary: DataFrame) -> DataFrame:
         named(demand_quality(rows), "quality"),
         named(parameters, "ranking_parameters"),
         periods,
-        top(top_by_demand(rows), "top_course_terms_by_demand", COURSE_TERM_KEY, "demand_proxy"),
-        top(top_by_share(rows), "top_course_terms_by_w_proxy", COURSE_TERM_KEY, "w_proxy"),
-        top(top_courses(summary), "top_courses_by_total_demand", COURSE_KEY, "demand_proxy_total"),
+        top(top_by_demand(rows), "top_course_terms_by_demand", COURSE_TERM_KEY, ["demand_proxy"]),
+        top(top_by_share(rows), "top_course_terms_by_w_proxy", COURSE_TERM_KEY, ["w_proxy"], SHARE_TIES),
+        top(top_courses(summary), "top_courses_by_total_demand", COURSE_KEY, ["demand_proxy_total", "demand_proxy_mean"]),
     ]
     out = parts[0]
     for part in parts[1:]:
