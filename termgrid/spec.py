@@ -198,4 +198,4 @@ COUNT = NumberRange((int,), 0, float("inf"), ends=True)
 def require_columns(df: DataFrame, columns: Iterable[str]) -> None:
     absent = set(columns) - set(df.columns)
     if absent:
-        raise ValueError(f"the table lacks the columns {', '.join(sorted(absent))}")
+        raise ValueError(f"missing required columns: {', '.join(sorted(absent))}")
