@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from termgrid.operators.history import FeatureTable, model_features
 from termgrid.operators.metrics import TIE_REASONS, score_metrics, with_scopes
 from termgrid.operators.ordering import quantile_from_counts, value_counts
-from termgrid.sources.scratch import materialize
+from termgrid.sources.scratch import materialize, spread
 from termgrid.spec import COURSE_TERM_KEY, MIN_SUPPORT, RANDOM_STATE, RECALL_FRACTION, STABLE_TERM_KEY
 
 # Model inputs of the trajectory backtest.
@@ -307,7 +307,8 @@ def _fit_models(train, features, label, prep_args, estimators):
         return None, None, {name: "skipped_one_class_training_target" for name in estimators}, models
     prep = prepare(train, features, **prep_args)
     ready = balanced_weights(prep.apply(train).withColumn("label", F.col(label).cast("double")), "label")
-    ready = ready.select("features", "label", "weight")
+    # every level of a forest and every step of the optimiser passes over these rows: once from all cores, not from one small partition
+    ready = materialize(spread(ready.select("features", "label", "weight")), "fit-rows")
     rows = ready.count()
     for name, make in estimators.items():
         try:

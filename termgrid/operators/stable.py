@@ -195,3 +195,41 @@ def scope_counts(raw: DataFrame, titles: DataFrame, metrics: DataFrame) -> DataF
     terms = metrics.agg(F.count(F.lit(1)).alias("course_term_rows"))
     parts = [df.unpivot([], df.columns, "counter", "value") for df in (total, counts, terms)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def audit_counts(
+    raw: DataFrame, titles: DataFrame, metrics: DataFrame, periods: DataFrame,
+    years: TrajectorySpec | None = None, panel: PanelSpec | None = None,
+) -> DataFrame:
+    """Report rows (counter, value): what the audits hold and whether sources and panel agree.
+
+    ``periods`` are the reconciled totals of ``eda.reconcile_periods``.  One grouping
+    over the title rows gives every counter of audits; flags count as 0 and 1; the
+    missing instructors are null where the source has no such column.
+    """
+    special = F.col("is_special")
+    terms = titles.groupBy(*STABLE_TERM_KEY).agg(
+        F.count_if(special).alias("special"), F.count_if(~special).alias("ordinary")
+    )
+    keys = terms.groupBy(*STABLE_KEY).agg(
+        F.sum("special").alias("special"), F.count_if(F.col("special") > 0).alias("special_terms"),
+        F.sum("ordinary").alias("ordinary"), F.count_if(F.col("ordinary") > 0).alias("ordinary_terms"),
+    )
+    zero = lambda column: F.coalesce(F.sum(column), F.lit(0))
+    audits = keys.agg(
+        zero("special").alias("special_topic_audit_rows"),
+        zero("special_terms").alias("special_topic_course_terms_with_rows"),
+        F.count_if(F.col("ordinary") > 0).alias("title_audit_rows"),
+        zero("ordinary_terms").alias("instructor_audit_rows"),
+    )
+    variants = metrics.groupBy(*STABLE_KEY, "course_variant").count().agg(F.count(F.lit(1)).alias("variant_count"))
+    agree = F.coalesce(
+        F.bool_and((F.col("students_total_difference") == 0) & (F.col("w_total_difference") == 0)), F.lit(True))
+    reconciled = periods.agg(agree.cast("long").alias("reconciliation_all_zero"))
+    scope = raw_scope(raw, years, panel)
+    missing = F.count_if(F.col("instructor").isNull()) if "instructor" in scope.columns else F.lit(None).cast("long")
+    people = scope.agg(missing.alias("instructor_missing_source_rows_in_scope"))
+    if "instructor" not in scope.columns:
+        audits = audits.withColumn("instructor_audit_rows", F.lit(0).cast("long"))
+    parts = [df.unpivot([], df.columns, "counter", "value") for df in (audits, variants, reconciled, people)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -157,11 +157,17 @@ def fetch_status(spark, sf):
     records = manifest.fetch_records(responses.select("page_id", "url", "status", "from_cache", "body"))
     errors = manifest.probe_errors(responses.where(F.col("status").isNotNull()))
     errors = errors.groupBy("url").agg(F.max("error").alias("error"))
-    return records.join(errors, "url", "left").select(
-        "page_id", "url", "status", "http_status", "sha256", "bytes", "error"
+    return records.withColumnRenamed("error", "fetch_error").join(errors, "url", "left").select(
+        "page_id", "url", "status", "http_status", "sha256", "bytes", "fetch_error", "error"
     )
 
 
+@query
+def fetch_offline(spark, sf):
+    """The same responses without live access: what no cache holds is blocked."""
+    return manifest.fetch_records(_responses(spark, sf).select("page_id", "url", "status", "from_cache", "body"), allow_live=False)
+
+
 @query
 def fetch_manifest(spark, sf):
     responses = _responses(spark, sf).where(F.col("status").isNotNull())
@@ -573,6 +579,14 @@ def scope_counts(spark, sf):
     return stable.scope_counts(grade_rows(spark, sf), titles, stable.stable_terms(titles))
 
 
+@query
+def audit_counts(spark, sf):
+    titles = materialize(_titles(spark, sf), "titles")
+    metrics = materialize(stable.stable_terms(titles), "stable")
+    periods = eda.reconcile_periods(_ordinary(spark, sf), metrics)
+    return stable.audit_counts(grade_rows(spark, sf), titles, metrics, periods, TRAJECTORY, PANEL)
+
+
 @query
 def lag_panel(spark, sf):
     lagged = _lagged(spark, sf)

@@ -464,7 +464,13 @@ def oracle_sql() -> dict[str, str]:
       WHEN code = 403 THEN 'blocked' ELSE 'http_error' END AS status, coalesce(code::VARCHAR, '') AS http_status,
       CASE WHEN code = 200 THEN sha256(body) ELSE '' END AS sha256,
       CASE WHEN code = 200 THEN octet_length(encode(body))::BIGINT ELSE 0 END AS bytes,
+      CASE WHEN cached OR code IS NULL OR code = 200 THEN ''
+        ELSE 'HTTP ' || code || '; WAF/rate-limit/block evidence preserved; no bypass attempted' END AS fetch_error,
       (SELECT max(j.error) FROM judged j WHERE j.url = judged.url) AS error FROM judged""")
+    out["fetch_offline"] = w(RESPONSES, """SELECT page_id, url, CASE WHEN cached THEN 'cache' ELSE 'blocked' END AS status,
+      CASE WHEN cached THEN coalesce(code::VARCHAR, 'cache') ELSE '' END AS http_status, CASE WHEN cached THEN sha256(body) ELSE '' END AS sha256,
+      CASE WHEN cached THEN octet_length(encode(body))::BIGINT ELSE 0 END AS bytes,
+      CASE WHEN cached THEN '' ELSE 'live acquisition disabled; cache miss' END AS error FROM responses""")
     out["fetch_manifest"] = w(RESPONSES, """, asked AS (SELECT CASE WHEN code = 200 THEN 'schedule' ELSE 'grades' END AS source, code, error FROM judged)
       SELECT source, count(*) AS requested, count(*) FILTER (WHERE code IS NOT NULL AND error = '') AS files,
       count(*) FILTER (WHERE code IS NOT NULL AND error <> '') AS failures,
@@ -652,6 +658,17 @@ def oracle_sql() -> dict[str, str]:
     out["scope_counts"] = w(STABLE, """SELECT 'raw_input_rows' AS counter, count(*) AS value FROM raw UNION ALL SELECT 'raw_rows_in_scope', count(*) FROM six
       UNION ALL SELECT 'included_rows_in_scope', count(*) FROM ordinary UNION ALL SELECT 'special_topic_raw_rows_excluded', count(*) FROM six WHERE is_special
       UNION ALL SELECT 'course_term_rows', count(*) FROM st""")
+    out["audit_counts"] = w(STABLE, """, source AS (SELECT year, term, sum(students) AS students, sum(w) AS w FROM ordinary GROUP BY ALL
+      ), panel AS (SELECT year, term, sum(students) AS students, sum(w) AS w FROM st GROUP BY ALL
+      ), gaps AS (SELECT coalesce(s.students, 0) - coalesce(p.students, 0) AS students, coalesce(s.w, 0) - coalesce(p.w, 0) AS w
+        FROM source s FULL JOIN panel p USING (year, term))
+      SELECT 'special_topic_audit_rows' AS counter, count(DISTINCT (year, term, subject, number, title)) AS value FROM six WHERE is_special
+      UNION ALL SELECT 'special_topic_course_terms_with_rows', count(DISTINCT (year, term, subject, number)) FROM six WHERE is_special
+      UNION ALL SELECT 'title_audit_rows', count(DISTINCT (subject, number)) FROM ordinary
+      UNION ALL SELECT 'instructor_audit_rows', count(DISTINCT (year, term, subject, number)) FROM ordinary
+      UNION ALL SELECT 'variant_count', count(DISTINCT (subject, number, course_variant)) FROM st
+      UNION ALL SELECT 'reconciliation_all_zero', (count(*) FILTER (WHERE students <> 0 OR w <> 0) = 0)::BIGINT FROM gaps
+      UNION ALL SELECT 'instructor_missing_source_rows_in_scope', count(*) FILTER (WHERE instructor IS NULL) FROM six""")
     lag_doubles = [f"lag{k}_{f}" for k in (1, 2, 3) for f in _FIELDS if f != "w_flag"]
     out["lag_panel"] = w(LAGS, f"""SELECT {SKEY}, term_match_mode, lag1_w_flag, lag2_w_flag, lag3_w_flag, {_rs(*lag_doubles)},
       {", ".join(_r(f"lag{k}_w_mark_share", f"lag{k}_w_proxy") for k in (1, 2, 3))}, history_year_count,

@@ -126,6 +126,7 @@ def trajectory_outputs(
     if "title" in source.columns:
         ordinary = source.where(~is_special_topic(F.col("title")))
     special = stable.special_topic_audit(titles)
+    periods = materialize(eda.reconcile_periods(ordinary, metrics), "periods")
     out = {
         "trajectory": lagged, "predictions": run.predictions, "metrics": run.metrics,
         "title_audit": stable.title_audit(titles), "continuity": seen,
@@ -134,7 +135,7 @@ def trajectory_outputs(
             "raw_input": panel.canonical(raw), "six_year_spring_fall_source": source,
             "six_year_spring_fall_analysis": ordinary, "course_term_metrics": metrics,
         }),
-        "eda_coverage": eda.reconcile_periods(ordinary, metrics),
+        "eda_coverage": periods,
         "eda_subject_distribution": eda.subject_distribution(ordinary),
         "eda_numeric_summary": eda.numeric_summary(ordinary),
         "eda_join_audit": eda.join_audit(ordinary, metrics),
@@ -144,6 +145,7 @@ def trajectory_outputs(
     sizes = metrics.sparkSession.range(1)
     report = _stack([
         _facts(stable.scope_counts(raw, titles, metrics), "scope", "counter"),
+        _facts(stable.audit_counts(raw, titles, metrics, periods, years, panel), "audits", "counter"),
         _facts(stable.title_change_counts(titles, years), "titles", "counter"),
         _facts(stable.special_key_counts(titles), "special_topics"),
         _facts(lags.target_coverage(lagged, years), "coverage_by_target_year_term", "year", "term"),

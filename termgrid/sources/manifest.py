@@ -5,6 +5,12 @@ Fetching itself is no Spark work and is not built; stored responses are tables.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +21,14 @@ from termgrid.spec import PanelSpec
 # Texts of the failure records.
 CHALLENGED = "WAF challenge or 202 accepted; no XML returned"
 EMPTY, HTML, INVALID = "empty body", "HTML body instead of XML", "invalid XML"
+OFFLINE = "live acquisition disabled; cache miss"
+REFUSED = "; WAF/rate-limit/block evidence preserved; no bypass attempted"
+
+PIECE = 8 << 20  # bytes of a file that a task holds while it hashes it
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw files as (path, content); a file must fit one row, so reading one beyond 2 GB raises an error."""
+    """Raw files as (path, content); a file must fit one row, so one beyond 2 GB raises (``hashed_files`` takes any size)."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
@@ -30,6 +40,42 @@ def file_manifest(files: DataFrame) -> DataFrame:
     )
 
 
+def hashed_files(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """Hash and size of stored files of any size, without a row that holds one.
+
+    Spark lists the files (their contents are no column of the scan, so nothing is
+    read); each is then streamed once through a running digest, ``piece`` bytes at
+    a time.  A digest is a sequential function of the bytes, so one file is the
+    work of one task; files are dealt over all cores.  Local paths and the schemes
+    that Arrow's file systems open (hdfs, s3, gs) are read; others raise.
+    Spark's scans list no empty files, so these have no row (nor in ``read_files``).
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                digest, size = _digest(name, piece)
+                yield pa.RecordBatch.from_pydict({"path": [name], "sha256": [digest], "bytes": [size]})
+
+    return listed.repartition(tasks, "path").select("path").mapInArrow(hashed, "path string, sha256 string, bytes long")
+
+
+def _digest(name: str, piece: int) -> tuple[str, int]:
+    """The running sha256 of one file, and the bytes it was taken over."""
+    if name.startswith("file:"):  # Spark writes file:/a b, unescaped
+        store, inner = fs.LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")
+    else:
+        store, inner = fs.FileSystem.from_uri(quote(name, safe=":/@"))
+    digest, size = hashlib.sha256(), 0
+    with store.open_input_stream(inner) as stream:
+        while part := stream.read(piece):
+            digest.update(part)
+            size += len(part)
+    return digest.hexdigest(), size
+
+
 def source_coverage(raw: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
     """One row: record count, sorted distinct years and terms as text.
 
@@ -72,14 +118,19 @@ def probe_errors(responses: DataFrame) -> DataFrame:
     return responses.select("url", "status", error.alias("error"))
 
 
-def fetch_records(responses: DataFrame) -> DataFrame:
-    """Fetch result per stored response: ok, cache, blocked, http_error or network_error.
+def fetch_records(responses: DataFrame, allow_live: bool = True) -> DataFrame:
+    """Fetch result per stored response: ok, cache, blocked, http_error or network_error, with the error's text.
 
-    Columns: url, status (null when the network failed), from_cache, body.
+    Columns: url, status (null when the network failed), from_cache, body, and
+    optionally failure, the network's own message.  Without live access every
+    response that no cache holds counts as blocked, whatever its status says.
     """
-    code = F.col("status").cast("string")
+    code, cached = F.col("status").cast("string"), F.coalesce(F.col("from_cache"), F.lit(False))
+    failure = F.coalesce(F.col("failure"), F.lit("")) if "failure" in responses.columns else F.lit("")
+    offline = F.lit(not allow_live)
     status = (
-        F.when(F.col("from_cache"), "cache")
+        F.when(cached, "cache")
+        .when(offline, "blocked")
         .when(code.isNull(), "network_error")
         .when(code == "200", "ok")
         .when(code.isin("401", "403", "429"), "blocked")
@@ -87,10 +138,13 @@ def fetch_records(responses: DataFrame) -> DataFrame:
     )
     usable = status.isin("ok", "cache")
     return responses.select(
-        *[c for c in responses.columns if c not in ("status", "body", "from_cache")],
-        status.alias("status"), F.coalesce(code, F.lit("")).alias("http_status"),
+        *[c for c in responses.columns if c not in ("status", "body", "from_cache", "failure")],
+        status.alias("status"),
+        F.when(cached, F.coalesce(code, F.lit("cache"))).when(offline, "").otherwise(F.coalesce(code, F.lit(""))).alias("http_status"),
         F.when(usable, F.sha2(F.col("body").cast("binary"), 256)).otherwise("").alias("sha256"),
         F.when(usable, F.octet_length("body").cast("long")).otherwise(0).alias("bytes"),
+        F.when(usable, "").when(offline, OFFLINE).when(code.isNull(), failure)
+        .otherwise(F.concat(F.lit("HTTP "), code, F.lit(REFUSED))).alias("error"),
     )
 
 

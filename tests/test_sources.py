@@ -41,6 +41,38 @@ def test_manifest_and_coverage(spark, tmp_path):
     assert cover == {"record_count": 3, "years": "2021,2022", "terms": "fall,spring"}
 
 
+def test_files_of_any_size_are_hashed_in_pieces(spark, tmp_path):
+    (tmp_path / "a b.xml").write_bytes(b"<a/>" * 1000)
+    (tmp_path / "empty.xml").write_bytes(b"")
+    with open(tmp_path / "large.bin", "wb") as sparse:
+        sparse.truncate((2 << 30) + 5)  # beyond what a row can hold
+    got = {r["path"].rsplit("/", 1)[1]: (r["sha256"], r["bytes"]) for r in records(M.hashed_files(spark, str(tmp_path)))}
+    assert "empty.xml" not in got  # Spark's scans list no empty files
+    assert [got[n] for n in got if n.startswith("a")] == [(hashlib.sha256(b"<a/>" * 1000).hexdigest(), 4000)]
+    whole, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2 << 10):
+        whole.update(block)
+    whole.update(bytes(5))
+    assert got["large.bin"] == (whole.hexdigest(), (2 << 30) + 5)
+    one_byte = records(M.hashed_files(spark, str(tmp_path / "a b.xml"), piece=1))[0]
+    assert one_byte["sha256"] == hashlib.sha256(b"<a/>" * 1000).hexdigest()
+
+
+def test_fetch_errors_and_no_live_access(spark):
+    df = spark.createDataFrame(
+        [("a", 200, False, "x", None), ("b", 429, False, "", None), ("c", None, False, "", "timed out"), ("d", None, True, "y", None),
+         ("e", 500, None, "", None), ("f", None, None, None, None)],
+        "url string, status int, from_cache boolean, body string, failure string")
+    live = {r["url"]: (r["status"], r["http_status"], r["bytes"], r["error"]) for r in records(M.fetch_records(df))}
+    refused = "; WAF/rate-limit/block evidence preserved; no bypass attempted"
+    assert live == {
+        "a": ("ok", "200", 1, ""), "b": ("blocked", "429", 0, "HTTP 429" + refused), "c": ("network_error", "", 0, "timed out"),
+        "d": ("cache", "cache", 1, ""), "e": ("http_error", "500", 0, "HTTP 500" + refused), "f": ("network_error", "", 0, "")}
+    stored = {r["url"]: (r["status"], r["http_status"], r["error"]) for r in records(M.fetch_records(df, allow_live=False))}
+    assert stored.pop("d") == ("cache", "cache", "")
+    assert set(stored.values()) == {("blocked", "", M.OFFLINE)}
+
+
 def test_responses(spark):
     rows = [("a", 200, "", "text/xml", "<a/>", False), ("b", 202, "", "", "", False), ("c", 200, "challenge", "", "<a/>", False),
             ("d", 429, "", "", "", False), ("e", 200, "", "", "  <HTML>", False), ("f", 200, "", "", "<a><b></a>", True),
