@@ -12,13 +12,17 @@ partial sum with the residual bound; only what is left is multiplied out, in
 whole numbers.  Bounds get a slack for rounding, so nothing is lost.
 
 Queries go against the table in blocks: a block of queries meets a block of
-vectors only if the length bound of some query reaches its threshold.
+vectors only if the length bound of some query reaches its threshold.  Lengths
+fall into bands, a quarter of an octave wide, and a block of queries is joined
+on the bands it reaches; crowded bands are split by a salt that grows with the
+table, so blocks meet by equal keys and no list of bounds is gathered.
 
 Defined results: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows without an id; zero vectors do; shorter
 vectors count as padded with zeros; repeated rows count once and rows with the
 same id never answer each other; ties go to the smaller id; an empty table gives
-an empty result.
+an empty result.  Scores are exact up to 2^63; longer vectors (squared length
+beyond that) raise.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ VECTOR_BLOCK = 2048
 QUERY_BLOCK = 512
 HEAD = 16
 SLACK = 1e-6
+BANDS = 4  # for each doubling of the length
+CROWD = 256  # blocks of a band that share a join key
 
 
 def search(
@@ -52,10 +58,12 @@ def search(
     queries = sound.where("asks").select("id", "vector").distinct().join(index.select("vid", "vector"), "vector").select(
         F.col("id").alias("query_id"), F.col("vid").alias("qvid"))
     queries = materialize(queries, "mips-queries")
-    facts = index.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    facts = index.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims"), F.max("length").alias("longest")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims = facts["dims"]
+    if facts["longest"] ** 2 >= 2.0 ** 63:
+        raise ValueError(f"a vector of length {facts['longest']:.3g} after scaling: its products don't fit 64 bits")
 
     def gram(batches):
         total = np.zeros((dims, dims))
@@ -121,13 +129,20 @@ def search(
         size = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
         return np.where((limits > 0) & (size > 0), limits / np.where(size > 0, size, 1) * (1 - SLACK), 0.0)
 
-    asked = asked.mapInPandas(threshold, schema + ", limits binary, reach double")
-    known = blocks.agg(F.collect_list(F.struct(F.xxhash64("ids").alias("block"), "longest")).alias("known"))
-    # two numbers for each VECTOR_BLOCK vectors, in one row beside every query block
-    meets = asked.join(known, F.lit(True)).select(
-        "ids", "x", "limits", F.explode(F.filter("known", lambda b: b["longest"] >= F.col("reach"))).alias("to"))
-    meets = meets.select(F.col("to.block").alias("block"), F.col("ids").alias("qids"), F.col("x").alias("qx"), "limits")
-    pairs = meets.join(blocks.select(F.xxhash64("ids").alias("block"), "ids", "x"), "block")
+    asked = materialize(asked.mapInPandas(threshold, schema + ", limits binary, reach double"), "mips-reach")
+    band = lambda length: F.floor(F.lit(BANDS) * F.log2(F.col(length) + 1.0))
+    top = int(BANDS * np.log2(facts["longest"] + 1.0)) + 1
+    salts = -(-facts["n"] // (VECTOR_BLOCK * CROWD))
+    known = blocks.select(F.xxhash64("ids").alias("block"), "longest").select(
+        "block", "longest", band("longest").alias("band"), F.pmod("block", F.lit(salts)).alias("salt"))
+    reached = F.when(band("reach") <= top, F.sequence(band("reach"), F.lit(top).cast("long")))
+    wanted = asked.select(F.xxhash64("ids").alias("asker"), "reach", F.explode(reached).alias("band")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    # pairs of block numbers first, three numbers each; the blocks themselves follow by number
+    meets = wanted.join(known, ["band", "salt"]).where("longest >= reach").select("asker", "block")
+    pairs = meets.join(
+        asked.select(F.xxhash64("ids").alias("asker"), F.col("ids").alias("qids"), F.col("x").alias("qx"), "limits"), "asker"
+    ).join(blocks.select(F.xxhash64("ids").alias("block"), "ids", "x"), "block")
 
     def score(batches):
         for batch in batches:
@@ -149,11 +164,12 @@ def scored(qids, q, limits, ids, v, rotation, k) -> pd.DataFrame:
     bound = rq[:, :head] @ rv[:, :head].T + np.outer(tail_q, tail_v)
     slack = SLACK * np.outer(np.linalg.norm(rq, axis=1), np.linalg.norm(rv, axis=1)) + SLACK
     near = bound + slack >= limits[:, None]
+    least = limits - 1e-9 * np.abs(limits)  # limits are doubles: beyond 2^53 they may lie a little above the whole number
     out_q, out_v, out_s = [], [], []
     for i in np.flatnonzero(near.any(axis=1)):
         at = np.flatnonzero(near[i])
         exact = v[at] @ q[i]
-        at, exact = at[exact >= limits[i]], exact[exact >= limits[i]]
+        at, exact = at[exact >= least[i]], exact[exact >= least[i]]
         best = np.lexsort((ids[at], -exact))[: k + 1]
         out_q.append(np.full(len(best), qids[i]))
         out_v.append(ids[at[best]])

@@ -150,6 +150,26 @@ def test_exact_top_products(spark):
     assert mips.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_exact_top_products_over_many_blocks_and_lengths(spark, monkeypatch):
+    """Blocks of four, lengths over forty octaves, crowded bands cut by salts: nothing is lost, shorter vectors count as padded."""
+    monkeypatch.setattr(mips, "VECTOR_BLOCK", 4)
+    monkeypatch.setattr(mips, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(mips, "CROWD", 2)
+    draw = np.random.default_rng(5)
+    rows = [(i, (draw.normal(size=6) * (2.0 ** (i % 40 - 20) if i % 2 else 1.0)).tolist()[: 6 - i % 2], 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")  # a column named as an output
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in mips.search(df, F.col("vec_id") % 50 == 0).collect())
+    whole = {i: [int(np.floor(256 * x)) for x in v] + [0] * (6 - len(v)) for i, v, _ in rows}
+    expected = []
+    for q in range(0, 400, 50):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == expected
+    long = spark.createDataFrame([(0, [1e12]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        mips.search(long, F.col("vec_id") % 50 == 0)
+
+
 def test_forest_search(spark):
     rows, df = vectors(spark)
     got = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(df, F.col("vec_id") % 20 == 0, leaves=8).collect())
