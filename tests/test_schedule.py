@@ -210,6 +210,13 @@ def test_conflicts_match_brute_force(spark, sizes):
     assert got == want and len(want) > 300
 
 
+def test_conflict_join_broadcasts_no_slots(spark):
+    _, _, s, m = random_timetable(spark)
+    plan = C.conflict_edges(s, m)._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [line for line in plan if "Join" in line and "late_block" in line.split("], [")[0]]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_quality_rows_and_gate(spark, parsed):
     _, tables = parsed
     gaps = {r["section_id"]: r["missing"] for r in records(S.missing_fields(tables["sections"], tables["meetings"]))}
