@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from helpers import grade_frame, records
 from termgrid.functions import text as txt
 from termgrid.operators import eventlog, explore
+from termgrid.sources.scratch import spread
 from termgrid.sources import manifest as M, tables as T
 
 
@@ -155,3 +156,12 @@ def test_titles(spark):
     got = df.select(txt.title_norm(F.col("t")).alias("n"), txt.is_special_topic(F.col("t")).alias("s")).collect()
     assert [r["n"] for r in got][:3] == ["intro to c", "élan_2 ärger", ""]
     assert [r["s"] for r in got] == [False, False, False, True, True, True, False]
+
+
+def test_partitions_follow_the_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(0, 1000, 1, 1)
+    assert spread(few).rdd.getNumPartitions() == cores
+    many = spread(few, 20)
+    assert many.rdd.getNumPartitions() == 50 and many.count() == 1000
+    assert spread(few, 10_000).rdd.getNumPartitions() == cores and spread(many, 100).rdd.getNumPartitions() == 50
