@@ -5,9 +5,12 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,9 @@ PROFILE_COLUMNS = (
 
 MAX_ITERATIONS = 300
 FITS_AT_ONCE = 4
+TOLERANCE = 1e-4  # a centre that moves less has arrived
+EQUAL_COSTS = 1e-9  # costs of fits that differ by less, relatively, are equal
+POINTS_AT_ONCE = 4096
 
 
 @dataclass
@@ -55,7 +61,8 @@ def course_profiles(
     """Cluster courses; skipped with a reason when the data cannot carry it.
 
     For every K the cheapest of ``restarts`` seeded fits counts; K with the best
-    silhouette (squared Euclidean) wins, the smaller K on ties.
+    silhouette (squared Euclidean) wins, the smaller K on ties.  The fits of all K
+    start apart and are then improved together (``improved_together``).
     """
     means = materialize(profile_means(rows), "profile_means")
     columns = [c for c in PROFILE_COLUMNS if c in means.columns]
@@ -76,39 +83,133 @@ def course_profiles(
     try:
         distinct = points.select(*z).distinct().limit(upper + 1).count()
         evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-        best = None
-        for k in range(2, upper + 1):
-            if distinct <= k:
-                continue
-            def fit(attempt: int, k: int = k):
-                return KMeans(k=k, maxIter=MAX_ITERATIONS, seed=seed + attempt, predictionCol="cluster").fit(points)
+        sizes = [k for k in range(2, upper + 1) if distinct > k]
+
+        def start(k: int, attempt: int):
+            return KMeans(k=k, maxIter=0, seed=seed + attempt, predictionCol="cluster").fit(points)
 
-            with ThreadPoolExecutor(FITS_AT_ONCE) as pool:  # small jobs over the same persisted points
-                fits = list(pool.map(fit, range(restarts)))
-            model = min(fits, key=lambda fit: fit.summary.trainingCost)
-            if model.summary.k < 2 or sum(size > 0 for size in model.summary.clusterSizes) < 2:
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:  # small jobs over the same persisted points
+            starts = list(pool.map(lambda pair: start(*pair), [(k, attempt) for k in sizes for attempt in range(restarts)]))
+        fits = improved_together(points, [np.array(model.clusterCenters()) for model in starts])
+        best = None
+        for i, k in enumerate(sizes):
+            of_k = fits[i * restarts:(i + 1) * restarts]
+            least = min(fit.cost for fit in of_k)
+            # sums of the same fit differ in their last digits: the first restart among equals counts
+            fit = next(fit for fit in of_k if fit.cost <= least * (1 + EQUAL_COSTS))
+            labelled = with_cluster(points, fit.centers)
+            if len(fit.centers) < 2 or labelled.select("cluster").distinct().limit(2).count() < 2:
                 continue
-            score = evaluator.evaluate(model.transform(points))
+            score = evaluator.evaluate(labelled)
             if best is None or score > best[0]:
-                best = (score, k, model)
+                best = (score, k, fit.centers)
     finally:
         points.unpersist()
     if best is None:
         return Profiles(None, "skipped", "silhouette_unavailable")
-    score, k, model = best
+    score, k, found = best
     if score < min_silhouette:
         return Profiles(None, "skipped", "silhouette_below_quality_floor", k, score)
-    labelled = model.transform(points).select(*COURSE_KEY, F.col("cluster").cast("long").alias("cluster"))
+    labelled = with_cluster(points, found).select(*COURSE_KEY, F.col("cluster").cast("long").alias("cluster"))
     sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     out = labelled.join(sizes, "cluster").select(
         *COURSE_KEY, "cluster", "cluster_size", F.lit(float(score)).alias("silhouette"), F.lit("ok").alias("status")
     )
     centers = [
         {"cluster": i, **{r["feature"]: round(float(v) * (r["std"] or 1.0) + r["mean"], 10) for r, v in zip(parameters, center)}}
-        for i, center in enumerate(model.clusterCenters())
+        for i, center in enumerate(found)
     ]
     return Profiles(out, "ok", "", k, float(score), centers)
 
 
+@dataclass
+class Fit:
+    centers: np.ndarray
+    cost: float = 0.0
+
+
+def _moved(points: DataFrame, centers: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, np.ndarray, float]]:
+    """Per (fit, cluster): how many points are nearest to the centre, their sum and their squared distances.
+
+    One pass over the points for all fits; a task hands on a row per fit and cluster.
+    """
+    # centres of one number in fits of one size stand side by side: they are compared with a point at once
+    sizes = sorted({len(c) for c in centers})
+    order = [(i, j) for k in sizes for j in range(k) for i, c in enumerate(centers) if len(c) == k]
+    widths = {k: sum(len(c) == k for c in centers) for k in sizes}
+    stacked = np.array([centers[i][j] for i, j in order])
+    norms = (stacked * stacked).sum(1)
+    schema = "fit int, cluster int, n long, sums array<double>, cost double"
+
+    def run(batches):
+        counts, sums, costs = np.zeros(len(order), "int64"), np.zeros_like(stacked), np.zeros(len(order))
+        for batch in batches:
+            values = batch.column("point").flatten().to_numpy(zero_copy_only=False).reshape(-1, stacked.shape[1])
+            for first in range(0, len(values), POINTS_AT_ONCE):
+                x = values[first:first + POINTS_AT_ONCE]
+                square = (x * x).sum(1)[:, None]
+                far = norms - 2 * (x @ stacked.T)
+                chosen = np.zeros(far.shape)
+                at = 0
+                for k in sizes:
+                    width = widths[k]
+                    blocks = [slice(at + j * width, at + (j + 1) * width) for j in range(k)]
+                    least, nearest = far[:, blocks[0]].copy(), np.zeros((len(x), width), "int32")
+                    for j in range(1, k):
+                        nearest[far[:, blocks[j]] < least] = j
+                        np.minimum(least, far[:, blocks[j]], out=least)
+                    least = np.maximum(least + square, 0)
+                    for j in range(k):
+                        chosen[:, blocks[j]] = nearest == j
+                        costs[blocks[j]] += (chosen[:, blocks[j]] * least).sum(0)
+                    at += k * width
+                counts += chosen.sum(0).astype("int64")
+                sums += chosen.T @ x
+        yield pa.RecordBatch.from_arrays([
+            pa.array([i for i, _ in order], pa.int32()), pa.array([j for _, j in order], pa.int32()), pa.array(counts),
+            pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(costs)], ["fit", "cluster", "n", "sums", "cost"])
+
+    parts = points.select(vector_to_array("features").alias("point")).mapInArrow(run, schema)
+    totals = parts.groupBy("fit", "cluster").agg(
+        F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(stacked.shape[1])]).alias("sums"), F.sum("cost").alias("cost"))
+    return {(r["fit"], r["cluster"]): (r["n"], np.array(r["sums"]), r["cost"]) for r in totals.collect()}
+
+
+def improved_together(points: DataFrame, starts: list[np.ndarray], most: int = MAX_ITERATIONS, tolerance: float = TOLERANCE) -> list[Fit]:
+    """Lloyd's steps of all fits at once, each until none of its centres moves by more than the tolerance.
+
+    Every step is one pass over the points, whatever the number of fits, and a fit
+    that has ended takes no further part.  A centre without points stays.
+    """
+    fits = [Fit(centers.copy()) for centers in starts]
+    going = list(range(len(fits)))
+    for _ in range(most):
+        if not going:
+            break
+        found = _moved(points, [fits[i].centers for i in going])
+        still = []
+        for place, i in enumerate(going):
+            old, new = fits[i].centers, fits[i].centers.copy()
+            for cluster in range(len(old)):
+                n, total, _ = found[place, cluster]
+                if n:
+                    new[cluster] = total / n
+            fits[i] = Fit(new, sum(found[place, cluster][2] for cluster in range(len(old))))
+            if (((new - old) ** 2).sum(1) > tolerance * tolerance).any():
+                still.append(i)
+        going = still
+    return fits
+
+
+def with_cluster(points: DataFrame, centers: np.ndarray) -> DataFrame:
+    """Number of the nearest centre as ``cluster``, the first among equals."""
+    point = vector_to_array("features")
+    apart = F.array(*[
+        F.struct(F.aggregate(F.zip_with(F.col("_point"), F.array(*[F.lit(float(v)) for v in center]), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                             lambda total, v: total + v).alias("d"), F.lit(i).alias("cluster"))
+        for i, center in enumerate(centers)])
+    return points.withColumn("_point", point).withColumn("cluster", F.array_min(apart)["cluster"]).drop("_point")
+
+
 def cluster_sizes(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("cluster").agg(F.count(F.lit(1)).alias("course_count"))

@@ -1,4 +1,7 @@
+import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from helpers import metrics_frame, records
@@ -71,3 +74,23 @@ def test_profiles_and_skip_reasons(spark):
     assert found.status == "ok" and 2 <= found.best_k <= 5
     assert found.rows.count() == 20
     assert sum(r["course_count"] for r in records(P.cluster_sizes(found.rows))) == 20
+
+
+def test_fits_improved_together_are_those_of_spark(spark):
+    rows = spark.range(0, 600, 1, 3).selectExpr("cast(id % 3 as double) * 2 + rand(1) as a", "rand(2) + cast(id % 2 as double) * 3 as b")
+    points = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).persist()
+    start = lambda k, **limit: KMeans(k=k, seed=k, **limit).fit(points)
+    steps = []
+    moved = P._moved
+    P._moved = lambda points, centers: steps.append(len(centers)) or moved(points, centers)
+    try:
+        fits = P.improved_together(points, [np.array(start(k, maxIter=0).clusterCenters()) for k in (2, 4)])
+    finally:
+        P._moved = moved
+    assert steps[0] == 2 and steps == sorted(steps, reverse=True)
+    for k, fit in zip((2, 4), fits):
+        whole = start(k, maxIter=300)
+        assert np.allclose(fit.centers, whole.clusterCenters()) and fit.cost == pytest.approx(whole.summary.trainingCost)
+        sizes = {r["cluster"]: r["count"] for r in records(P.with_cluster(points, fit.centers).groupBy("cluster").count())}
+        assert sizes == dict(enumerate(whole.summary.clusterSizes))
+    points.unpersist()
