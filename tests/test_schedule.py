@@ -250,6 +250,12 @@ def test_clock_forms(spark):
     assert [r[0] for r in odd.collect()] == [None, 570, None]
 
 
+@pytest.mark.parametrize("parse, once", [(txt.clock_time, 1), (txt.iso_date, 1), (txt.weekday_list, 3)])
+def test_texts_in_arrays_are_stripped_once(spark, parse, once):
+    rows = spark.createDataFrame([([" 1:05 pm ", None, "TTh", "1/2/2023"],)], "texts array<string>").select(F.transform("texts", parse).alias("t"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace(") == once
+
+
 def test_missing_fields_in_order(spark):
     s = spark.createDataFrame([("x", "t", "CS", "1", "9", "", "1", "2023-01-01", None, None, None)],
                               "section_id string, term string, subject string, number string, crn string, section_number string, "
