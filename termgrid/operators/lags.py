@@ -36,35 +36,40 @@ def with_lags(metrics: DataFrame, years: TrajectorySpec | None = None, mode_from
     work = work.withColumn(
         "term_match_mode", F.when(one_term, F.lit("same_term")).otherwise(F.lit("any_term"))
     )
-    columns = {}
+    columns, earlier = {}, {}
+    work = work.withColumn("_points", F.col("grade_point_mean") * F.col("grade_total"))
     for lag in years.lags:
         then = course.orderBy("year").rangeBetween(-lag, -lag)
 
+        def over(name: str, value):
+            """A window value under a name: the expressions below name it several times, but it is worked out once."""
+            earlier[f"_lag{lag}_{name}"] = value.over(then)
+            return F.col(f"_lag{lag}_{name}")
+
         def same(field: str):
             """The field of the earlier row in this row's own term."""
             out = None
-            for term in years.terms:
-                value = F.max(F.when(F.col("term") == term, F.col(field))).over(then)
+            for i, term in enumerate(years.terms):
+                value = over(f"term{i}_{field}", F.max(F.when(F.col("term") == term, F.col(field))))
                 out = F.when(F.col("term") == term, value) if out is None else out.when(F.col("term") == term, value)
             return out
 
-        def total(value):
+        def total(field: str):
             """Sum over the earlier year; 0 if it has rows but no values, null if it has none."""
-            rows = F.count(F.lit(1)).over(then)
-            return F.when(rows > 0, F.coalesce(F.sum(value).over(then), F.lit(0.0)))
+            rows = over("rows", F.count(F.lit(1)))
+            return F.when(rows > 0, F.coalesce(over(f"sum_{field}", F.sum(field)), F.lit(0.0)))
 
-        points = F.col("grade_point_mean") * F.col("grade_total")
         whole_year = {
-            "w_flag": F.max("w_flag").over(then),
-            "w_mark_share": ratio(total(F.col("w")), total(F.col("demand_proxy"))),
-            "demand_proxy": total(F.col("demand_proxy")),
-            "students": total(F.col("students")),
-            "grade_point_mean": ratio(total(points), total(F.col("grade_total"))),
+            "w_flag": over("max_w_flag", F.max("w_flag")),
+            "w_mark_share": ratio(total("w"), total("demand_proxy")),
+            "demand_proxy": total("demand_proxy"),
+            "students": total("students"),
+            "grade_point_mean": ratio(total("_points"), total("grade_total")),
         }
         any_term = F.col("term_match_mode") == "any_term"
         for field in LAG_FIELDS:
             columns[f"lag{lag}_{field}"] = F.when(any_term, whole_year[field]).otherwise(same(field))
-    work = work.withColumns(columns)
+    work = work.withColumns(earlier).withColumns(columns).drop("_points", *earlier)
     flags = [F.col(f"lag{lag}_w_flag").isNotNull().cast("long") for lag in years.lags]
     seen = flags[0]
     for one in flags[1:]:

@@ -172,3 +172,18 @@ def test_entries_of_a_very_long_list(spark):
     assert sorted((r["k"] or "", r["ordinal"], r["e"]) for r in found.where("k is null or k = 'b'").collect()) == [("", 0, "z"), ("b", 0, "x"), ("b", 1, "y")]
     texts = entries.entry_texts(found, ["k"], "e")
     assert texts.where("k = 'a'").count() == 1000 and texts.where("k = 'b'").first()["text"] == "x | y"
+
+
+def plan_of(spark, df):
+    """The optimised plan with all its fields."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_lag_windows_are_worked_out_once(spark):
+    """Per lag: a count, five sums, a flag and five fields per term; two more tell the terms of a course."""
+    _, metrics = panel(spark, six_year_rows())
+    assert plan_of(spark, L.with_lags(metrics)).count("windowspecdefinition(") == 3 * (1 + 5 + 1 + 2 * 5) + 2
