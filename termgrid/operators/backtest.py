@@ -137,6 +137,7 @@ def forest(trees: int, max_depth: int = MAX_DEPTH, seed: int = RANDOM_STATE) ->
     return RandomForestClassifier(
         labelCol="label", weightCol="weight", numTrees=trees, maxDepth=max_depth,
         minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
+        cacheNodeIds=True,  # a level starts at each row's node; without it every row walks every tree from its root again
     )
 
 

@@ -187,3 +187,14 @@ def test_lag_windows_are_worked_out_once(spark):
     """Per lag: a count, five sums, a flag and five fields per term; two more tell the terms of a course."""
     _, metrics = panel(spark, six_year_rows())
     assert plan_of(spark, L.with_lags(metrics)).count("windowspecdefinition(") == 3 * (1 + 5 + 1 + 2 * 5) + 2
+
+
+def test_forest_keeps_the_node_of_a_row(spark):
+    """Rows start a level at their node; the trees are those of rows that walk from the root."""
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense([float(i % 7), float(i % 5), float(i * i % 11)]), float(i * i % 11 > i % 7), 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, ["features", "label", "weight"]).repartition(3).persist()
+    maker = B.forest(7, 5)
+    assert maker.getCacheNodeIds()
+    assert maker.fit(df).toDebugString.split("\n", 1)[1] == maker.setCacheNodeIds(False).fit(df).toDebugString.split("\n", 1)[1]
