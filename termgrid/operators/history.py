@@ -40,16 +40,22 @@ def with_history(df: DataFrame) -> DataFrame:
 
     One shuffle on the course key serves every window.  Each year's mean is put
     on one row of that year, so a range frame that ends at year - 1 averages
-    years, not rows, and nothing has to be joined back.
+    years, not rows, and nothing has to be joined back.  The windows of a year
+    share one order, so that they are one operator, and a term counts on its
+    first row of the year.
     """
-    by_year = Window.partitionBy(*COURSE_KEY, "year")
-    first_in_year = F.row_number().over(by_year.orderBy("term")) == 1
+    in_year = Window.partitionBy(*COURSE_KEY, "year").orderBy("term")
+    whole_year = in_year.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     earlier = Window.partitionBy(*COURSE_KEY).orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
-    terms = F.size(F.collect_set("term").over(by_year))
     work = df.repartition(*[F.col(c) for c in COURSE_KEY])
-    annual = {f"_year_{c}": F.when(first_in_year, F.avg(c).over(by_year)) for c in HISTORY_MEANS.values()}
-    annual["_year_terms"] = F.when(first_in_year, terms)
-    work = work.withColumns(annual)
+    work = work.withColumns({
+        "_place": F.row_number().over(in_year), "_before": F.lag("term").over(in_year),
+        **{f"_mean_{c}": F.avg(c).over(whole_year) for c in HISTORY_MEANS.values()},
+    })
+    new_term = F.col("term").isNotNull() & ~F.col("term").eqNullSafe(F.col("_before"))
+    annual = {f"_year_{c}": F.when(F.col("_place") == 1, F.col(f"_mean_{c}")) for c in HISTORY_MEANS.values()}
+    annual["_year_terms"] = new_term.cast("int")
+    work = work.select(*df.columns, *[column.alias(name) for name, column in annual.items()])
     history = {name: F.avg(f"_year_{c}").over(earlier) for name, c in HISTORY_MEANS.items()}
     history["historical_term_count"] = F.sum("_year_terms").over(earlier).cast("double")
     return work.withColumns(history).drop(*annual)

@@ -94,3 +94,15 @@ def test_fits_improved_together_are_those_of_spark(spark):
         sizes = {r["cluster"]: r["count"] for r in records(P.with_cluster(points, fit.centers).groupBy("cluster").count())}
         assert sizes == dict(enumerate(whole.summary.clusterSizes))
     points.unpersist()
+
+
+def test_history_windows_of_a_year_are_one_operator(spark):
+    """One window over a year, one over the earlier years; repeated and null terms count as a set of terms does."""
+    df = metrics_frame(spark, [
+        {"year": 2021, "term": "fall"}, {"year": 2021, "term": "spring"}, {"year": 2021, "term": "spring"},
+        {"year": 2022, "term": None}, {"year": 2023},
+    ])
+    history = H.with_history(D.with_demand(with_derived_shares(df)))
+    assert history._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+    counts = {r["year"]: r["historical_term_count"] for r in records(history)}
+    assert counts == {2021: None, 2022: 2.0, 2023: 2.0}
