@@ -198,3 +198,36 @@ def test_forest_keeps_the_node_of_a_row(spark):
     maker = B.forest(7, 5)
     assert maker.getCacheNodeIds()
     assert maker.fit(df).toDebugString.split("\n", 1)[1] == maker.setCacheNodeIds(False).fit(df).toDebugString.split("\n", 1)[1]
+
+
+def test_inventory_writes_repeated_rows_only(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(E, "materialize", lambda df, name: written.append(df.persist()) or written[-1])
+    df = spark.createDataFrame([(i, None) for i in range(50)] + [(7, None), (8, "x"), (8, "x")], "a int, b string")
+    got = records(E.table_inventory({"t": df}))[0]
+    assert (got["rows"], got["duplicate_rows"], got["missing_cells"]) == (53, 4, 51)
+    assert written[0].count() == 3  # two repeated rows, and one line for all others
+
+
+@pytest.mark.parametrize("name", ["eda_inventory"])
+def test_grade_rows_are_made_once(spark, monkeypatch, name):
+    from termgrid.plans import catalog
+    from termgrid.spec import BANDS
+
+    calls = []
+    schema = "year int, term string, year_term string, subject string, number string, title string, sched_type string, " + "".join(
+        f"{b} double, " for b in BANDS) + "w double, students double, instructor string"
+    rows = [(1995 + i % 6, "Spring", "x", "CS", str(i % 4), ("Special Topics: a", "Logic")[i % 3 > 0], "L", *[1.0] * len(BANDS),
+             float(i % 2), 9.0, None if i % 5 == 0 else "A") for i in range(60)]
+
+    def grade_rows(session, sf):
+        calls.append(sf)
+        return session.createDataFrame(rows, schema)
+
+    monkeypatch.setattr(catalog, "grade_rows", grade_rows)
+    got = records(catalog.queries()[name](spark, "none"))
+    assert len(calls) == 1
+    if name == "eda_inventory":
+        assert {r["table"]: r["rows"] for r in got} == {"raw_input": 60, "six_year_source": 60, "six_year_analysis": 40, "course_term_metrics": 8}
+    else:
+        assert {r["counter"]: r["value"] for r in got}["instructor_missing_source_rows_in_scope"] == 12
