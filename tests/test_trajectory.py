@@ -209,7 +209,7 @@ def test_inventory_writes_repeated_rows_only(spark, monkeypatch):
     assert written[0].count() == 3  # two repeated rows, and one line for all others
 
 
-@pytest.mark.parametrize("name", ["eda_inventory"])
+@pytest.mark.parametrize("name", ["eda_inventory", "audit_counts"])
 def test_grade_rows_are_made_once(spark, monkeypatch, name):
     from termgrid.plans import catalog
     from termgrid.spec import BANDS
