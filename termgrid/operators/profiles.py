@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -27,10 +25,11 @@ PROFILE_COLUMNS = (
 )
 
 MAX_ITERATIONS = 300
-FITS_AT_ONCE = 4
+START_STEPS = 2  # rounds in which a start gathers candidates
+START_ITERATIONS = 30  # on the few candidates of a start
 TOLERANCE = 1e-4  # a centre that moves less has arrived
 EQUAL_COSTS = 1e-9  # costs of fits that differ by less, relatively, are equal
-POINTS_AT_ONCE = 4096
+POINTS_AT_ONCE = 1024
 
 
 @dataclass
@@ -62,7 +61,7 @@ def course_profiles(
 
     For every K the cheapest of ``restarts`` seeded fits counts; K with the best
     silhouette (squared Euclidean) wins, the smaller K on ties.  The fits of all K
-    start apart and are then improved together (``improved_together``).
+    are started and improved together (``started_together``, ``improved_together``).
     """
     means = materialize(profile_means(rows), "profile_means")
     columns = [c for c in PROFILE_COLUMNS if c in means.columns]
@@ -80,17 +79,14 @@ def course_profiles(
     z = [f"z_{c}" for c in used]
     points = VectorAssembler(inputCols=z, outputCol="features").transform(scaled(means, parameters))
     points = points.select(*COURSE_KEY, *z, "features").persist()
+    kept = None
     try:
         distinct = points.select(*z).distinct().limit(upper + 1).count()
         evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
         sizes = [k for k in range(2, upper + 1) if distinct > k]
-
-        def start(k: int, attempt: int):
-            return KMeans(k=k, maxIter=0, seed=seed + attempt, predictionCol="cluster").fit(points)
-
-        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:  # small jobs over the same persisted points
-            starts = list(pool.map(lambda pair: start(*pair), [(k, attempt) for k in sizes for attempt in range(restarts)]))
-        fits = improved_together(points, [np.array(model.clusterCenters()) for model in starts])
+        kept = packed(points, COURSE_KEY).persist()
+        starts = started_together(kept, [k for k in sizes for _ in range(restarts)], seed)
+        fits = improved_together(kept, starts)
         best = None
         for i, k in enumerate(sizes):
             of_k = fits[i * restarts:(i + 1) * restarts]
@@ -105,6 +101,8 @@ def course_profiles(
                 best = (score, k, fit.centers)
     finally:
         points.unpersist()
+        if kept is not None:
+            kept.unpersist()
     if best is None:
         return Profiles(None, "skipped", "silhouette_unavailable")
     score, k, found = best
@@ -128,8 +126,158 @@ class Fit:
     cost: float = 0.0
 
 
-def _moved(points: DataFrame, centers: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, np.ndarray, float]]:
-    """Per (fit, cluster): how many points are nearest to the centre, their sum and their squared distances.
+def packed(points: DataFrame, keys=()) -> DataFrame:
+    """Points by the thousand: their values one after the other as ``values``, and a hash of each one's key as ``hashes``.
+
+    Every pass over the points reads these few rows instead of a row per point.
+    """
+    schema = "width int, values binary, hashes binary"
+    point = vector_to_array("features")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("point")
+            values = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False), "float64").reshape(len(column), -1)
+            hashes = np.ascontiguousarray(batch.column("hash").to_numpy(zero_copy_only=False), "int64")
+            for first in range(0, len(values), POINTS_AT_ONCE):
+                part = slice(first, first + POINTS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([values.shape[1]], pa.int32()), pa.array([values[part].tobytes()], pa.binary()),
+                    pa.array([hashes[part].tobytes()], pa.binary())], ["width", "values", "hashes"])
+
+    return points.select(point.alias("point"), F.xxhash64(*keys, *([] if keys else [point])).alias("hash")).mapInArrow(run, schema)
+
+
+def _unpacked(batches):
+    """(values, hashes) of every row of ``packed``."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield np.frombuffer(row["values"]).reshape(-1, row["width"]), np.frombuffer(row["hashes"], "uint64")
+
+
+def _by_chance(hashes: np.ndarray, *draw: int) -> np.ndarray:
+    """Numbers from 0 to 1 that follow from a point's hash and the number of the draw alone, however the points lie."""
+    def mixed(v):
+        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return v ^ (v >> np.uint64(31))
+
+    salt = np.zeros(1, "uint64")
+    for number in draw:
+        salt = mixed(salt + np.uint64(0x9E3779B97F4A7C15) + np.uint64(number))
+    return (mixed(hashes + salt) >> np.uint64(11)) * 2.0**-53
+
+
+def _square_distances(x: np.ndarray, centers: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """A row per centre, a column per point; never below 0."""
+    return np.maximum(norms[:, None] - 2 * (centers @ x.T) + (x * x).sum(1), 0)
+
+
+def started_together(kept: DataFrame, sizes: list[int], seed: int) -> list[np.ndarray]:
+    """Starting centres of one fit per entry of ``sizes``, by k-means|| for all fits at once.
+
+    As in Spark's own start a fit takes a point by chance, gathers some 2 k further
+    candidates in each of two rounds, the likelier the farther from those it has, and
+    draws its k centres from the candidates by k-means++, weighted by the points nearest
+    to them.  A round is two passes over the points, whatever the number of fits.
+    """
+    if not sizes:
+        return []
+    drawn = "fit int, chance double, point array<double>"
+
+    def first(batches):
+        least: dict[int, tuple[float, list[float]]] = {}
+        for x, hashes in _unpacked(batches):
+            for i in range(len(sizes)):
+                chance = _by_chance(hashes, seed, i, 0)
+                at = int(chance.argmin())
+                if i not in least or chance[at] < least[i][0]:
+                    least[i] = float(chance[at]), x[at].tolist()
+        if least:
+            yield pa.RecordBatch.from_pylist([{"fit": i, "chance": c, "point": p} for i, (c, p) in least.items()], _DRAWN)
+
+    found = kept.mapInArrow(first, drawn).groupBy("fit").agg(F.min_by("point", "chance").alias("point"))
+    candidates = [np.array([r["point"]]) for r in sorted(found.collect(), key=lambda r: r["fit"])]
+
+    def stacked():
+        centers = np.concatenate(candidates)
+        return centers, (centers * centers).sum(1), np.cumsum([0] + [len(c) for c in candidates])
+
+    for step in range(1, START_STEPS + 1):
+        centers, norms, places = stacked()
+
+        def costs(batches):
+            total = np.zeros(len(sizes))
+            for x, _ in _unpacked(batches):
+                total += np.minimum.reduceat(_square_distances(x, centers, norms), places[:-1], axis=0).sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int32()), pa.array(total)], ["fit", "cost"])
+
+        summed = kept.mapInArrow(costs, "fit int, cost double").groupBy("fit").agg(F.sum("cost").alias("cost"))
+        cost = {r["fit"]: r["cost"] for r in summed.collect()}
+        share = [2.0 * k / cost[i] if cost[i] else 0.0 for i, k in enumerate(sizes)]
+
+        def farther(batches):
+            for x, hashes in _unpacked(batches):
+                least = np.minimum.reduceat(_square_distances(x, centers, norms), places[:-1], axis=0)
+                taken = [(i, at) for i in range(len(sizes))
+                         for at in np.flatnonzero(_by_chance(hashes, seed, i, step) < least[i] * share[i]).tolist()]
+                if taken:
+                    yield pa.RecordBatch.from_pylist([{"fit": i, "chance": 0.0, "point": x[at].tolist()} for i, at in taken], _DRAWN)
+
+        more: dict[int, list] = {}
+        for r in kept.mapInArrow(farther, drawn).collect():  # some 2 k a fit
+            more.setdefault(r["fit"], []).append(r["point"])
+        candidates = [np.concatenate([c, sorted(more[i])]) if i in more else c for i, c in enumerate(candidates)]
+
+    candidates = [np.unique(c, axis=0) for c in candidates]
+    centers, norms, places = stacked()
+
+    def nearest(batches):
+        weights = np.zeros(len(centers), "int64")
+        for x, _ in _unpacked(batches):
+            far = _square_distances(x, centers, norms)
+            for low, high in zip(places, places[1:]):
+                weights[low:high] += np.bincount(far[low:high].argmin(0), minlength=high - low)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(centers)), pa.int32()), pa.array(weights)], ["candidate", "n"])
+
+    counted = kept.mapInArrow(nearest, "candidate int, n long").groupBy("candidate").agg(F.sum("n").alias("n"))
+    weights = np.zeros(len(centers))
+    for r in counted.collect():
+        weights[r["candidate"]] = r["n"]
+    return [_drawn_centers(c, weights[low:high], sizes[i], np.random.default_rng([seed, i]))
+            for i, (c, low, high) in enumerate(zip(candidates, places, places[1:]))]
+
+
+_DRAWN = pa.schema([("fit", pa.int32()), ("chance", pa.float64()), ("point", pa.list_(pa.float64()))])
+
+
+def _drawn_centers(points: np.ndarray, weights: np.ndarray, k: int, rng) -> np.ndarray:
+    """k-means++ and a few steps of Lloyd's on the weighted candidates of one start."""
+    if len(points) <= k:
+        return points
+    chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+    apart = lambda centers: ((points[:, None, :] - centers[None]) ** 2).sum(2)
+    for _ in range(1, k):
+        pull = weights * apart(points[chosen]).min(1)
+        chosen.append(int(rng.choice(len(points), p=pull / pull.sum())) if pull.sum() else chosen[0])
+    centers = points[chosen].copy()
+    before = None
+    for _ in range(START_ITERATIONS):
+        nearest = apart(centers).argmin(1)
+        if before is not None and (nearest == before).all():
+            break
+        for j in range(k):
+            own = nearest == j
+            if weights[own].sum():
+                centers[j] = (points[own] * weights[own, None]).sum(0) / weights[own].sum()
+            else:
+                centers[j] = points[int(rng.integers(len(points)))]
+        before = nearest
+    return centers
+
+
+def _moved(kept: DataFrame, centers: list[np.ndarray]) -> dict[tuple[int, int], tuple[int, np.ndarray, float]]:
+    """Per (fit, cluster): how many points are nearest to the centre and their sum; with cluster 0 the fit's squared distances.
 
     One pass over the points for all fits; a task hands on a row per fit and cluster.
     """
@@ -143,34 +291,29 @@ def _moved(points: DataFrame, centers: list[np.ndarray]) -> dict[tuple[int, int]
 
     def run(batches):
         counts, sums, costs = np.zeros(len(order), "int64"), np.zeros_like(stacked), np.zeros(len(order))
-        for batch in batches:
-            values = batch.column("point").flatten().to_numpy(zero_copy_only=False).reshape(-1, stacked.shape[1])
-            for first in range(0, len(values), POINTS_AT_ONCE):
-                x = values[first:first + POINTS_AT_ONCE]
-                square = (x * x).sum(1)[:, None]
-                far = norms - 2 * (x @ stacked.T)
-                chosen = np.zeros(far.shape)
-                at = 0
-                for k in sizes:
-                    width = widths[k]
-                    blocks = [slice(at + j * width, at + (j + 1) * width) for j in range(k)]
-                    least, nearest = far[:, blocks[0]].copy(), np.zeros((len(x), width), "int32")
-                    for j in range(1, k):
-                        nearest[far[:, blocks[j]] < least] = j
-                        np.minimum(least, far[:, blocks[j]], out=least)
-                    least = np.maximum(least + square, 0)
-                    for j in range(k):
-                        chosen[:, blocks[j]] = nearest == j
-                        costs[blocks[j]] += (chosen[:, blocks[j]] * least).sum(0)
-                    at += k * width
-                counts += chosen.sum(0).astype("int64")
-                sums += chosen.T @ x
+        for x, _ in _unpacked(batches):
+            far = _square_distances(x, stacked, norms)
+            chosen = np.zeros(far.shape, bool)
+            at = 0
+            for k in sizes:
+                width = widths[k]
+                of_k = far[at:at + k * width].reshape(k, width, len(x))
+                least = of_k.min(0)
+                first = chosen[at:at + k * width].reshape(k, width, len(x))
+                np.equal(of_k, least, out=first)
+                taken = first[0].copy()
+                for j in range(1, k):  # the first among equals
+                    first[j] &= ~taken
+                    taken |= first[j]
+                costs[at:at + width] += least.sum(1)
+                at += k * width
+            counts += chosen.sum(1)
+            sums += chosen.astype("float64") @ x
         yield pa.RecordBatch.from_arrays([
             pa.array([i for i, _ in order], pa.int32()), pa.array([j for _, j in order], pa.int32()), pa.array(counts),
             pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array(costs)], ["fit", "cluster", "n", "sums", "cost"])
 
-    parts = points.select(vector_to_array("features").alias("point")).mapInArrow(run, schema)
-    totals = parts.groupBy("fit", "cluster").agg(
+    totals = kept.mapInArrow(run, schema).groupBy("fit", "cluster").agg(
         F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(stacked.shape[1])]).alias("sums"), F.sum("cost").alias("cost"))
     return {(r["fit"], r["cluster"]): (r["n"], np.array(r["sums"]), r["cost"]) for r in totals.collect()}
 
@@ -178,9 +321,10 @@ def _moved(points: DataFrame, centers: list[np.ndarray]) -> dict[tuple[int, int]
 def improved_together(points: DataFrame, starts: list[np.ndarray], most: int = MAX_ITERATIONS, tolerance: float = TOLERANCE) -> list[Fit]:
     """Lloyd's steps of all fits at once, each until none of its centres moves by more than the tolerance.
 
-    Every step is one pass over the points, whatever the number of fits, and a fit
-    that has ended takes no further part.  A centre without points stays.
+    Every step is one pass over the points (``packed`` or with their features), whatever the
+    number of fits, and a fit that has ended takes no further part.  A centre without points stays.
     """
+    points = points if "hashes" in points.columns else packed(points)
     fits = [Fit(centers.copy()) for centers in starts]
     going = list(range(len(fits)))
     for _ in range(most):
@@ -203,12 +347,14 @@ def improved_together(points: DataFrame, starts: list[np.ndarray], most: int = M
 
 def with_cluster(points: DataFrame, centers: np.ndarray) -> DataFrame:
     """Number of the nearest centre as ``cluster``, the first among equals."""
-    point = vector_to_array("features")
-    apart = F.array(*[
-        F.struct(F.aggregate(F.zip_with(F.col("_point"), F.array(*[F.lit(float(v)) for v in center]), lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                             lambda total, v: total + v).alias("d"), F.lit(i).alias("cluster"))
-        for i, center in enumerate(centers)])
-    return points.withColumn("_point", point).withColumn("cluster", F.array_min(apart)["cluster"]).drop("_point")
+    centers = np.array(centers)
+
+    def nearest(column: pa.Array) -> pa.Array:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), centers.shape[1])
+        apart = np.array([((x - center) ** 2).sum(1) for center in centers])
+        return pa.array(apart.argmin(0).astype("int32"))
+
+    return points.withColumn("cluster", F.arrow_udf(nearest, "int")(vector_to_array("features")))
 
 
 def cluster_sizes(profiles: DataFrame) -> DataFrame:

@@ -106,3 +106,25 @@ def test_history_windows_of_a_year_are_one_operator(spark):
     assert history._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
     counts = {r["year"]: r["historical_term_count"] for r in records(history)}
     assert counts == {2021: None, 2022: 2.0, 2023: 2.0}
+
+
+def test_fits_start_together(spark):
+    """The passes over the points don't grow with the fits, and the starts don't hang on how the points lie."""
+    rows = spark.range(0, 3000).selectExpr("id", "cast(id % 3 as double) * 9 + rand(1) as a", "cast(id % 3 as double) * 9 + rand(2) as b")
+    points = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).persist()
+    jobs, starts = [], []
+    for parts, sizes in ((3, [3] * 2), (5, [3] * 2 + [4] * 10)):
+        kept = P.packed(points.repartition(parts), ["id"]).persist()
+        spark.sparkContext.setJobGroup(f"starts-{parts}", "")
+        starts.append(P.started_together(kept, sizes, 7))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"starts-{parts}")))
+        kept.unpersist()
+    assert abs(jobs[1] - jobs[0]) <= 3  # six passes either way, with the jobs that Spark makes of their shuffles
+    assert [len(c) for c in starts[1]] == [3] * 2 + [4] * 10
+    for one, other in zip(*starts):
+        assert np.allclose(one, other)
+        assert sorted(round((c - 0.5) / 9) for c in one[:, 0]) == [0, 1, 2]  # one start in each of the three groups
+    few = VectorAssembler(inputCols=["a"], outputCol="features").transform(spark.createDataFrame([(1.0,), (2.0,), (2.0,)], ["a"]))
+    assert all(len(c) <= 2 for c in P.started_together(P.packed(few), [5, 5], 1)) and P.started_together(P.packed(few), [], 1) == []
+    points.unpersist()
