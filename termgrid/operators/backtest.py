@@ -12,6 +12,7 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termgrid.operators.forests import HistogramForest, HistogramForestModel
 from termgrid.operators.history import FeatureTable, model_features
 from termgrid.operators.metrics import TIE_REASONS, score_metrics, with_scopes
 from termgrid.operators.ordering import quantile_from_counts, value_counts
@@ -131,16 +132,23 @@ def logistic(rows: int, max_iter: int = 1000) -> LogisticRegression:
 
 
 MAX_DEPTH = 30  # the most Spark grows; trees end earlier where nothing is left to split
+LEAST_ROWS = 3  # of a leaf
+FOREST_ROWS = 50_000  # Spark's own forest keeps a number per row and tree and looks up every node a row is at
 
 
 def forest(trees: int, max_depth: int = MAX_DEPTH, seed: int = RANDOM_STATE) -> RandomForestClassifier:
     return RandomForestClassifier(
         labelCol="label", weightCol="weight", numTrees=trees, maxDepth=max_depth,
-        minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
+        minInstancesPerNode=LEAST_ROWS, featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024,
         cacheNodeIds=True,  # a level starts at each row's node; without it every row walks every tree from its root again
     )
 
 
+def forest_for(rows: int, trees: int, max_depth: int = MAX_DEPTH, seed: int = RANDOM_STATE):
+    """Spark's forest, or beyond ``FOREST_ROWS`` the same kind of forest laid out for many rows."""
+    return forest(trees, max_depth, seed) if rows <= FOREST_ROWS else HistogramForest(trees, max_depth, LEAST_ROWS, seed)
+
+
 @dataclass
 class Backtest:
     predictions: DataFrame
@@ -286,7 +294,9 @@ def certificate_table(model, prep: Preparation, ready: DataFrame) -> DataFrame:
 
 def importance_table(name: str, model, prep: Preparation, train: DataFrame) -> DataFrame:
     """Absolute coefficients (with their sign as direction) or forest importances."""
-    if hasattr(model, "featureImportances"):
+    if isinstance(model, HistogramForestModel):
+        values, signs = model.importances, None
+    elif hasattr(model, "featureImportances"):
         values, signs = model.featureImportances.toArray(), None
     else:
         signs = model.coefficients.toArray()
@@ -331,7 +341,7 @@ def trajectory_backtest(
     train = targets.where(F.col("split") == "train")
     makers = {
         "logistic_regression": lambda rows: logistic(rows),
-        "random_forest": lambda rows: forest(trees, max_depth, seed),
+        "random_forest": lambda rows: forest_for(rows, trees, max_depth, seed),
     }
     prep, ready, status, fitted = _fit_models(
         train, TRAJECTORY_NUMERIC, "w_flag", {"drop_reference": True}, {m: makers[m] for m in models}
@@ -372,7 +382,7 @@ def risk_backtest(
     numeric_names, categorical = model_features(train)
     makers = {
         "logistic_regression": lambda n: logistic(n, 2000),
-        "random_forest": lambda n: forest(trees, max_depth, seed),
+        "random_forest": lambda n: forest_for(n, trees, max_depth, seed),
     }
     prep, _, status, fitted = _fit_models(
         train, numeric_names, "high_w_risk", {"categorical": categorical}, {m: makers[m] for m in models}
