@@ -27,7 +27,7 @@ SPLIT_SAMPLE = 10_000  # rows from which the borders of the bins are taken, as i
 BLOCK_ROWS = 16_384
 TASK_ROWS = 500_000
 NODES_AT_ONCE = 256  # of a tree, summed and split by one task
-PENDING = 1 << 20  # places gathered before they are counted
+PENDING = 1 << 17  # rows gathered before they are counted
 
 # Bootstrap counts (Poisson with mean 1) of 65,536 equally likely numbers.
 _POISSON = np.searchsorted(np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 12)])), (np.arange(65536) + 0.5) / 65536).astype("uint8")
@@ -192,10 +192,9 @@ def _packed(rows: DataFrame, borders: list[np.ndarray]) -> DataFrame:
         run, "part int, block int, bins binary, classes binary")
 
 
-def _layout(features: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, int]:
-    """Where the counts of a node's feature start, two per bin, and the number of all counts."""
-    ends = np.cumsum(2 * widths[features.ravel()])
-    return (ends - 2 * widths[features.ravel()]).reshape(features.shape), int(ends[-1])
+def _starts(features: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Where the counts of each node's feature start, two per bin, and last where they end."""
+    return np.append(0, np.cumsum(2 * widths[features]))
 
 
 def _counted(kept: DataFrame, model: HistogramForestModel, level: int, seed: int) -> DataFrame:
@@ -211,10 +210,18 @@ def _counted(kept: DataFrame, model: HistogramForestModel, level: int, seed: int
             return
         for number, feature, cut, left, slots, nodes in shipped:
             tree = feature.astype("int64"), cut, left.astype("int64")
-            features = _subsets(seed, level, number, nodes, len(widths), size)
-            starts, cells = _layout(features, widths)
-            features, starts = np.ascontiguousarray(features.T), np.ascontiguousarray(starts.T)
-            counts, places, times, pending = np.zeros(cells), [], [], 0
+            features = np.ascontiguousarray(_subsets(seed, level, number, nodes, len(widths), size).T)
+            starts = [_starts(f, widths) for f in features]
+            counts = [np.zeros(s[-1]) for s in starts]
+            places, times, pending = [[] for _ in starts], [], 0
+
+            def count():
+                weights = np.concatenate(times, dtype="float64")
+                for s, found in enumerate(places):  # the counts of one feature of the subsets stay in the cache
+                    counts[s] += np.bincount(np.concatenate(found), weights, len(counts[s]))
+                    found.clear()
+                times.clear()
+
             for part, block, bins, classes in blocks:
                 chance = np.random.Generator(np.random.SFC64([seed, 2, number, part, block])).bytes(2 * len(classes))
                 drawn = _POISSON.take(np.frombuffer(chance, "uint16"))
@@ -230,19 +237,19 @@ def _counted(kept: DataFrame, model: HistogramForestModel, level: int, seed: int
                     place *= 2
                     place += own
                     place += starts[s].take(slot)
-                    places.append(place)
-                times.extend([drawn.take(row)] * size)
-                pending += size * len(row)
-                if pending >= max(PENDING, cells):
-                    counts += np.bincount(np.concatenate(places), np.concatenate(times), cells)
-                    places, times, pending = [], [], 0
-            if pending:
-                counts += np.bincount(np.concatenate(places), np.concatenate(times), cells)
-            counts, starts = counts.astype("uint32"), np.append(starts[0], cells)
+                    places[s].append(place)
+                times.append(drawn.take(row))
+                pending += len(row)
+                if pending >= max(PENDING, len(counts[0])):
+                    count()
+                    pending = 0
+            if times:
+                count()
             firsts = range(0, nodes, NODES_AT_ONCE)
             yield pa.RecordBatch.from_arrays([
                 pa.array([number] * len(firsts), pa.int32()), pa.array(firsts, pa.int32()),
-                pa.array([counts[starts[i]:starts[min(i + NODES_AT_ONCE, nodes)]].tobytes() for i in firsts], pa.binary()),
+                pa.array([np.concatenate([c[s[i]:s[min(i + NODES_AT_ONCE, nodes)]] for c, s in zip(counts, starts)]).astype("uint32").tobytes()
+                          for i in firsts], pa.binary()),
             ], ["tree", "first", "counts"])
 
     return kept.mapInArrow(run, "tree int, first int, counts binary")
@@ -263,13 +270,13 @@ def _splitter(model: HistogramForestModel, level: int, seed: int, least_rows: in
     def run(table: pa.Table) -> pa.Table:
         number, first = table["tree"][0].as_py(), table["first"][0].as_py()
         features = _subsets(seed, level, number, open_nodes[number], len(widths), size)[first:first + NODES_AT_ONCE]
-        starts, cells = _layout(features, widths)
-        counts = np.zeros(cells, "int64")
+        starts = _starts(features.T.ravel(), widths)
+        counts = np.zeros(starts[-1], "int64")
         for one in table["counts"]:
             counts += np.frombuffer(one.as_buffer(), "uint32")
-        lengths = 2 * widths[features.ravel()]
-        even = np.zeros((len(features), size, most, 2), "int64")  # as many bins for every feature
-        even.reshape(-1)[np.repeat(np.arange(features.size) * 2 * most - starts.ravel(), lengths) + np.arange(cells)] = counts
+        even = np.zeros((size, len(features), most, 2), "int64")  # as many bins for every feature
+        even.reshape(-1)[np.repeat(np.arange(features.size) * 2 * most - starts[:-1], np.diff(starts)) + np.arange(len(counts))] = counts
+        even = even.transpose(1, 0, 2, 3)
         total = even[:, 0].sum(1)
         left = even.cumsum(2)
         right = total[:, None, None] - left
